@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word, as Java and Python regular expressions spell it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,10 +38,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of ``batch`` whose texts (binary column ``at``) hold about ``limit`` bytes."""
-    sizes = np.array([len(x) for x in batch.column(at).to_pylist()], dtype=np.int64)
-    ends = np.cumsum(sizes)
+    sizes = pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
-    while start < len(sizes):
+    while start < len(ends):
         stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right"))
         stop = max(stop, start + 1)
         yield batch.slice(start, stop - start)
@@ -84,13 +86,15 @@ def reduce_text(
 ) -> DataFrame:
     """Rows of ``outputs`` (DDL) that ``fn(texts, kept columns)`` makes from each slice of whole texts."""
     made = df.sparkSession.createDataFrame([], outputs).schema
+    types = [to_arrow_type(f.dataType) for f in made]
     names = list(keep or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, len(names), limit):
                 out = fn(part.column(len(names)).to_pylist(), part)
-                yield pa.RecordBatch.from_pydict({n: out[n] for n in made.names})
+                columns = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], t) for n, t in zip(made.names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=made.names)
 
     text_bytes = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias(TEXT)
     return df.select(*names, text_bytes).mapInArrow(run, made)

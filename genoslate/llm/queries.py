@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, pieces, quality
+from . import line_dedup, matroska, mixing, pieces, quality, secret_scan, substring_dedup, suffix_dedup
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SOURCE_WEIGHTS = [3.0, 1.0, 2.0]
@@ -18,6 +18,43 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = _documents(spark, sf_dir).select("doc_id", raw.alias("raw")).withColumn("n_bytes", F.octet_length("raw").cast("long"))
+    padded = (F.greatest(F.ceil(F.col("n_bytes") / 64), F.lit(1)) * 64).cast("int")
+    payload = docs.select("doc_id", "n_bytes", F.rpad("raw", padded, F.lit(b"\0")).alias("payload"))
+    media = matroska.mux_column(payload).drop("payload")
+    read = matroska.read_samples(media)
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), width=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["via"] == "")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: (s["via"] == "") & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_to_targets(_documents(spark, sf_dir), SOURCE_WEIGHTS)
     return mixed.select(
@@ -35,6 +72,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), width=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out(doc: str = "doc_id"):
     return F.crc32(F.col(doc).cast("string").cast("binary")) % 4 == 2
 
@@ -53,10 +95,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_matroska": op1_matroska,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_pieces": op7_pieces,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
