@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoslate.llm import common, line_dedup, mixing, pieces, quality
+from genoslate.llm import common, line_dedup, mixing, near_dedup, pieces, quality
 from genoslate.llm.queries import PIECE_MODEL, SOURCE_WEIGHTS, held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,6 +26,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    return near_dedup.near_duplicates(docs).filter("kept").select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix_to_targets(docs, SOURCE_WEIGHTS)
@@ -48,6 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_good),
     ("lines", drop_lines),
+    ("near", near),
     ("mix", mix),
     ("tokens", tokens),
 ]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, matroska, mixing, pieces, quality, secret_scan, substring_dedup, suffix_dedup
+from . import embedding_dedup, line_dedup, matroska, mixing, near_dedup, pieces, quality, secret_scan, substring_dedup, suffix_dedup
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SOURCE_WEIGHTS = [3.0, 1.0, 2.0]
@@ -55,6 +55,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, shingle=2, threshold=0.8).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_to_targets(_documents(spark, sf_dir), SOURCE_WEIGHTS)
     return mixed.select(
@@ -98,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_pieces": op7_pieces,
     "op8_quality": op8_quality,
