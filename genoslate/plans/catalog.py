@@ -1,10 +1,8 @@
-"""Named queries over the standard tables, each with its SQL counterpart."""
+"""All named queries over the standard tables, each with its SQL counterpart."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import intervals, rules, searches, similarity  # noqa: F401  (they register their queries)
+from .roles import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
