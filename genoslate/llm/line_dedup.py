@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -197,18 +198,20 @@ def drop_frequent_lines(
     gathered = found.groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("__at"))
     joined = keyed.join(gathered.hint("shuffle_hash"), "__key", "left")
 
+    names = plain.columns
+
     def cut(batches):
         for batch in batches:
-            for part in common.slices(batch, len(plain.columns) + 1):
-                lines = [x.split(b"\n") for x in part.column(len(plain.columns) + 1).to_pylist()]
+            for part in common.slices(batch, len(names) + 1):
+                lines = [x.split(b"\n") for x in part.column(len(names) + 1).to_pylist()]
                 drops = []
-                for doc, at in zip(lines, part.column(len(plain.columns)).to_pylist(), strict=True):
-                    drops.append(np.zeros(len(doc), bool))
+                for doc_lines, at in zip(lines, part.column(len(names)).to_pylist(), strict=True):
+                    drops.append(np.zeros(len(doc_lines), bool))
                     drops[-1][np.array(at or [], dtype=np.int64)] = True
                 arrays = kept(lines, drops)
-                columns = [arrays[0] if n == text else part.column(i) for i, n in enumerate(plain.columns)]
-                yield pa.RecordBatch.from_arrays(columns + arrays[1:], names=[*plain.columns, "n_lines", "n_dropped"])
+                columns = [arrays[0] if n == text else part.column(i) for i, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(columns + arrays[1:], names=[*names, "n_lines", "n_dropped"])
 
-    schema = plain.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = StructType([*plain.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias(common.TEXT)
     return joined.select(*plain.columns, "__at", raw).mapInArrow(cut, schema)
