@@ -6,8 +6,9 @@ run of windows that share one trigger: its tokens, the trigger's place in it and
 of a document overlap and hold every window exactly once, and a window occurs twice only in phrases whose triggers are
 equal. About 2 / (width - gram + 2) of all positions are triggers.
 
-Rows of the phrase table: doc, key (of the row), ord (order of the document), trigger, phrase (64-bit fingerprints,
-together 128 bits), lo (first token), n (windows), off (trigger - lo).
+Rows of the phrase table: key (of the row), ord (order of the document), trigger, phrase (64-bit fingerprints,
+together 128 bits), lo (first token), n (windows), off (trigger - lo), reps. Where a text repeats itself, equal phrases
+follow each other at a distance of n; such a run is one row, with their number in reps.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def phrases(x: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> dict[s
     n = len(x)
     if n < width:
         empty = np.zeros(0, np.int64)
-        return {"seq": empty, "lo": empty, "n": empty, "off": empty, "trigger": empty.view(np.uint64), "phrase": empty.view(np.uint64)}
+        return {"seq": empty, "lo": empty, "n": empty, "off": empty, "reps": empty, "trigger": empty.view(np.uint64), "phrase": empty.view(np.uint64)}
     p, inverse = prefix_sums(x)
     h = common.mix64((p[gram:] - p[:-gram]) * inverse[: n - gram + 1])
     place = (slide_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), width - gram + 1) & PLACE).astype(np.int64)
@@ -74,7 +75,13 @@ def phrases(x: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> dict[s
     body = (p[lo + count - 1 + width] - p[lo]) * inverse[lo]
     shape = ((t - lo) << 32 | count).astype(np.uint64)
     starts = ends - lengths
-    return {"seq": seq[lo], "lo": lo - starts[seq[lo]], "n": count, "off": t - lo, "trigger": h[t], "phrase": common.mix64(common.mix64(body) ^ shape * np.uint64(0xD6E8FEB86659FD93))}
+    name = common.mix64(common.mix64(body) ^ shape * np.uint64(0xD6E8FEB86659FD93))
+    fresh = np.ones(len(lo), bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (h[t][1:] != h[t][:-1]) | (lo[1:] - lo[:-1] != count[:-1]) | (seq[lo][1:] != seq[lo][:-1])
+    head = np.flatnonzero(fresh)
+    reps = np.diff(np.append(head, len(lo)))
+    lo, count, t, name = lo[head], count[head], t[head], name[head]
+    return {"seq": seq[lo], "lo": lo - starts[seq[lo]], "n": count, "off": t - lo, "reps": reps, "trigger": h[t], "phrase": name}
 
 
 def phrase_table(docs: DataFrame, tokens: Callable[[bytes], np.ndarray], width: int, gram: int, text: str, doc: str, limit: int) -> DataFrame:
@@ -109,10 +116,11 @@ def phrase_table(docs: DataFrame, tokens: Callable[[bytes], np.ndarray], width:
             "lo": (f["lo"] + np.array(offset, np.int64)[f["seq"]]).astype(np.int32),
             "n": f["n"].astype(np.int32),
             "off": f["off"].astype(np.int32),
+            "reps": f["reps"].astype(np.int32),
         }
 
     keyed = docs.select(common.row_key(text, doc).alias("key"), order_of(doc).alias("ord"), text)
-    return common.reduce_text(keyed, "key long, ord long, trigger long, phrase long, lo int, n int, off int", run, text, ["key", "ord"], limit)
+    return common.reduce_text(keyed, "key long, ord long, trigger long, phrase long, lo int, n int, off int, reps int", run, text, ["key", "ord"], limit)
 
 
 def order_of(doc: str) -> Column:
@@ -125,15 +133,16 @@ def shared_phrases(table: Callable[[], DataFrame], repeated: Column) -> DataFram
 
     The phrases are made twice, which costs less than keeping all of them.
     """
-    counts = table().groupBy("trigger").agg(F.count("*").alias("n_all"), F.min("ord").alias("first"), F.max("ord").alias("last"))
-    twice = counts.filter(repeated).select("trigger")
+    counts = table().groupBy("trigger").agg(F.sum("reps").alias("n_all"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+    # written first, so that both sides of the join are exchanges and Spark may split a skewed trigger
+    twice = common.written(counts.filter(repeated).select("trigger"), "shared-triggers")
     return common.written(table().join(twice.hint("shuffle_hash"), "trigger", "left_semi"), "shared-phrases")
 
 
 def phrase_kinds(shared: DataFrame) -> DataFrame:
     """One row per distinct phrase: copies, first and last document, and one place where it stands."""
     at = F.struct("ord", "key", "lo", "n", "off")
-    kinds = shared.groupBy("trigger", "phrase").agg(F.count("*").alias("copies"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.min(at).alias("at"))
+    kinds = shared.groupBy("trigger", "phrase").agg(F.sum("reps").alias("copies"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.min(at).alias("at"))
     return common.written(kinds.select("trigger", "phrase", "copies", "first", "last", "at.*"), "phrase-kinds")
 
 
@@ -142,8 +151,8 @@ def several(kinds: DataFrame, group: int, enough: Column) -> DataFrame:
     ``group`` phrases can hold the trigger, else the number of one of its random shares."""
     sizes = kinds.groupBy("trigger").agg(F.count("*").alias("variants"), F.min("first").alias("f"), F.max("last").alias("l"))
     some = sizes.filter((F.col("variants") > 1) & enough).select("trigger", "variants")
-    share = F.pmod(F.xxhash64("phrase", "trigger"), F.ceil(F.col("variants") * 4 / group))
-    salt = F.when(F.col("variants") > max(1, group // 4), share).otherwise(-1).cast("int")
+    share = F.pmod(F.xxhash64("phrase", "trigger"), F.ceil(F.col("variants") * 2 / group))
+    salt = F.when(F.col("variants") > group, share).otherwise(-1).cast("int")
     return common.written(kinds.join(some.hint("shuffle_hash"), "trigger").withColumn("salt", salt).drop("variants"), "dictionary")
 
 
@@ -195,6 +204,20 @@ def covered(docs: DataFrame, ranges: DataFrame, text: str, doc: str) -> DataFram
     return keyed.join(g.hint("shuffle_hash"), ["__key", "__ord"], "left").drop("__key", "__ord")
 
 
+def places(shared: DataFrame, verdict: DataFrame, width: int, holds: Column | None = None) -> DataFrame:
+    """(key, ord, from, to): the token ranges of ``verdict`` (trigger, phrase, from, to: windows) wherever the phrases
+    stand and ``holds`` is met."""
+    held = shared.join(verdict.hint("shuffle_hash"), ["trigger", "phrase"])
+    held = held if holds is None else held.filter(holds)
+    whole = (F.col("from") == 0) & (F.col("to") == F.col("n"))
+    # a whole run of equal phrases is one range
+    step = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("reps") - 1))
+    length = F.when(whole, F.col("n") * F.col("reps")).otherwise(F.col("to"))
+    one = held.withColumn("length", length).withColumn("k", F.explode(step))
+    at = F.col("lo") + F.col("k") * F.col("n")
+    return one.select("key", "ord", (at + F.col("from")).alias("from"), (at + F.col("length") - 1 + width).alias("to"))
+
+
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     """Maximal (from, to) of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))

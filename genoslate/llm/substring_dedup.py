@@ -130,11 +130,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", doc: st
     copies = kinds.filter("first < last").select("trigger", "phrase", F.lit(0).alias("from"), F.col("n").alias("to"), F.lit(True).alias("whole"))
     verdict = within.unionByName(copies).join(kinds.select("trigger", "phrase", F.col("first").alias("__first")), ["trigger", "phrase"])
     # the first document keeps its phrase but for the windows found in the tree; later ones lose the whole
-    ranges = (
-        shared.join(verdict.hint("shuffle_hash"), ["trigger", "phrase"])
-        .filter(~F.col("whole") | (F.col("ord") > F.col("__first")))
-        .select("key", "ord", (F.col("lo") + F.col("from")).alias("from"), (F.col("lo") + F.col("to") - 1 + width).alias("to"))
-    )
+    ranges = repeats.places(shared, verdict, width, ~F.col("whole") | (F.col("ord") > F.col("__first")))
     joined = repeats.covered(docs, ranges, text, doc)
 
     def drop(raw: bytes, found: list[dict] | None) -> tuple:

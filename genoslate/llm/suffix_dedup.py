@@ -28,7 +28,7 @@ from . import common, repeats
 
 #: Bytes of a trigger; a slice of texts; phrases in a group that sorts suffixes.
 GRAM = 40
-SLICE = 2 << 20
+SLICE = 1 << 20
 GROUP = 8_000
 
 _BYTES = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -113,9 +113,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, text: str = "text", doc: s
     verdict = repeats.settle(leaves, F.col("n_all") > 1).unionByName(
         kinds.filter("copies > 1").select("trigger", "phrase", F.lit(0).alias("from"), F.col("n").alias("to"))
     )
-    ranges = shared.join(verdict.hint("shuffle_hash"), ["trigger", "phrase"]).select(
-        "key", "ord", (F.col("lo") + F.col("from")).alias("from"), (F.col("lo") + F.col("to") - 1 + width).alias("to")
-    )
+    ranges = repeats.places(shared, verdict, width)
     joined = repeats.covered(docs, ranges, text, doc)
 
     def drop(raw: bytes, found: list[dict] | None) -> tuple:
