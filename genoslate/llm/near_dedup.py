@@ -7,12 +7,14 @@ similarity s share a node of depth d with probability s**d, so ``trees`` follows
 threshold.
 
 1. Documents of equal sets are one class (by a 128-bit fingerprint and the size), and its first stands for it.
-2. Each leaf's documents are first compared with the leaf's smallest; those which meet it in several trees take it
-   as their hub. So a large group of near copies is a star, not all its pairs.
-3. Leaves are then compared exhaustively across hubs; minwise tokens estimate the similarity, and pairs that
-   fall short of it by more than five standard deviations go. In a leaf too large for that, the documents outside its main hub meet all.
-4. The remaining pairs are confirmed on full sets, and components are taken. Where documents of one hub stay apart
-   after that, their leaves are compared exhaustively too, and the pairs found are confirmed likewise.
+2. Each leaf's documents first look at the leaf's smallest: those that meet it in several trees, with like minwise tokens,
+   are tied to it, and what is tied together is a hub. Ties are linear in the documents, and prove nothing yet.
+3. Leaves are then compared exhaustively across hubs, in blocks of a fixed size: minwise tokens estimate the similarity, and
+   pairs more than five standard deviations short of the threshold go.
+4. Links are confirmed on full sets. The pairs across hubs are joined with their texts. A hub is taken whole, in
+   blocks of a fixed number of shingles: one document is compared with all of its block, then every document
+   which isn't yet joined to the main component, until all that were never compared are connected. So near copies by the
+   thousand cost few comparisons, and no link between components is lost.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of one id are one document; rows
 without an id are documents by their text, and are kept unless they reach one with an id; an empty table gives an
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,8 +40,12 @@ THRESHOLD = 0.8
 DEPTH = 3
 LEAF = 32
 RECALL = 0.99999
-#: Trees in which a document must meet a leaf's smallest to take it as its hub.
+#: Trees in which a document must meet a leaf's smallest to be tied to it, and the share of like minwise tokens.
 VOTES = 3
+TIE = 0.5
+#: Documents of a node compared in one block; shingles of a hub held in one block.
+BLOCK = 4096
+BLOCK_SHINGLES = 1 << 20
 REMEMBERED = 1 << 20
 CONFIRM = 1 << 12
 
@@ -140,51 +146,94 @@ def _leaves(paths: DataFrame, depth: int, leaf: int) -> DataFrame:
     return common.written(out, "leaves")
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    return (a == b).sum(axis=1) >= least
+def _in_blocks(rows: DataFrame, group: str, chunks: Column, buckets: int) -> DataFrame:
+    """``rows`` of each group dealt into ``chunks`` by v, and repeated for every pair of chunks: columns block and bucket."""
+    n = F.greatest(chunks, F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("v"), n).cast("int")
+    # (i, j) with i < j as i * n + j; one chunk alone is block 0
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: (n == 1) | (j != own)), lambda j: F.least(j, own) * n + F.greatest(j, own))
+    out = rows.withColumn("part", F.explode(pairs)).withColumn("block", F.xxhash64(group, "part"))
+    return out.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int"))
 
 
-def _pairs_in_nodes(rows: DataFrame, apart: str, width: int, least: int, buckets: int) -> DataFrame:
-    """(a, b) with a < b: documents of one node that differ in ``apart`` and whose sketches are alike."""
+def _pairs_in_nodes(rows: DataFrame, width: int, least: int, buckets: int) -> DataFrame:
+    """(a, b) with a < b: documents of one node whose hubs differ and whose sketches are alike."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["node", "v"], kind="stable")
-        node, v, side = (pdf[c].to_numpy(np.int64) for c in ("node", "v", apart))
+        pdf = pdf.sort_values(["block", "v"], kind="stable")
+        node, v, side = (pdf[c].to_numpy(np.int64) for c in ("block", "v", "hub"))
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, width)
-        found = []
+        left = np.flatnonzero(node[1:] == node[:-1]) if len(node) > 1 else np.zeros(0, np.int64)
+        found = [np.zeros((0, 2), np.int64)]
         step = 1
-        while True:  # neighbours at distance 1, 2, ... within a node
-            i = np.flatnonzero((node[step:] == node[:-step]) & (side[step:] != side[:-step])) if step < len(node) else np.zeros(0, np.int64)
-            if step >= len(node) or not (node[step:] == node[:-step]).any():
-                break
-            for at in range(0, len(i), 1 << 18):
-                k = i[at : at + (1 << 18)]
-                k = k[_alike(sketch[k], sketch[k + step], least)]
+        while len(left):  # neighbours at distance 1, 2, ... within a block
+            i = left[side[left] != side[left + step]]
+            for at in range(0, len(i), 1 << 16):
+                k = i[at : at + (1 << 16)]
+                k = k[(sketch[k] == sketch[k + step]).sum(axis=1) >= least]
                 found.append(np.stack([v[k], v[k + step]], axis=1))
             step += 1
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            left = left[left + step < len(node)]
+            left = left[node[left] == node[left + step]]
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "a long, b long")
-
-
-def _pairs_in_large(rows: DataFrame, apart: str, width: int, least: int) -> DataFrame:
-    """The same for large nodes: documents outside a node's main side meet all of the node."""
-    sides = rows.groupBy("node", apart).agg(F.count("*").alias("k"))
-    main = sides.groupBy("node").agg(F.max_by(apart, F.struct("k", apart)).alias("main"), F.count("*").alias("sides")).filter("sides > 1")
-    held = common.written(rows.join(main.drop("sides"), "node"), "large-leaves")
-    few = held.filter(F.col(apart) != F.col("main")).select("node", F.col("v").alias("a"), F.col(apart).alias("x"), F.col("sketch").alias("s"))
-    many = held.select("node", F.col("v").alias("b"), F.col(apart).alias("y"), F.col("sketch").alias("t"))
+    dealt = _in_blocks(rows, "node", F.ceil(F.col("m") / (BLOCK // 2)), buckets)
+    return dealt.groupBy("bucket").applyInPandas(run, "a long, b long")
+
+
+def connect(sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
+    """Pairs of positions that connect all sets whose inner * 1e6 >= share * union, without comparing all pairs.
+
+    A set that was compared with all others is probed. The result is exact once all sets never probed are connected: a pair
+    across components then has a probed member.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(row) else row
+    start = np.cumsum(size) - size
+    root = np.arange(len(sets))
+    probed = np.zeros(len(sets), bool)
+    links, mark = [], np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
+    todo = [0]
+    while todo:
+        x = todo.pop()
+        probed[x] = True
+        own = token[start[x] : start[x] + size[x]]
+        mark[own] = True
+        inner = np.bincount(row[mark[token]], minlength=len(sets))
+        mark[own] = False
+        hit = np.flatnonzero(inner * 1_000_000 >= share * (size + size[x] - inner))
+        fresh = hit[root[hit] != root[x]]
+        for r in np.unique(root[fresh]).tolist():
+            links.append((x, int(fresh[root[fresh] == r][0])))
+            root[root == r] = root[x]
+        open_ = np.flatnonzero(~probed)
+        if len(open_):
+            names, count = np.unique(root[open_], return_counts=True)
+            outside = open_[root[open_] != names[count.argmax()]]
+            if len(outside):
+                todo.append(int(outside[0]))
+    return links
+
+
+def _confirm_hubs(texts: DataFrame, hubs: DataFrame, size: int, threshold: float, buckets: int) -> DataFrame:
+    """Links that connect each hub's documents as all pairs of them would."""
+    share = round(threshold * 1_000_000)
+    held = texts.join(hubs.select("v", "hub"), "v")
+    total = hubs.groupBy("hub").agg(F.sum("n").alias("shingles"))
+    held = held.join(total, "hub").select("hub", "v", F.col("text").cast("binary").alias("text"), "shingles")
 
-    @F.pandas_udf("boolean")
-    def alike(s: pd.Series, t: pd.Series) -> pd.Series:
-        one, two = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, width) for c in (s, t))
-        return pd.Series(_alike(one, two, least))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, one in pdf.groupby("block", sort=True):
+            one = one.sort_values("v")
+            v = one["v"].to_numpy(np.int64)
+            out += [(v[a], v[b]) for a, b in connect(shingle_sets(one["text"].tolist(), size), share)]
+        return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
-    met = few.join(many, "node").filter("x <> y").filter(alike("s", "t"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    dealt = _in_blocks(held, "hub", F.ceil(F.col("shingles") / (BLOCK_SHINGLES // 2)), buckets).select("bucket", "block", "v", "text")
+    return common.written(dealt.groupBy("bucket").applyInPandas(run, "a long, b long"), "hub-links")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -234,34 +283,32 @@ def near_duplicates(
 
     stars = leaves.groupBy("node").agg(F.min("v").alias("pivot"))
     votes = leaves.select("node", "v").join(stars, "node").filter("v <> pivot").groupBy("v", "pivot").agg(F.count("*").alias("votes"))
-    hubs = common.written(votes.filter(F.col("votes") >= VOTES).groupBy("v").agg(F.min("pivot").alias("hub")), "hubs")
-    hubbed = leaves.join(hubs, "v", "left").withColumn("hub", F.coalesce("hub", "v"))
-    mixed = hubbed.groupBy("node").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).filter("x <> y").select("node")
+    ties = votes.filter(F.col("votes") >= VOTES).select("v", "pivot")
+    seen = classes.select("v", "sig")
+    both = ties.join(seen, "v").join(seen.select(F.col("v").alias("pivot"), F.col("sig").alias("other")), "pivot")
+
+    @F.pandas_udf("boolean")
+    def tied(s: pd.Series, t: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), np.uint64).reshape(-1, width) for c in (s, t))
+        return pd.Series((x == y).mean(axis=1) >= TIE)
+
+    hubs = components(both.filter(tied("sig", "other")).select(F.col("v").alias("a"), F.col("pivot").alias("b")))
+    hubs = hubs.select("v", F.col("root").alias("hub"))
+    hubs = hubs.unionByName(hubs.select(F.col("hub").alias("v"), "hub")).distinct()
+    hubs = common.written(hubs.join(classes.select("v", "n"), "v"), "hubs")
+
+    hubbed = leaves.join(hubs.select("v", "hub"), "v", "left").withColumn("hub", F.coalesce("hub", "v"))
     hubbed = common.written(hubbed, "leaf-hubs")
+    mixed = hubbed.groupBy("node").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).filter("x <> y").select("node")
     across = hubbed.join(mixed, "node", "left_semi")
-    pairs = hubs.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"))
-    pairs = pairs.unionByName(_pairs_in_nodes(across.filter(F.col("m") <= leaf), "hub", width, least, buckets))
-    pairs = pairs.unionByName(_pairs_in_large(across.filter(F.col("m") > leaf), "hub", width, least))
-    pairs = common.written(pairs.distinct(), "near-pairs")
-
-    involved = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    stands = classes.join(involved, "v", "left_semi").select("v", "key")
-    texts = keyed.select("v", "key", F.col(text).alias("text")).join(stands.distinct().hint("shuffle_hash"), ["v", "key"], "left_semi")
-    texts = common.written(texts.dropDuplicates(["v", "key"]), "near-texts")
-    links = _confirm(pairs, texts, shingle, threshold)
-    roots = components(links)
+    pairs = common.written(_pairs_in_nodes(across, width, least, buckets).distinct(), "near-pairs")
 
-    # documents of one hub that stayed apart: their leaves are compared exhaustively as well
-    placed = hubbed.join(hubs.select("hub").unionByName(hubs.select(F.col("v").alias("hub"))).distinct().withColumnRenamed("hub", "v"), "v", "left_semi")
-    placed = placed.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    torn = placed.groupBy("node", "hub").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).filter("x <> y")
-    placed = common.written(placed.drop("m").join(torn.select("node", "hub", F.col("k").alias("m")), ["node", "hub"]).withColumn("node", F.xxhash64("node", "hub")), "torn-leaves")
-    more = _pairs_in_nodes(placed.filter(F.col("m") <= leaf), "root", width, least, buckets).unionByName(
-        _pairs_in_large(placed.filter(F.col("m") > leaf), "root", width, least)
-    )
-    more = common.written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "torn-pairs")
-    if not more.isEmpty():
-        roots = components(links.unionByName(_confirm(more, texts, shingle, threshold)))
+    involved = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).unionByName(hubs.select("v")).distinct()
+    stands = common.written(classes.join(involved, "v", "left_semi").select("v", "key").distinct(), "near-stands")
+    texts = keyed.select("v", "key", F.col(text).alias("text")).join(stands.hint("shuffle_hash"), ["v", "key"], "left_semi")
+    texts = common.written(texts.dropDuplicates(["v", "key"]).select("v", "text"), "near-texts")
+    links = _confirm(pairs, texts, shingle, threshold).unionByName(_confirm_hubs(texts, hubs, shingle, threshold, buckets))
+    roots = components(links)
 
     member = sets.select("key", "v", F.col("n").alias("n_shingles"), "fa", "fb")
     held = classes.select("n", "fa", "fb", F.col("v").alias("c"))
