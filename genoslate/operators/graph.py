@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def edges_of(log: DataFrame) -> DataFrame:
     """(child, parent) of a query log with a parents array."""
@@ -24,17 +23,6 @@ def leaves(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     return nodes.select(node).join(edges.select(F.col("parent").alias(node)), node, "left_anti")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="genoslate-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/depth-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def depths(nodes: DataFrame, edges: DataFrame, node: str = "node", most: int = 10_000) -> DataFrame:
     """(node, depth): 0 for roots, else 1 + the largest depth of a known parent.
 
@@ -42,13 +30,13 @@ def depths(nodes: DataFrame, edges: DataFrame, node: str = "node", most: int = 1
     """
     known = edges.join(nodes.select(F.col(node).alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
     waiting = known.groupBy("child").agg(F.count("*").alias("n_parents"))
-    done = _written(roots(nodes, edges, node).select(F.col(node).alias("n"), F.lit(0).alias("depth")))
+    done = written(roots(nodes, edges, node).select(F.col(node).alias("n"), F.lit(0).alias("depth")), "depth")
     front = done
     for _ in range(most):
         # a node is ready once all its parents are
         met = known.join(done.select(F.col("n").alias("parent"), "depth"), "parent").groupBy("child").agg(F.count("*").alias("k"), F.max("depth").alias("d"))
         ready = met.join(waiting, "child").filter(F.col("k") == F.col("n_parents")).select(F.col("child").alias("n"), (F.col("d") + 1).alias("depth"))
-        front = _written(ready.join(done.select("n"), "n", "left_anti"))
+        front = written(ready.join(done.select("n"), "n", "left_anti"), "depth")
         if front.isEmpty():
             break
         done = done.unionByName(front)

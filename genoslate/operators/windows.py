@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .shared import written
 
 
 def best_per_key(df: DataFrame, key: str | list[str], by: str, fields: list[str], ties: str | list[str], largest: bool = False) -> DataFrame:
@@ -90,8 +91,8 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> tuple[Da
     Rows are sorted by range, ranked within each range, and offset by the sizes of the ranges before.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.persist()
+    # written, since a lost and recomputed partition might be cut elsewhere
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
     before, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
