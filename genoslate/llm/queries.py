@@ -116,7 +116,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM h GROUP BY k),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS at FROM h JOIN f USING (k) WHERE first < doc_id),
+t AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(g.at) AS n_removed,
+       sha256(coalesce(string_agg(t.word, ' ' ORDER BY t.at) FILTER (WHERE g.at IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN t ON t.r = d.r LEFT JOIN g ON g.r = t.r AND g.at = t.at GROUP BY d.r, d.doc_id, d.w""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.vec_id, l.b FROM c JOIN l ON l.a = c.other)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, min(c.other) AS component_id, min(c.other) = c.vec_id AS kept FROM c GROUP BY c.vec_id""",
+    "op5_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT m.a, m.b FROM m JOIN n p ON p.doc_id = m.a JOIN n q ON q.doc_id = m.b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+c(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, l.b FROM c JOIN l ON l.a = c.other)
+SELECT c.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c.other) AS component_id, min(c.other) = c.doc_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id""",
     "op9_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
