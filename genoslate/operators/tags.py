@@ -111,18 +111,17 @@ def topology_tags(df: DataFrame, topology: str = "topology") -> DataFrame:
     return df.withColumn("tags", F.array_sort(tags)).withColumn("helices", F.filter(spans, lambda s: s.isNotNull()))
 
 
-def hierarchy_closure(vocabulary: DataFrame, most: int = 20) -> DataFrame:
-    """(child, ancestor) of a vocabulary, without the entry itself (K29). Repeated ids keep their last parent by order of text."""
+def hierarchy_closure(vocabulary: DataFrame) -> DataFrame:
+    """(child, ancestor) of a vocabulary, without the entry itself (K29). A repeated id keeps its largest parent name;
+    a vocabulary is a forest, and Spark's limit on recursion stops one with a cycle."""
     parents = vocabulary.filter(F.col("parent").isNotNull()).groupBy("predicate_id").agg(F.max("parent").alias("parent"))
-    step = parents.select(F.col("predicate_id").alias("child"), F.col("parent").alias("ancestor"))
-    out, front = step, step
-    for _ in range(most):  # chains are short; the loop ends as soon as none goes on
-        p = step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"))
-        front = front.join(p, "ancestor").select("child", F.col("next").alias("ancestor")).join(out, ["child", "ancestor"], "left_anti").distinct()
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
+    return vocabulary.sparkSession.sql(
+        """WITH RECURSIVE up(child, ancestor) AS (
+             SELECT predicate_id, parent FROM {parents}
+             UNION ALL SELECT up.child, p.parent FROM up JOIN {parents} p ON p.predicate_id = up.ancestor
+           ) SELECT DISTINCT child, ancestor FROM up""",
+        parents=parents,
+    )
 
 
 def expand_hierarchy(tags: DataFrame, closure: DataFrame, key: str = "protein_id") -> DataFrame:
