@@ -10,17 +10,18 @@ _ENTRY = "\n>"
 
 
 def read_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, header, sequence) of every entry of the FASTA files at ``paths`` (``.gz`` as well).
+    """(file, header, sequence, leading) of every entry of the FASTA files at ``paths`` (``.gz`` as well).
 
-    Line ends and blanks inside a sequence go; an empty file has no rows; text before the first header has a null header.
+    Line ends and blanks inside a sequence go; an empty file has no rows. The separator takes the ``>`` of all entries but
+    a file's first, so ``leading`` is true for that one; a file without it has text before its first header.
     """
     raw = spark.read.option("lineSep", _ENTRY).text(paths if isinstance(paths, list) else [paths])
-    entry = raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r", "").alias("value"), F.col("_metadata.file_block_start").alias("b"))
-    # only the first entry of a file keeps its '>'; a record without one at offset 0 can't be told from a later entry
-    text = F.regexp_replace("value", r"^\s*>", "")
-    first = F.substring_index(text, "\n", 1)
-    rest = F.when(F.instr(text, "\n") > 0, F.expr("substring(regexp_replace(value, '^\\\\s*>', ''), instr(regexp_replace(value, '^\\\\s*>', ''), '\\n') + 1)")).otherwise("")
-    out = entry.select("file", F.trim(first).alias("header"), F.regexp_replace(rest, r"\s", "").alias("sequence"))
+    entry = raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r", "").alias("value"))
+    leading = F.regexp_like("value", F.lit(r"^\s*>"))
+    entry = entry.select("file", leading.alias("leading"), F.regexp_replace("value", r"^\s*>", "").alias("value"))
+    header = F.trim(F.substring_index("value", "\n", 1))
+    sequence = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", "")
+    out = entry.select("file", header.alias("header"), sequence.alias("sequence"), "leading")
     return out.filter((F.col("header") != "") | (F.col("sequence") != ""))
 
 
@@ -90,7 +91,7 @@ def read_for_embedding(spark: SparkSession, root: str) -> DataFrame:
 
 
 def quality_report(entries: DataFrame, letters: str = "ACGTUNRYSWKMBDHV") -> DataFrame:
-    """Per file: entries, total length, duplicate ids, letters outside the code, entries without a header (A4)."""
+    """Per file: entries, total length, duplicate ids, letters outside the code, entries without a header, text before the first one (A4)."""
     ident = F.substring_index("header", " ", 1)
     odd = F.array_distinct(F.split(F.regexp_replace(F.upper("sequence"), f"[{letters}]", ""), ""))
     return entries.groupBy("file").agg(
@@ -99,6 +100,7 @@ def quality_report(entries: DataFrame, letters: str = "ACGTUNRYSWKMBDHV") -> Dat
         (F.count("*") - F.countDistinct(ident)).alias("duplicate_ids"),
         F.array_sort(F.array_remove(F.array_distinct(F.flatten(F.collect_set(odd))), "")).alias("invalid_letters"),
         F.count_if(F.col("header") == "").alias("without_header"),
+        (F.count_if("leading") == 0).alias("data_before_header"),
     )
 
 

@@ -34,6 +34,9 @@ def test_fasta(spark, tmp_path):
     assert [r.length for r in c] == [4, 6] and abs(c[1].gc_content - 4 / 6) < 1e-9
     q = fasta.quality_report(fasta.read_entries(spark, n)).first()
     assert (q.n_sequences, q.duplicate_ids, q.invalid_letters) == (2, 1, ["!"])
+    assert not q.data_before_header
+    junk = put(tmp_path / "j/junk.fna", "ACGT\n>c1\nAC\n")
+    assert fasta.quality_report(fasta.read_entries(spark, junk)).first().data_before_header
     inv = fasta.file_inventory(spark, str(tmp_path / "n")).first()
     assert inv.genome_id == "My_gen_1" and len(inv.md5) == 32
 
