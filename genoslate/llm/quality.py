@@ -71,10 +71,12 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rat
     m, v = np.zeros_like(w), np.zeros_like(w)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        zp, zu = x[0] @ w, x[1] @ w
+        narrow = w.astype(np.float32)  # as the features, which would be widened at every step otherwise
+        zp, zu = (x[0] @ narrow).astype(np.float64), (x[1] @ narrow).astype(np.float64)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        as_negative = (x[1].T @ sig(zu)) / len(zu) - prior * (x[0].T @ sig(zp)) / len(zp)
-        g = -prior * (x[0].T @ sig(-zp)) / len(zp) + as_negative if negative >= 0 else -as_negative
+        of = lambda m, weight: (weight.astype(np.float32) @ m).astype(np.float64) / len(m)
+        as_negative = of(x[1], sig(zu)) - prior * of(x[0], sig(zp))
+        g = as_negative - prior * of(x[0], sig(-zp)) if negative >= 0 else -as_negative
         g = g + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
