@@ -15,13 +15,13 @@ very long texts and words are encoded whole; columns named like an output are re
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
