@@ -2,8 +2,8 @@ r"""Secret scans through nested encodings.
 
 Each text is the first layer of a worklist. A layer is scanned for secrets, and every piece of it that is
 percent-encoded, holds ``\uXXXX`` or ``\xXX`` escapes, or is base64 (of text, or of gzip, zlib, bzip2 or xz data) is
-decoded to a further layer, until none is left. A layer whose text was seen before in the document isn't scanned again,
-so cycles end. Each character of a layer knows the range of the original text it came from, and so do the secrets found.
+decoded to a further layer, until none is left. A layer whose text came from the
+same characters before isn't scanned again, so cycles end; an equal text at another place is mapped there. Each character of a layer knows the range of the original text it came from, and so do the secrets found.
 
 Decompressed layers are held to ``max_layer_chars``; a longer one is reported by a span of kind ``oversize`` over its
 whole piece instead of being scanned in part.
@@ -137,19 +137,22 @@ def _base64(piece: str, where: list[Range], limit: int) -> tuple[str, list[Range
 def scan(text: str, hints: tuple[bool, ...] = (True,) * 5, limit: int = MAX_LAYER_CHARS) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, via) by start and kind; ``via`` names the layers around a secret, '' for none."""
     found = {s: "" for s in base_spans(text, hints[:3])}
-    seen = {text}
+    seen: set[tuple] = set()
+    known: dict[str, list[tuple[str, int, int]]] = {}
     todo: list[tuple[str, list[Range] | None, str]] = [(text, None, "")]
     while todo:
         layer, where, via = todo.pop()
         if where is not None:
-            for kind, a, b in base_spans(layer):
+            if layer not in known:
+                known[layer] = base_spans(layer)
+            for kind, a, b in known[layer]:
                 found.setdefault((kind, where[a][0], where[b - 1][1]), via)
         for piece, ranges, how in _decoded(layer, where, hints if where is None else (True,) * 5, limit):
             path = f"{via}>{how}" if via else how
             if piece is None:
                 found.setdefault(("oversize", ranges[0][0], ranges[-1][1]), path)
-            elif piece and piece not in seen:
-                seen.add(piece)
+            elif piece and (place := (piece, tuple(ranges))) not in seen:
+                seen.add(place)
                 todo.append((piece, ranges, path))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((*s, via) for s, via in found.items()), key=lambda x: (x[1], order.get(x[0], 9), x[2]))

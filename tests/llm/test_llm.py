@@ -166,6 +166,14 @@ def test_op3_layers(spark, odd):
     assert secret_scan.find_secrets(odd).count() == odd.count() and secret_scan.find_secrets(odd.limit(0)).count() == 0
 
 
+def test_op3_equal_pieces_at_each_place():
+    inner = base64.b64encode(b"password = hunter2abc").decode()
+    url = "password%20=%20hunter2abc"
+    text = f"{inner} and {inner} and {url}"
+    n = len(inner)
+    assert [x[:3] for x in secret_scan.scan(text)] == [("assign", 0, n), ("assign", n + 5, 2 * n + 5), ("assign", 2 * n + 10, len(text))]
+
+
 def test_op3_base_spans(spark, docs):
     rows = {r.doc_id: r for r in queries.op3_secret_scan(spark, D).collect()}
     for i, t in docs:
