@@ -1,12 +1,17 @@
 r"""Secret scans through nested encodings.
 
 Each text is the first layer of a worklist. A layer is scanned for secrets, and every piece of it that is
-percent-encoded, holds ``\uXXXX`` or ``\xXX`` escapes, or is base64 (of text, or of gzip, zlib, bzip2 or xz data) is
-decoded to a further layer, until none is left. A layer whose text came from the
-same characters before isn't scanned again, so cycles end; an equal text at another place is mapped there. Each character of a layer knows the range of the original text it came from, and so do the secrets found.
+percent-encoded, holds ``\uXXXX`` or ``\xXX`` escapes, or is base64 is decoded to a further layer, until none is left.
+Bytes in which gzip, zlib, bzip2 or xz data begin, whatever the encoding they came from, are expanded over all members and
+to any depth; bytes that aren't UTF-8 are scanned too, as they are. Base64 is read at all four alignments, as paths or names
+may stand before it, line by line as well as joined over line breaks. A layer is left out only if its text came from the same
+characters before, so equal pieces are found at each place and cycles end; what an equal text holds is worked out once.
+Each character of a layer knows the range of the original text it came from, and so do the secrets found.
 
 Decompressed layers are held to ``max_layer_chars``; a longer one is reported by a span of kind ``oversize`` over its
-whole piece instead of being scanned in part.
+whole piece instead of being scanned in part. Streams that break off or are broken are scanned as far as they go and reported
+by a span of kind ``truncated`` or ``damaged``. A secret of text that is wrapped over lines may be found both joined and as
+far as its line goes.
 
 Defined cases: a null or empty text has no spans; equal texts give equal rows; an empty table gives an empty table;
 columns named ``spans`` are replaced; positions are code points of the whole text, end exclusive.
@@ -15,12 +20,14 @@ columns named ``spans`` are replaced; positions are code points of the whole tex
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,16 +38,33 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-ESCAPED = re.compile(r"\S*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})\S*")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+TOKEN = re.compile(r"\S+")
+LINE = re.compile(r"[^\n]+")
+PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+#: Escapes as bytes, with the short ones that printed byte strings have; a line with HIGH holds more than ASCII.
+BYTES = re.compile(r"""\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\([abfnrtv0'"\\])""")
+HIGH = re.compile(r"\\(?:x|u00)[89A-Fa-f][0-9A-Fa-f]")
+PLAIN = dict(zip("abfnrtv0'\"\\", (b"%c" % c for c in b"\a\b\f\n\r\t\v\0'\"\\"), strict=True))
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of one base64 text, by true or escaped line breaks.
+BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)+={{0,2}}")
+#: Where compressed data may begin inside other bytes: gzip, bzip2, xz, zlib.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|x[\x01\x5e\x9c\xda]")
+BZIP2 = re.compile(rb"BZh[1-9](?:1AY&SY|\x17rE8P\x90)")
+#: Bytes that a decompressor is given at once.
+CHUNK = 4096
 #: What a slice is first asked, all texts at once, so that most are never looked at in Python.
-HINTS = (r"(?i:password|passwd|secret|token|api_?key)", r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}", r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]", r"[A-Za-z0-9+/_-]{16}")
+HINTS = (r"(?i:password|passwd|secret|token|api_?key)", r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}", r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]", r"[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:\r?\n|\\n|\\r\\n)[ \t]*[A-Za-z0-9+/_-]")
 MAX_LAYER_CHARS = 64 << 20
 SPANS = "spans array<struct<kind: string, start: int, `end`: int, via: string>>"
 
 Range = tuple[int, int]
+#: Start and end of what each character or byte came from.
+Ranges = tuple[np.ndarray, np.ndarray]
+Layer = tuple[str | None, Ranges, str]
 
 
 def base_spans(text: str, hints: tuple[bool, bool, bool] = (True, True, True)) -> list[tuple[str, int, int]]:
@@ -55,124 +79,243 @@ def base_spans(text: str, hints: tuple[bool, bool, bool] = (True, True, True)) -
     return out
 
 
-def _bytes_to_layer(raw: bytes, where: list[Range]) -> tuple[str, list[Range]] | None:
-    """Text and the range of each character, if ``raw`` is UTF-8; ``where``: the range of each byte."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
+def _widths(text: str) -> np.ndarray:
+    """UTF-8 bytes of each character; one for a byte that ``surrogateescape`` stands for."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where((c >= 0xDC80) & (c < 0xDD00), 1, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+
+
+def _const(start: int, end: int, n: int) -> Ranges:
+    return np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(end), n)
+
+
+def _within(where: Ranges | None, inner: Ranges) -> Ranges:
+    """Ranges in the original text for ``inner`` ones in a layer whose characters came from ``where``."""
+    if where is None or not len(inner[0]):
+        return inner
+    (s, e), (a, b) = where, inner
+    if not (s.strides[0] and a.strides[0]):  # one range for all
+        return _const(s[a[0]], e[b[-1] - 1], len(a))
+    return s[a], e[b - 1]
+
+
+def _place(text: str, where: Ranges) -> tuple:
+    """What tells a layer at its place from all others."""
+    s, e = where
+    return (text, int(s[0]), int(e[0])) if s.strides[0] == 0 else (text, hashlib.blake2b(s.tobytes() + e.tobytes()).digest())
+
+
+def _to_text(raw: bytes, where: Ranges) -> tuple[str, Ranges]:
+    """``raw`` as text and the range of each character; bytes that aren't UTF-8 are kept as surrogates."""
+    text = raw.decode("utf-8", "surrogateescape")
     if len(text) == len(raw):
         return text, where
-    ranges, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        ranges.append((where[at][0], where[at + n - 1][1]))
-        at += n
-    return text, ranges
+    n = _widths(text)
+    last = np.cumsum(n)
+    return text, (where[0][last - n], where[1][last - 1])
+
 
+def _unescape(piece: str, at: int, pattern: re.Pattern, value) -> tuple[bytes, Ranges]:
+    """The bytes that ``piece`` stands for, and the range of each in the layer; ``value``: bytes for a match."""
+    out, starts, ends, last = bytearray(), [], [], 0
+
+    def literal(a: int, b: int) -> None:
+        if a < b:
+            part = piece[a:b]
+            out.extend(part.encode("utf-8", "surrogateescape"))
+            i = np.repeat(np.arange(at + a, at + b), _widths(part))
+            starts.append(i)
+            ends.append(i + 1)
 
-def _unescape(piece: str, where: list[Range], pattern: re.Pattern, decode) -> tuple[str, list[Range]] | None:
-    parts, ranges, last = [], [], 0
     for m in pattern.finditer(piece):
-        got = decode(m, where)
-        if got is None:
+        if (got := value(m)) is None:
             continue
-        parts += [piece[last : m.start()], got[0]]
-        ranges += where[last : m.start()] + got[1]
+        literal(last, m.start())
+        out.extend(got)
+        starts.append(np.full(len(got), at + m.start(), np.int64))
+        ends.append(np.full(len(got), at + m.end(), np.int64))
         last = m.end()
-    if last == 0:
-        return None
-    return "".join(parts) + piece[last:], ranges + where[last:]
+    literal(last, len(piece))
+    return bytes(out), (np.concatenate(starts), np.concatenate(ends))
 
 
-def _percent(m: re.Match, where: list[Range]) -> tuple[str, list[Range]] | None:
-    raw = bytes.fromhex(m[0].replace("%", ""))
-    return _bytes_to_layer(raw, [(where[m.start() + 3 * i][0], where[m.start() + 3 * i + 2][1]) for i in range(len(raw))])
+def _percent(m: re.Match) -> bytes:
+    return bytes([int(m[0][1:], 16)])
 
 
-def _unicode(m: re.Match, where: list[Range]) -> tuple[str, list[Range]] | None:
+def _unicode(m: re.Match) -> bytes | None:
     code = int(m[1] or m[2], 16)
-    return None if 0xD800 <= code < 0xE000 else (chr(code), [(where[m.start()][0], where[m.end() - 1][1])])
-
-
-def _expand(raw: bytes, limit: int) -> bytes | None:
-    """What compressed ``raw`` holds; None if it isn't compressed. Raises OverflowError beyond ``limit``."""
-    if raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        d = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        d = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = d.decompress(raw, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
+    return None if 0xD800 <= code < 0xE000 else chr(code).encode()
+
+
+def _byte(m: re.Match) -> bytes | None:
+    if m[3]:
+        return PLAIN[m[3]]
+    code = int(m[1] or m[2], 16)
+    return None if 0xD800 <= code < 0xE000 else bytes([code]) if code < 256 else chr(code).encode()
+
+
+def _reader(raw: bytes, at: int):
+    """(a new decompressor for what begins at ``at``, whether its magic is a long one); None where nothing compressed does."""
+    if raw.startswith(b"\x1f\x8b\x08", at):
+        return (lambda: zlib.decompressobj(31)), True
+    if BZIP2.match(raw, at):
+        return bz2.BZ2Decompressor, True
+    if raw.startswith(b"\xfd7zXZ\0", at):
+        return lzma.LZMADecompressor, True
+    head = raw[at : at + 2]
+    if len(head) == 2 and head[0] & 0x8F == 8 and not head[1] & 0x20 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj, False
+    return None
+
+
+def _member(raw: bytes, at: int, make, limit: int) -> tuple[bytes, int, str]:
+    """What one stream holds, as far as it can be read; where it ends; '', 'truncated' or 'damaged'. Raises OverflowError beyond ``limit``."""
+
+    def read(steps) -> tuple[bytes, int, str, int]:
+        d, out, size = make(), [], 0
+        for a, b in steps:
+            data = raw[a:b]
+            while True:
+                try:
+                    got = d.decompress(data, limit + 1 - size)
+                except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                    return b"".join(out), a, "damaged", a
+                out.append(got)
+                size += len(got)
+                if size > limit:
+                    raise OverflowError
+                if d.eof:
+                    return b"".join(out), b - len(d.unused_data), "", a
+                data = getattr(d, "unconsumed_tail", b"")
+                if not data and (getattr(d, "needs_input", True) or not got):
+                    break
+        return b"".join(out), len(raw), "truncated", len(raw)
+
+    steps = [(a, min(a + CHUNK, len(raw))) for a in range(at, len(raw), CHUNK)]
+    out, end, state, bad = read(steps)
+    if state == "damaged":  # once more, by single bytes where it broke, for all that comes before
+        out, end, state, _ = read([x for x in steps if x[0] < bad] + [(i, i + 1) for i in range(bad, min(bad + CHUNK, len(raw)))])
+    return out, end, state
+
+
+def _expanded(raw: bytes, limit: int) -> Iterator[tuple[bytes | None, int, int, str]]:
+    """(content, start, end, state) of the compressed data in ``raw``, wherever it begins; members of one kind that follow each other are one."""
+    at = 0
+    while at < len(raw):
+        if at == 0 and _reader(raw, 0):
+            start = 0
+        elif m := MAGIC.search(raw, at):
+            start = m.start()
+        else:
+            return
+        if not (got := _reader(raw, start)):
+            at = start + 1
+            continue
+        make, sure = got
+        out, end, state = [], start, ""
+        try:
+            while end < len(raw) and (now := _reader(raw, end)) and now[1] == sure and (end == start or raw[end] == raw[start]):
+                part, stop, state = _member(raw, end, make, limit - sum(map(len, out)))
+                out.append(part)
+                end = stop
+                if state:
+                    break
+                if raw[start] == 0xFD:  # an xz stream may be padded with zeros
+                    end += len(raw[end:]) - len(raw[end:].lstrip(b"\0")) if raw[end:].lstrip(b"\0").startswith(b"\xfd7zXZ\0") else 0
+        except OverflowError:
+            yield None, start, len(raw), "oversize"
+            at = start + 1
+            continue
+        inner = b"".join(out)
+        if inner:
+            yield inner, start, end, state if sure or (state == "truncated" and start == 0) else ""
+        at = start + 1 if state else max(end, start + 1)
+
+
+def _layers(raw: bytes, where: Ranges, whole: Range, how: str, limit: int) -> Iterator[Layer]:
+    """``raw`` as a layer, and what is compressed in it, to any depth; a piece that can't be read in full is also given as None, by what it is."""
+    todo, seen = [(raw, where, whole, how)], set()
+    while todo:
+        raw, where, whole, how = todo.pop()
+        yield *_to_text(raw, where), how
+        for inner, a, b, state in _expanded(raw, limit):
+            at = whole if (a, b) == (0, len(raw)) else (int(where[0][a]), int(where[1][b - 1]))
+            if state:
+                yield None, _const(*at, 1), state
+            if inner is not None and (inner, at) not in seen:
+                seen.add((inner, at))
+                todo.append((inner, _const(*at, len(inner)), at, f"{how}>compressed"))
 
 
-def _base64(piece: str, where: list[Range], limit: int) -> tuple[str, list[Range], str] | None:
-    body = piece.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
-    whole = (where[0][0], where[len(piece) - 1][1])
-    if (inner := _expand(raw, limit)) is not None:
-        got = _bytes_to_layer(inner, [whole] * len(inner))
-        return got and (*got, "base64>compressed")
-    got = _bytes_to_layer(raw, [(where[i * 8 // 6][0], where[(i * 8 + 7) // 6][1]) for i in range(len(raw))])
-    if got is None or sum(c.isprintable() or c in "\n\r\t" for c in got[0]) < len(got[0]):
-        return None
-    return (*got, "base64")
+def _base64(runs: list[Range], layer: str, end: int, limit: int) -> Iterator[Layer]:
+    """The layers of a base64 run at its four alignments; ``runs``: its lines, ``end``: after the padding."""
+    body = "".join(layer[a:b] for a, b in runs).replace("-", "+").replace("_", "/")
+    i = np.concatenate([np.arange(a, b) for a, b in runs])
+    for skip in range(4):
+        n = len(body) - skip
+        n -= n % 4 == 1
+        raw = base64.b64decode(body[skip : skip + n] + "=" * (-n % 4))
+        if raw:
+            bits = 8 * np.arange(len(raw))
+            yield from _layers(raw, (i[skip + bits // 6], i[skip + (bits + 7) // 6] + 1), (int(i[skip]), end), "base64", limit)
 
 
 def scan(text: str, hints: tuple[bool, ...] = (True,) * 5, limit: int = MAX_LAYER_CHARS) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, via) by start and kind; ``via`` names the layers around a secret, '' for none."""
     found = {s: "" for s in base_spans(text, hints[:3])}
     seen: set[tuple] = set()
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    todo: list[tuple[str, list[Range] | None, str]] = [(text, None, "")]
+    known: dict[str, tuple[list, list]] = {}
+    todo: list[tuple[str, Ranges | None, str]] = [(text, None, "")]
     while todo:
         layer, where, via = todo.pop()
-        if where is not None:
+        if where is None:
+            parts = _decoded(layer, hints, limit)
+        else:
             if layer not in known:
-                known[layer] = base_spans(layer)
-            for kind, a, b in known[layer]:
-                found.setdefault((kind, where[a][0], where[b - 1][1]), via)
-        for piece, ranges, how in _decoded(layer, where, hints if where is None else (True,) * 5, limit):
+                known[layer] = base_spans(layer), list(_decoded(layer, (True,) * 5, limit))
+            spans, parts = known[layer]
+            for kind, a, b in spans:
+                found.setdefault((kind, int(where[0][a]), int(where[1][b - 1])), via)
+        for piece, inner, how in parts:
             path = f"{via}>{how}" if via else how
+            at = _within(where, inner)
             if piece is None:
-                found.setdefault(("oversize", ranges[0][0], ranges[-1][1]), path)
-            elif piece and (place := (piece, tuple(ranges))) not in seen:
+                found.setdefault((how, int(at[0][0]), int(at[1][-1])), path)
+            elif piece and (place := _place(piece, at)) not in seen:
                 seen.add(place)
-                todo.append((piece, ranges, path))
+                todo.append((piece, at, path))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((*s, via) for s, via in found.items()), key=lambda x: (x[1], order.get(x[0], 9), x[2]))
 
 
-def _decoded(layer: str, where: list[Range] | None, hints: tuple[bool, ...], limit: int):
-    own = lambda m: [(i, i + 1) for i in range(*m.span())] if where is None else where[m.start() : m.end()]
-    if hints[3]:
-        for m in ESCAPED.finditer(layer):
-            if "%" in m[0] and (got := _unescape(m[0], own(m), PERCENT, _percent)):
-                yield *got, "url"
-            if "\\" in m[0] and (got := _unescape(m[0], own(m), UNICODE, _unicode)):
-                yield *got, "unicode"
+def _decoded(layer: str, hints: tuple[bool, ...], limit: int) -> Iterator[Layer]:
+    """What ``layer`` holds in one encoding more: (text or None, ranges in ``layer``, how)."""
+    if hints[3] and ("%" in layer or "\\" in layer):
+        for m in TOKEN.finditer(layer):
+            if "%" in m[0] and PERCENT.search(m[0]):
+                yield from _layers(*_unescape(m[0], m.start(), PERCENT, _percent), m.span(), "url", limit)
+            if "\\" in m[0] and UNICODE.search(m[0]):
+                raw, where = _unescape(m[0], m.start(), UNICODE, _unicode)
+                yield *_to_text(raw, where), "unicode"
+        for m in LINE.finditer(layer) if "\\" in layer else ():
+            if HIGH.search(m[0]):
+                yield from _layers(*_unescape(m[0], m.start(), BYTES, _byte), m.span(), "unicode", limit)
     if hints[4]:
+        wrapped = []
+        for m in WRAPPED.finditer(layer):
+            runs = [(m.start() + r.start(), m.start() + r.end()) for r in BASE64_LINE.finditer(BREAK.sub(lambda x: " " * len(x[0]), m[0]))]
+            if sum(b - a for a, b in runs) >= 16:
+                wrapped.append(m.span())
+                yield from _base64(runs, layer, m.end(), limit)
+        at = 0
         for m in BASE64.finditer(layer):
-            try:
-                if got := _base64(m[0], own(m), limit):
+            while at < len(wrapped) and wrapped[at][1] <= m.start():
+                at += 1
+            line = at < len(wrapped) and wrapped[at][0] <= m.start()  # that a stream ends with its line says nothing
+            for got in _base64([(m.start(), m.start() + len(m[0].rstrip("=")))], layer, m.end(), limit):
+                if not (line and got[2] in ("truncated", "damaged")):
                     yield got
-            except OverflowError:
-                yield None, own(m), "oversize"
 
 
 def find_secrets(docs: DataFrame, text: str = "text", max_layer_chars: int = MAX_LAYER_CHARS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, and on the awkward cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import os
@@ -174,6 +175,25 @@ def test_op3_equal_pieces_at_each_place():
     assert [x[:3] for x in secret_scan.scan(text)] == [("assign", 0, n), ("assign", n + 5, 2 * n + 5), ("assign", 2 * n + 10, len(text))]
 
 
+def test_op3_unwraps_to_a_fixpoint():
+    secret = b"password = hunter2abc"
+    text = lambda x: base64.b64encode(x).decode()
+    rng = random.Random(1)
+    long = gzip.compress(" ".join(str(rng.random()) for _ in range(40)).encode() + b" " + secret)
+    lines = [text(long)[i : i + 76] for i in range(0, len(text(long)), 76)]
+    whole = [
+        text(gzip.compress(gzip.compress(secret))), text(bz2.compress(zlib.compress(secret))), text(gzip.compress(b"first") + gzip.compress(secret)),
+        "".join(f"%{c:02x}" for c in gzip.compress(secret)), "".join(f"\\x{c:02x}" for c in gzip.compress(secret)), "\n".join(lines), "\\n".join(lines),
+    ]
+    for case in whole:
+        assert [x[:3] for x in secret_scan.scan(case)] == [("assign", 0, len(case))]
+    for before in (b"\0", b"\x1b[0m", "\u00a0".encode(), "\ufeff".encode(), "\u200b".encode(), b"na\xefve "):
+        assert [k for k, *_ in secret_scan.scan(text(before + secret))] == ["assign"]
+    for before, after in (("/api/v1/x/", "/more"), ("key_", ""), ("abcd-e-", ""), ("/a/b1/", "/rest")):
+        assert [x[:3] for x in secret_scan.scan(before + text(secret) + after)] == [("assign", len(before), len(before) + 28)]
+    assert ("truncated", "truncated") in [(k, via) for k, _, _, via in secret_scan.scan(text(long[:-20]))]
+
+
 def test_op3_base_spans(spark, docs):
     rows = {r.doc_id: r for r in queries.op3_secret_scan(spark, D).collect()}
     for i, t in docs:
