@@ -2,14 +2,18 @@
 
 1. Equal vectors are one class, weighted by its copies.
 2. A rotation of the principal axes is learnt on a bounded sample (``max_sample`` classes, by hash) so that signs lose
-   least: signs and rotation are fitted to each other in turn. Every class then gets its code, in ``rotations`` codings
+   least: signs and rotation are fitted to each other in turn. Every class then gets its code, in several codings
    that start from different random rotations.
-3. Codes are cut into substrings of about log2(classes) bits. A pair of codes that differs by one bit at most in some
-   substring meets in that substring's table: one side is entered as it is, the other with each bit turned.
+3. Codes are cut into substrings. A pair of codes that differs by one bit at most in some substring meets in that
+   substring's table: one side is entered as it is, the other with each bit turned. How many substrings and codings there
+   are follows from ``recall``, whatever the number of classes: more classes need wider substrings, in which fewer pairs
+   meet, and so more codings. The width is the one that costs least by the share of bits that turn in pairs at the
+   threshold; then codings are added until ``recall`` of such pairs meet. The pairs are made from the sample: a vector,
+   and it turned to the threshold's angle towards another one of the sample, or towards a random direction.
 4. Of the pairs that meet, those within ``radius`` bits are ranked again by the cosine of the original vectors in double
    precision; from ``threshold`` on they are links. Components follow from the links.
 
-No bucket is capped. Recall depends on the data; tests measure it against brute force.
+No bucket is capped. Recall on real pairs depends on the data; tests measure it against brute force.
 
 Defined cases: a vector that is null or zero, or holds a null or a component that isn't finite, links with
 nothing; vectors of different length never link; rows of one id are one vertex; rows without an id are vertices by their
@@ -31,7 +35,10 @@ from .components import components
 
 THRESHOLD = 0.9
 BITS = 64
+#: Codings there are at least.
 ROTATIONS = 2
+#: Share of the pairs at the threshold that are to meet.
+RECALL = 0.995
 MAX_SAMPLE = 8192
 
 
@@ -80,10 +87,84 @@ def _classes(rows: DataFrame, vector: str) -> DataFrame:
     return rows.select("v", F.col(vector)).mapInArrow(run, "v long, dim int, raw binary")
 
 
-def _tables(codes: DataFrame, bits: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """(table, key, v, code) as entered and as probed."""
-    m = max(1, min(bits, round(bits / max(8.0, math.log2(max(2, n))))))
-    cuts = [bits * i // m for i in range(m + 1)]
+def _cuts(bits: int, m: int) -> list[int]:
+    return [bits * i // m for i in range(m + 1)]
+
+
+def _within_one(p: float, width: int) -> float:
+    """Probability that at most one of ``width`` bits turns."""
+    return (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+
+
+def _substrings(bits: int, n: int, p: float, recall: float) -> int:
+    """Number of substrings by which ``n`` codes meet at least cost, if each bit of a pair turns with probability ``p``."""
+
+    def cost(m: int) -> float:
+        widths = np.diff(_cuts(bits, m))
+        apart = float(np.prod([1 - _within_one(p, int(w)) for w in widths]))
+        codings = ROTATIONS if apart <= 0 else max(ROTATIONS, math.log(1 - recall) / min(-1e-12, math.log(apart)))
+        return codings * sum(w + 2 + (w + 1) * n / 2.0**w for w in widths)
+
+    return min(range(1, bits + 1), key=cost)
+
+
+def _threshold_pairs(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors whose cosine is the threshold: turned towards others of ``x``, and towards random directions."""
+    rng = np.random.default_rng(0)
+    t = max(-1.0, min(1.0, threshold))
+    out = []
+    for other in (x[rng.permutation(len(x))], rng.normal(size=x.shape)):
+        u = other - np.einsum("ij,ij->i", other, x)[:, None] * x
+        size = np.linalg.norm(u, axis=1)
+        usable = size > 1e-6
+        if usable.any():
+            out.append((x[usable], t * x[usable] + math.sqrt(1 - t * t) * u[usable] / size[usable, None]))
+    return out
+
+
+def _radius(bits: int, p: float) -> int:
+    """The share of the bits that turns, and four standard deviations."""
+    return math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+
+
+def _codings(x: np.ndarray, bits: int, n: int, threshold: float, rotations: int | None, radius: int | None, recall: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """The codings, the number of substrings of each, and the radius; ``rotations``: so many codings, else as many as ``recall`` asks for.
+
+    A radius that is given isn't held against the codings. If learnt codings leave the same pairs apart, further ones are plain
+    random rotations about zero, for which any pair's bits turn by its angle alone.
+    """
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    pairs = _threshold_pairs(x, threshold)
+    apart = [np.ones(len(a), bool) for a, _ in pairs]
+    codings: list[tuple[np.ndarray, np.ndarray]] = []
+    m, within, learnt = 1, bits, True
+    while len(codings) < (rotations or ROTATIONS) or (rotations is None and any(o.mean() > 1 - recall for o in apart)):
+        seed = len(codings)
+        if learnt:
+            one = learn_rotation(x, bits, seed)
+        else:
+            one = np.zeros(x.shape[1]), np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], bits)))[0]
+        turned = [_codes(a, *one) ^ _codes(b, *one) for a, b in pairs]
+        if not codings:
+            share = max([p, *[float(np.bitwise_count(d).mean()) / bits for d in turned]])
+            m = _substrings(bits, n, share, recall)
+            within = _radius(bits, share)
+        codings.append(one)
+        cuts = _cuts(bits, m)
+        before = sum(int(o.sum()) for o in apart)
+        for o, d in zip(apart, turned, strict=True):
+            met = np.zeros(len(d), bool)
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                met |= np.bitwise_count((d >> np.uint64(i)) & np.uint64((1 << (j - i)) - 1)) <= 1
+            o &= ~(met & (np.bitwise_count(d) <= (bits if radius is not None else within)))
+        expected = 1 - float(np.prod([1 - _within_one(p, j - i) for i, j in zip(cuts, cuts[1:], strict=False)]))
+        learnt = learnt and before - sum(int(o.sum()) for o in apart) >= before * expected / 4
+    return codings, m, within if radius is None else radius
+
+
+def _tables(codes: DataFrame, bits: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """(table, key, v, code) as entered and as probed, for ``m`` substrings."""
+    cuts = _cuts(bits, m)
     parts = []
     for j in range(m):
         width = cuts[j + 1] - cuts[j]
@@ -99,15 +180,13 @@ def _tables(codes: DataFrame, bits: int, n: int) -> tuple[DataFrame, DataFrame]:
     return entered, probed
 
 
-def _links(classes: DataFrame, dim: int, threshold: float, rotations: int, radius: int | None, max_sample: int) -> DataFrame:
+def _links(classes: DataFrame, dim: int, threshold: float, rotations: int | None, radius: int | None, max_sample: int, recall: float) -> DataFrame:
     bits = min(BITS, dim)
-    if radius is None:  # the angle's share of the bits, and four standard deviations
-        p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-        radius = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("raw"), "v").limit(max_sample).select("raw").toPandas()["raw"].map(bytes).tolist()
     x = _unit(sorted(sample)) if sample else np.zeros((1, dim))
-    held = classes.sparkSession.sparkContext.broadcast([learn_rotation(x, bits, seed) for seed in range(rotations)])
+    codings, m, radius = _codings(x, bits, n, threshold, rotations, radius, recall)
+    held = classes.sparkSession.sparkContext.broadcast(codings)
 
     def code(batches):
         for batch in batches:
@@ -117,7 +196,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, rotations: int, radiu
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), r, np.int32)), batch.column(0), pa.array(c)], names=["rotation", "v", "code"])
 
     codes = common.written(classes.select("v", "raw").mapInArrow(code, "rotation int, v long, code long"), "codes")
-    entered, probed = _tables(codes, bits, n)
+    entered, probed = _tables(codes, bits, m)
     near = F.bit_count(F.col("code").bitwiseXOR(F.col("other"))) <= radius
     met = entered.join(probed.withColumnRenamed("v", "w").withColumnRenamed("code", "other"), ["rotation", "table", "key"]).filter((F.col("v") < F.col("w")) & near)
     met = common.written(met.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct(), "met-vectors")
@@ -132,7 +211,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, rotations: int, radiu
 
 def near_vectors(
     vectors: DataFrame, vector: str = "embedding", vec: str = "vec_id", threshold: float = THRESHOLD,
-    rotations: int = ROTATIONS, radius: int | None = None, max_sample: int = MAX_SAMPLE,
+    rotations: int | None = None, radius: int | None = None, max_sample: int = MAX_SAMPLE, recall: float = RECALL,
 ) -> DataFrame:
     """(vec, n_links, component_id, kept) for every row: links to other vectors, smallest id reachable."""
     rows = vectors.select(vec, vector).withColumn("v", F.coalesce(F.col(vec).cast("long"), F.xxhash64(vector).bitwiseOR(F.lit(-(1 << 63)))))
@@ -141,7 +220,7 @@ def near_vectors(
     found = None
     for row in classes.select("dim").distinct().orderBy("dim").toLocalIterator():
         own = classes.filter(F.col("dim") == row["dim"]).select("v", "raw")
-        one = _links(own, row["dim"], threshold, rotations, radius, max_sample)
+        one = _links(own, row["dim"], threshold, rotations, radius, max_sample, recall)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = classes.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,37 @@ def test_op4_recall_and_odd_vectors(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_op4_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    x, u = rng.normal(size=(2, 14_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    t = 0.9005
+    both = np.concatenate([x, t * x[:6000] + np.sqrt(1 - t * t) * u[:6000]])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(both)), "embedding": both.tolist()}))
+    found = embedding_dedup.near_vectors(df).filter("vec_id >= 14000 and n_links > 0").count()
+    assert found >= 0.985 * 6000
+
+
+def test_op4_plan_keeps_recall_at_any_size():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    for shift in (0, 1.5):  # about zero, and far from it
+        y = x + shift
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        a, b = embedding_dedup._threshold_pairs(y[::-1], 0.9)[1]
+        for n in (1000, 50_000, 3_000_000):
+            codings, m, radius = embedding_dedup._codings(y, 64, n, 0.9, None, None, 0.995)
+            met = np.zeros(len(a), bool)
+            for one in codings:
+                d = embedding_dedup._codes(a, *one) ^ embedding_dedup._codes(b, *one)
+                cuts = [64 * i // m for i in range(m + 1)]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    met |= (np.bitwise_count((d >> np.uint64(i)) & np.uint64((1 << (j - i)) - 1)) <= 1) & (np.bitwise_count(d) <= radius)
+            assert met.mean() >= 0.985
+
+
 def brute_near(rows, size, share):
     sets = {}
     for i, t in rows:
