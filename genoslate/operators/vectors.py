@@ -36,12 +36,25 @@ def nearest_to_id(vectors: DataFrame, query_id, k: int = 10, threshold: float |
 
 #: Query vectors that a broadcast block holds; more queries are more blocks.
 BLOCK = 4096
+#: Queries that a batch is compared with at a time.
+AT_ONCE = 256
+#: More than a product of unit matrices can be off.
+ROUNDING = 1e-9
+
+
+def _dots(a: np.ndarray, b: np.ndarray, at_a=slice(None), at_b=slice(None)) -> np.ndarray:
+    """Inner products of rows, summed in the order of the components, so that they depend on the two rows only."""
+    out = np.zeros(len(a[at_a, 0]))
+    for j in range(a.shape[1]):
+        out += a[at_a, j] * b[at_b, j]
+    return out
 
 
 def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """(query, key, score, rank): the exact k nearest of each query row, in blocks of queries of a fixed size.
 
-    Each task multiplies its batch with the block and keeps k per query; those are then ranked per query.
+    Each task multiplies its batch with the block, which tells all rows that may be among the k best; their scores are then
+    summed in a fixed order, and the k first by score and key are kept per query. Those are ranked per query.
     """
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
@@ -53,22 +66,29 @@ def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int, key: str =
             continue
         ids = part["q"].to_numpy()
         m = np.stack(part["v"]).astype(np.float64)
-        m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-300
+        m /= np.sqrt(_dots(m, m))[:, None] + 1e-300
         held = vectors.sparkSession.sparkContext.broadcast((ids, m))
 
         def run(frames, held=held):
             ids, m = held.value
             for pdf in frames:
                 x = np.stack(pdf[vector]).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-300
+                x /= np.sqrt(_dots(x, x))[:, None] + 1e-300
                 own = pdf[key].to_numpy()
-                s = m @ x.T
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                take = min(k + 8, s.shape[1])
-                at = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                q = np.repeat(ids, take)
-                yield pd.DataFrame({"query": q, key: own[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()}).query("score > -inf")
+                place = pd.factorize(own, sort=True)[0]
+                for i in range(0, len(ids) if len(own) else 0, AT_ONCE):
+                    s = m[i : i + AT_ONCE] @ x.T
+                    s[np.isnan(s)] = -np.inf
+                    if exclude_self:
+                        s[ids[i : i + AT_ONCE, None] == own[None, :]] = -np.inf
+                    take = min(k, s.shape[1])
+                    cut = -np.partition(-s, take - 1, axis=1)[:, take - 1]
+                    q, at = np.nonzero((s >= cut[:, None] - ROUNDING) & (s > -np.inf))
+                    score = _dots(m[i : i + AT_ONCE], x, q, at)
+                    order = np.lexsort((place[at], -score, q))
+                    q, at, score = q[order], at[order], score[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    yield pd.DataFrame({"query": ids[i : i + AT_ONCE][q[best]], key: own[at[best]], "score": score[best]})
 
         kind = dict(vectors.dtypes)[key]
         one = vectors.select(key, vector).mapInPandas(run, f"query {kind}, {key} {kind}, score double")

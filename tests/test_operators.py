@@ -152,6 +152,16 @@ def test_vectors_against_numpy(spark):
     assert vectors.nearest_to_vector(d, x[0].tolist(), 1).first().vec_id == 0
 
 
+def test_nearest_with_more_ties_than_places(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8, 16))
+    ids = rng.permutation(400).tolist()
+    d = spark.createDataFrame([(i, x[i % 8].tolist()) for i in ids], "vec_id long, embedding array<double>")
+    for parts in (1, 7):
+        per = vectors.nearest_per_query(d.repartition(parts), d.filter("vec_id < 20"), 5).orderBy("query", "rank").collect()
+        assert [r.vec_id for r in per] == [j for q in range(20) for j in [j for j in range(q % 8, 400, 8) if j != q][:5]]
+
+
 def test_sets_graph_and_scalars(spark):
     empty = spark.createDataFrame([], "set_name string, id int")
     two = spark.createDataFrame([(1,), (2,)], "id int")
