@@ -5,12 +5,14 @@ Every byte that a string of ``width`` bytes covers, which also starts anywhere e
 1. Parse: rolling-hash triggers cut each text into overlapping phrases (see ``repeats``). The parse of a text is
    the sequence of its phrases, the dictionary the set of distinct phrases; only phrases whose trigger occurs twice
    can hold a repeated string, and only those are kept.
-2. Parse order: a phrase that the parse holds twice repeats whole, with all its windows. Counting phrase names (a
+2. Parse: a phrase that the parse holds twice repeats whole, with all its windows. Counting phrase names (a
    grouping with partial sums) settles that without looking at text.
-3. Dictionary order: other repeats are between different phrases of the same trigger. Their texts are fetched once per
-   distinct phrase, dealt out to groups of bounded size by trigger, and the suffixes that start a window are
-   sorted there by their first ``width`` bytes; neighbours that are equal repeat. A trigger with more phrases than a group may
-   hold is split at random, and its suffix names are then counted over its groups.
+3. Dictionary: other repeats are between different phrases of the same trigger. Their texts are fetched once per
+   distinct phrase, dealt out to groups of bounded size by trigger, and the windows are named
+   there by a 128-bit hash of their ``width`` bytes; names that occur twice repeat. A trigger with more phrases than a group may
+   hold is split at random, and its names are then counted over its groups.
+
+Neither suffix array is built: only the equality of windows is asked for, not their order.
 4. The verdicts on phrases go back to where they stand, and the texts lose the covered bytes.
 
 Defined cases: a null or empty text has no bytes and loses none; equal rows repeat each other; an empty table gives an
@@ -54,7 +56,7 @@ def suffix_names(bodies: list[bytes], n: np.ndarray, width: int) -> tuple[np.nda
 
 
 def equal_neighbours(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by name, and for each suffix the index of its class."""
+    """An order that brings equal names together (not a suffix order), and for each window the index of its class."""
     order = np.argsort(a, kind="stable")
     same = a[order][1:] == a[order][:-1]
     if (b[order][1:][same] != b[order][:-1][same]).any():
@@ -67,7 +69,7 @@ def equal_neighbours(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _leaves(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Sorts the suffixes of one group of phrases; see ``repeats.settle`` for the rows."""
+    """Groups the windows of one group of phrases by name; see ``repeats.settle`` for the rows."""
     pdf = pdf.drop_duplicates(["trigger", "phrase"])  # equal rows bring a phrase twice
     n = pdf["n"].to_numpy(np.int64)
     a, b = suffix_names(pdf["body"].tolist(), n, width)
