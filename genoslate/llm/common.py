@@ -2,48 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.shared import written
+
+__all__ = ["fresh", "map_text", "reduce_text", "row_key", "slices", "word_hashes", "written"]
+
 #: A word, as Java and Python regular expressions spell it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a Python task holds at a time; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
+#: Rows that it holds at most: short texts have a cost of their own.
+SLICE_ROWS = 2048
 TEXT = "__text"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="genoslate-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of ``batch`` whose texts (binary column ``at``) hold about ``limit`` bytes."""
+    """Row ranges of ``batch`` whose texts (binary column ``at``) hold about ``limit`` bytes, in SLICE_ROWS rows at most."""
     sizes = pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < len(ends):
         stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right"))
-        stop = max(stop, start + 1)
+        stop = max(min(stop, start + SLICE_ROWS), start + 1)
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -105,6 +93,14 @@ def row_key(text: str = "text", doc: str = "doc_id"):
     return F.xxhash64(F.coalesce(F.col(doc).cast("string"), F.lit("∅")), F.coalesce(F.col(text), F.lit("")))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so: what an operator adds on its way never meets the caller's columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 M64 = (1 << 64) - 1
 
 
@@ -115,3 +111,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def _odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    one = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
+    return one(np.uint64(BASE)), one(np.uint64(pow(BASE, -1, 1 << 64)))
+
+
+BASE = 0x9E3779B97F4A7C15 | 1
+#: Tokens that are hashed at once; powers are kept for so many.
+PIECE = 1 << 20
+_kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P and I with hash(i, j) = (P[j] - P[i]) * I[i] for tokens i..j-1, all modulo 2**64."""
+    if len(x) > 2 * PIECE:
+        power, inverse = _odd_powers(len(x))
+    else:
+        if not _kept:
+            _kept.append(_odd_powers(2 * PIECE))
+        power, inverse = _kept[0]
+    p = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * power[: len(x)], out=p[1:])
+    return p, inverse
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LOWER = _BYTES.copy()
+_LOWER[65:91] = _BYTES[97:123]
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> list[np.ndarray]:
+    """A 64-bit hash of each word (see WORD) of each whole text, A-Z lowered if asked for."""
+    table = _LOWER if lower else _BYTES
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    gap = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1)))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # words of one piece together; a longer word is a piece of its own
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + PIECE, side="right")))
+        a, b = int(start[at]), int(end[stop - 1])
+        p, inverse = prefix_sums(table[raw[a:b]])
+        i, j = start[at:stop] - a, end[at:stop] - a
+        out[at:stop] = mix64(mix64((p[j] - p[i]) * inverse[i]) ^ (j - i).astype(np.uint64))
+        at = stop
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(out, np.searchsorted(start, ends)[:-1]) if texts else []

@@ -1,4 +1,8 @@
-"""Connected components of links, by large-star and small-star steps over tables."""
+"""Connected components of links, by large-star and small-star steps over tables.
+
+Defined cases: links with a null end, and those of a vertex with itself, tie nothing; repeated links count once; no links
+give an empty table; other columns of the links are left behind. If ``most_rounds`` don't suffice, RuntimeError is raised.
+"""
 
 from __future__ import annotations
 
@@ -23,9 +27,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
     before = _mark(edges)
-    for _ in range(most_rounds):
-        if before[0] == 0:
-            break
+    for _ in range(most_rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -37,4 +39,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))

@@ -2,23 +2,22 @@
 
 A document is the set of its distinct word shingles. In each of several independent trees, documents are branched by
 minwise tokens: a node holds the documents that agree in the smallest token of the first hash, then of the second,
-and so on. A node of at most ``leaf`` documents is a leaf; a larger one branches on, to ``depth`` at most. Two sets of
-similarity s share a node of depth d with probability s**d, so ``trees`` follows from the recall asked for at the
-threshold.
+and so on. A node of at most ``leaf`` documents is a leaf at once; after ``depth`` levels one of at most ``node`` is. A larger
+node branches on by two tokens a level, each chosen by the node, as long as that makes it smaller: what doesn't shrink any more
+agrees in most tokens, and is compared exhaustively in blocks. Two sets of similarity s share a node of depth d with
+probability s**d, and two tokens a level keep what is above one half, so ``trees`` follows from the recall asked for at the threshold.
 
 1. Documents of equal sets are one class (by a 128-bit fingerprint and the size), and its first stands for it.
-2. Each leaf's documents first look at the leaf's smallest: those that meet it in several trees, with like minwise tokens,
-   are tied to it, and what is tied together is a hub. Ties are linear in the documents, and prove nothing yet.
-3. Leaves are then compared exhaustively across hubs, in blocks of a fixed size: minwise tokens estimate the similarity, and
-   pairs more than five standard deviations short of the threshold go.
-4. Links are confirmed on full sets. The pairs across hubs are joined with their texts. A hub is taken whole, in
-   blocks of a fixed number of shingles: one document is compared with all of its block, then every document
+2. Leaves are compared exhaustively by minwise tokens, which estimate the similarity: pairs more than five standard deviations
+   short of the threshold go. Of the others, a leaf gives only links that connect what they connect, at most one a document.
+3. What these links connect is a hub, and every candidate pair lies within one. Links are confirmed on full sets, a hub
+   at a time, in blocks of a fixed number of shingles: one document is compared with all of its block, then every document
    which isn't yet joined to the main component, until all that were never compared are connected. So near copies by the
    thousand cost few comparisons, and no link between components is lost.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of one id are one document; rows
 without an id are documents by their text, and are kept unless they reach one with an id; an empty table gives an
-empty table; input columns named like an output are replaced.
+empty table; input columns named like an output are replaced, all others come back as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,33 +38,19 @@ THRESHOLD = 0.8
 DEPTH = 3
 LEAF = 32
 RECALL = 0.99999
-#: Trees in which a document must meet a leaf's smallest to be tied to it, and the share of like minwise tokens.
-VOTES = 3
-TIE = 0.5
-#: Documents of a node compared in one block; shingles of a hub held in one block.
-BLOCK = 4096
+#: Documents of a node compared in one block; shingles of a hub held in one block; rows and shingles of a task.
+NODE = 4096
 BLOCK_SHINGLES = 1 << 20
-REMEMBERED = 1 << 20
-CONFIRM = 1 << 12
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
+TASK_ROWS = 200_000
+TASK_SHINGLES = 4 << 20
+#: A node goes on branching while it has at most this share of its parent's documents.
+SHRINK = 0.7
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each whole text."""
     out = []
-    for text in texts:
-        words = text.lower().split()
-        w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    for w in common.word_hashes(texts, lower=True):
         k = min(size, len(w))
         if k == 0:
             out.append(w)
@@ -131,18 +115,31 @@ def _paths(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.select("v", "n", "sig").mapInArrow(run, schema)
 
 
-def _leaves(paths: DataFrame, depth: int, leaf: int) -> DataFrame:
-    """(node, v, sketch): each class at its leaf in each tree; nodes with one document are left out."""
+def _leaves(paths: DataFrame, depth: int, leaf: int, width: int, most: int) -> DataFrame:
+    """(node, v, sketch, m): each class at its leaf in each tree; nodes with one document are left out."""
     out = None
     rest = paths.withColumn("node", F.col("p1"))
     for d in range(1, depth + 1):
         sizes = rest.groupBy(F.col(f"p{d}").alias("node")).agg(F.count("*").alias("m")).filter("m > 1")
         here = rest.drop("node").withColumn("node", F.col(f"p{d}")).join(sizes, "node")
-        small = here if d == depth else here.filter(F.col("m") <= leaf)
-        small = small.select("node", "v", "sketch", "m")
+        small = here.filter(F.col("m") <= (leaf if d < depth else most)).select("node", "v", "sketch", "m")
         out = small if out is None else out.unionByName(small)
+        rest = common.written(here.filter(F.col("m") > (leaf if d < depth else most)).drop("node"), f"branch-{d}")
         if d < depth:
-            rest = common.written(here.filter(F.col("m") > leaf).drop("node", "m"), f"branch-{d}").withColumn("node", F.col(f"p{d + 1}"))
+            rest = rest.drop("m").withColumn("node", F.col(f"p{d + 1}"))
+    rest = rest.select(F.col(f"p{depth}").alias("node"), "v", "sketch", "m")
+    level = depth
+    while not rest.isEmpty():  # each level has SHRINK of the documents a node at most
+        level += 1
+        token = lambda j: (F.pmod(F.xxhash64("node", F.lit(level), j), F.lit(width)) * 2 + 1).cast("int")  # noqa: E731, B023
+        child = rest.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", token(F.col("j")))
+        child = child.select(F.xxhash64("node", "j", F.substring("sketch", F.col("at"), F.lit(2))).alias("node"), "v", "sketch", F.col("m").alias("above"))
+        child = common.written(child, f"branch-{level}")
+        sizes = child.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
+        child = child.join(sizes, "node")
+        done = (F.col("m") <= most) | (F.col("m") > F.col("above") * SHRINK)
+        out = out.unionByName(child.filter(done).drop("above"))
+        rest = common.written(child.filter(~done).drop("above"), f"large-{level}")
     return common.written(out, "leaves")
 
 
@@ -156,73 +153,121 @@ def _in_blocks(rows: DataFrame, group: str, chunks: Column, buckets: int) -> Dat
     return out.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int"))
 
 
-def _pairs_in_nodes(rows: DataFrame, width: int, least: int, buckets: int) -> DataFrame:
-    """(a, b) with a < b: documents of one node whose hubs differ and whose sketches are alike."""
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position each of ``n`` reaches by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _probe(n: int, hits) -> list[tuple[int, int]]:
+    """Pairs of positions that connect what all pairs would, where ``hits(x)`` gives the positions linked with x.
+
+    A position that was compared with all others is probed. The result is exact once all positions never probed are
+    connected: a pair across components then has a probed member.
+    """
+    root = np.arange(n)
+    probed = np.zeros(n, bool)
+    links, x = [], 0
+    while n:
+        probed[x] = True
+        hit = hits(x)
+        fresh = hit[root[hit] != root[x]]
+        for r in np.unique(root[fresh]).tolist():
+            links.append((x, int(fresh[root[fresh] == r][0])))
+            root[root == r] = root[x]
+        open_ = np.flatnonzero(~probed)
+        if not len(open_):
+            break
+        names, count = np.unique(root[open_], return_counts=True)
+        outside = open_[root[open_] != names[count.argmax()]]
+        if not len(outside):
+            break
+        x = int(outside[0])
+    return links
+
+
+def alike(node: np.ndarray, sketch: np.ndarray, least: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) that connect what all pairs of one node with ``least`` like tokens connect; ``node`` is sorted."""
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(node)))
+    found_a, found_b = [], []
+    small = np.repeat(size <= leaf, size)
+    left = np.flatnonzero(small[:-1] & (node[1:] == node[:-1])) if len(node) > 1 else np.zeros(0, np.int64)
+    step = 1
+    while len(left):  # neighbours at distance 1, 2, ... within small nodes, all of them at once
+        for at in range(0, len(left), 1 << 16):
+            k = left[at : at + (1 << 16)]
+            k = k[(sketch[k] == sketch[k + step]).sum(axis=1) >= least]
+            found_a.append(k)
+            found_b.append(k + step)
+        step += 1
+        left = left[left + step < len(node)]
+        left = left[node[left] == node[left + step]]
+    a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
+    b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
+    root = _joined(len(node), a, b)
+    tied = np.flatnonzero(root != np.arange(len(node)))
+    a, b = [root[tied]], [tied]
+    for f, n in zip(first[size > leaf].tolist(), size[size > leaf].tolist(), strict=True):
+        own = sketch[f : f + n]
+        links = _probe(n, lambda x, own=own: np.flatnonzero((own == own[x]).sum(axis=1) >= least))
+        a.append(f + np.array([x for x, _ in links], np.int64))
+        b.append(f + np.array([y for _, y in links], np.int64))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _candidates(leaves: DataFrame, width: int, least: int, most: int) -> DataFrame:
+    """(a, b): links that connect what all pairs of like sketches in the leaves connect, one a row of a leaf at most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "v"], kind="stable")
-        node, v, side = (pdf[c].to_numpy(np.int64) for c in ("block", "v", "hub"))
+        v = pdf["v"].to_numpy(np.int64)
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, width)
-        left = np.flatnonzero(node[1:] == node[:-1]) if len(node) > 1 else np.zeros(0, np.int64)
-        found = [np.zeros((0, 2), np.int64)]
-        step = 1
-        while len(left):  # neighbours at distance 1, 2, ... within a block
-            i = left[side[left] != side[left + step]]
-            for at in range(0, len(i), 1 << 16):
-                k = i[at : at + (1 << 16)]
-                k = k[(sketch[k] == sketch[k + step]).sum(axis=1) >= least]
-                found.append(np.stack([v[k], v[k + step]], axis=1))
-            step += 1
-            left = left[left + step < len(node)]
-            left = left[node[left] == node[left + step]]
-        pairs = np.unique(np.concatenate(found), axis=0)
+        a, b = alike(pdf["block"].to_numpy(np.int64), sketch, least)
+        pairs = np.unique(np.stack([np.minimum(v[a], v[b]), np.maximum(v[a], v[b])], axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = _in_blocks(rows, "node", F.ceil(F.col("m") / (BLOCK // 2)), buckets)
-    return dealt.groupBy("bucket").applyInPandas(run, "a long, b long")
+    rows = leaves.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("m") / (most // 2)))).alias("n")).first()["n"] or 0
+    buckets = max(64, -(-int(rows) // TASK_ROWS))
+    dealt = _in_blocks(leaves, "node", F.when(F.col("m") > most, F.ceil(F.col("m") / (most // 2))).otherwise(1), buckets)
+    return dealt.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
 def connect(sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
-    """Pairs of positions that connect all sets whose inner * 1e6 >= share * union, without comparing all pairs.
-
-    A set that was compared with all others is probed. The result is exact once all sets never probed are connected: a pair
-    across components then has a probed member.
-    """
+    """Pairs of positions that connect all sets whose inner * 1e6 >= share * union, without comparing all pairs."""
     size = np.array([len(x) for x in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), size)
-    token = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(row) else row
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32) if len(row) else row
     start = np.cumsum(size) - size
-    root = np.arange(len(sets))
-    probed = np.zeros(len(sets), bool)
-    links, mark = [], np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
-    todo = [0]
-    while todo:
-        x = todo.pop()
-        probed[x] = True
+    mark = np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
+
+    def hits(x: int) -> np.ndarray:
         own = token[start[x] : start[x] + size[x]]
         mark[own] = True
         inner = np.bincount(row[mark[token]], minlength=len(sets))
         mark[own] = False
-        hit = np.flatnonzero(inner * 1_000_000 >= share * (size + size[x] - inner))
-        fresh = hit[root[hit] != root[x]]
-        for r in np.unique(root[fresh]).tolist():
-            links.append((x, int(fresh[root[fresh] == r][0])))
-            root[root == r] = root[x]
-        open_ = np.flatnonzero(~probed)
-        if len(open_):
-            names, count = np.unique(root[open_], return_counts=True)
-            outside = open_[root[open_] != names[count.argmax()]]
-            if len(outside):
-                todo.append(int(outside[0]))
-    return links
+        return np.flatnonzero(inner * 1_000_000 >= share * (size + size[x] - inner))
+
+    return _probe(len(sets), hits)
 
 
-def _confirm_hubs(texts: DataFrame, hubs: DataFrame, size: int, threshold: float, buckets: int) -> DataFrame:
-    """Links that connect each hub's documents as all pairs of them would."""
+def _confirm(texts: DataFrame, hubs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links that connect each hub's documents as all pairs of them would: inner / union >= threshold, in whole numbers."""
     share = round(threshold * 1_000_000)
-    held = texts.join(hubs.select("v", "hub"), "v")
     total = hubs.groupBy("hub").agg(F.sum("n").alias("shingles"))
-    held = held.join(total, "hub").select("hub", "v", F.col("text").cast("binary").alias("text"), "shingles")
+    chunks = F.ceil(F.col("shingles") / (BLOCK_SHINGLES // 2))
+    alone = F.when(F.col("shingles") > BLOCK_SHINGLES, chunks).otherwise(1)
+    rows = total.agg(F.sum(F.col("shingles") * F.greatest(F.lit(1), alone - 1)).alias("n")).first()["n"] or 0
+    buckets = max(64, -(-int(rows) // TASK_SHINGLES))
+    held = texts.join(hubs.select("v", "hub"), "v").join(total, "hub")
+    held = held.select("hub", "v", F.col("text").cast("binary").alias("text"), "shingles")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -232,83 +277,36 @@ def _confirm_hubs(texts: DataFrame, hubs: DataFrame, size: int, threshold: float
             out += [(v[a], v[b]) for a, b in connect(shingle_sets(one["text"].tolist(), size), share)]
         return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
-    dealt = _in_blocks(held, "hub", F.ceil(F.col("shingles") / (BLOCK_SHINGLES // 2)), buckets).select("bucket", "block", "v", "text")
-    return common.written(dealt.groupBy("bucket").applyInPandas(run, "a long, b long"), "hub-links")
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets are as similar as asked: inner / union >= threshold, in whole numbers."""
-    share = round(threshold * 1_000_000)
-    one = texts.select(F.col("v").alias("a"), F.col("text").alias("s"))
-    two = texts.select(F.col("v").alias("b"), F.col("text").alias("t"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.col("s").cast("binary").alias("s"), F.col("t").cast("binary").alias("t"))
-
-    def run(batches):
-        for batch in batches:
-            for part in common.slices(batch, 2):
-                keep = []
-                memory: dict[bytes, np.ndarray] = {}
-                for s, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    for x in (s, t):
-                        if x not in memory:
-                            if len(memory) > CONFIRM:
-                                memory.clear()
-                            memory[x] = shingle_sets([x], size)[0]
-                    x, y = (memory[z] if z in memory else shingle_sets([z], size)[0] for z in (s, t))
-                    inner = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(inner * 1_000_000 >= share * (len(x) + len(y) - inner))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return common.written(both.mapInArrow(run, "a long, b long"), "near-links")
+    dealt = _in_blocks(held, "hub", alone, buckets).select("bucket", "block", "v", "text")
+    return common.written(dealt.groupBy("bucket").applyInPandas(run, "a long, b long"), "near-links")
 
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD,
-    depth: int = DEPTH, leaf: int = LEAF, recall: float = RECALL,
+    depth: int = DEPTH, leaf: int = LEAF, recall: float = RECALL, node: int = NODE,
 ) -> DataFrame:
     """``docs`` with n_shingles, component_id (smallest id reachable, itself included) and kept."""
     trees = tree_count(depth, threshold, recall)
     width = trees * depth
     # five standard deviations of a binomial count below its mean at the threshold
     least = math.floor(width * threshold - 5 * math.sqrt(width * threshold * (1 - threshold)))
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.withColumn("key", common.row_key(text, doc)).withColumn(
-        "v", F.coalesce(F.col(doc).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseOR(F.lit(-(1 << 63))))
+    plain = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
+    key, vertex = common.fresh(plain, "__key"), common.fresh(plain, "__v")
+    keyed = docs.select(*plain).withColumn(key, common.row_key(text, doc)).withColumn(
+        vertex, F.coalesce(F.col(doc).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseOR(F.lit(-(1 << 63))))
     )
-    sets = common.written(signatures(keyed.select("key", "v", F.col(text).alias("text")), shingle, trees, depth, "text"), "sets")
+    own = keyed.select(F.col(key).alias("key"), F.col(vertex).alias("v"), F.col(text).alias("text"))
+    sets = common.written(signatures(own, shingle, trees, depth, "text"), "sets")
     classes = sets.filter("n > 0").groupBy("n", "fa", "fb").agg(F.min(F.struct("v", "key", "sig")).alias("r"))
     classes = common.written(classes.select("n", "fa", "fb", "r.*"), "set-classes")
-    leaves = _leaves(_paths(classes, trees, depth), depth, leaf)
-
-    stars = leaves.groupBy("node").agg(F.min("v").alias("pivot"))
-    votes = leaves.select("node", "v").join(stars, "node").filter("v <> pivot").groupBy("v", "pivot").agg(F.count("*").alias("votes"))
-    ties = votes.filter(F.col("votes") >= VOTES).select("v", "pivot")
-    seen = classes.select("v", "sig")
-    both = ties.join(seen, "v").join(seen.select(F.col("v").alias("pivot"), F.col("sig").alias("other")), "pivot")
-
-    @F.pandas_udf("boolean")
-    def tied(s: pd.Series, t: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(c), np.uint64).reshape(-1, width) for c in (s, t))
-        return pd.Series((x == y).mean(axis=1) >= TIE)
-
-    hubs = components(both.filter(tied("sig", "other")).select(F.col("v").alias("a"), F.col("pivot").alias("b")))
-    hubs = hubs.select("v", F.col("root").alias("hub"))
+    leaves = _leaves(_paths(classes, trees, depth), depth, leaf, width, node)
+    hubs = components(_candidates(leaves, width, least, node)).select("v", F.col("root").alias("hub"))
     hubs = hubs.unionByName(hubs.select(F.col("hub").alias("v"), "hub")).distinct()
-    hubs = common.written(hubs.join(classes.select("v", "n"), "v"), "hubs")
-
-    hubbed = leaves.join(hubs.select("v", "hub"), "v", "left").withColumn("hub", F.coalesce("hub", "v"))
-    hubbed = common.written(hubbed, "leaf-hubs")
-    mixed = hubbed.groupBy("node").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).filter("x <> y").select("node")
-    across = hubbed.join(mixed, "node", "left_semi")
-    pairs = common.written(_pairs_in_nodes(across, width, least, buckets).distinct(), "near-pairs")
-
-    involved = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).unionByName(hubs.select("v")).distinct()
-    stands = common.written(classes.join(involved, "v", "left_semi").select("v", "key").distinct(), "near-stands")
-    texts = keyed.select("v", "key", F.col(text).alias("text")).join(stands.hint("shuffle_hash"), ["v", "key"], "left_semi")
+    hubs = common.written(hubs.join(classes.select("v", "n", "key"), "v").dropDuplicates(["v"]), "hubs")
+    stands = hubs.select("v", "key")
+    texts = own.join(stands.hint("shuffle_hash"), ["v", "key"], "left_semi")
     texts = common.written(texts.dropDuplicates(["v", "key"]).select("v", "text"), "near-texts")
-    links = _confirm(pairs, texts, shingle, threshold).unionByName(_confirm_hubs(texts, hubs, shingle, threshold, buckets))
-    roots = components(links)
+    roots = components(_confirm(texts, hubs, shingle, threshold))
 
     member = sets.select("key", "v", F.col("n").alias("n_shingles"), "fa", "fb")
     held = classes.select("n", "fa", "fb", F.col("v").alias("c"))
@@ -316,10 +314,13 @@ def near_duplicates(
     member = member.select("key", "v", "n_shingles", F.coalesce("c", "v").alias("c"))
     member = member.join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("key", "v", "n_shingles", F.coalesce("root", "c").alias("root"))
     member = common.written(member.distinct(), "near-members")
-    # rows without an id have negative vertices; the smallest id of a component is its smallest that isn't
-    first = member.groupBy("root").agg(F.min(F.when(F.col("v") >= 0, F.col("v"))).alias("component_id"))
-    found = member.join(first, "root").select("key", "v", "n_shingles", "component_id")
-    plain = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
-    out = keyed.select(*plain, "key", "v").join(found, ["key", "v"], "left")
-    kept = F.when(F.col("v") >= 0, F.col("v") == F.col("component_id")).otherwise(F.col("component_id").isNull())
+    # rows without an id have negative vertices; the smallest id of a component is its smallest that isn't, so only
+    # components with a negative root have to be looked through
+    idless = member.filter("root < 0")
+    first = idless.groupBy("root").agg(F.min(F.when(F.col("v") >= 0, F.col("v"))).alias("component_id"))
+    found = member.filter("root >= 0").select("key", "v", "n_shingles", F.col("root").alias("component_id"))
+    found = found.unionByName(idless.join(first, "root").select("key", "v", "n_shingles", "component_id"))
+    found = found.withColumnsRenamed({"key": key, "v": vertex})
+    out = keyed.join(found, [key, vertex], "left")
+    kept = F.when(F.col(vertex) >= 0, F.col(vertex) == F.col("component_id")).otherwise(F.col("component_id").isNull())
     return out.select(*plain, "n_shingles", "component_id", kept.alias("kept"))

@@ -49,7 +49,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         h = ((h ^ (h >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(22)
         same = row[:-2] == row[2:]
         at = (row[:-2] * BUCKETS + h)[same]
-        grams = np.bincount(at, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+        grams = np.bincount(at, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS).astype(np.float32)
         out[:, :BUCKETS] = np.sqrt(grams / np.maximum(1, grams.sum(1, keepdims=True)))
     byte_counts = np.bincount(row * 256 + x, minlength=len(texts) * 256).reshape(len(texts), 256)
     out[:, BUCKETS : BUCKETS + 5] = (byte_counts @ _CLASS) / np.maximum(1, sizes)[:, None]

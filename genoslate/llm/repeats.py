@@ -14,7 +14,6 @@ follow each other at a distance of n; such a run is one row, with their number i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +23,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
-BASE = 0x9E3779B97F4A7C15 | 1
-#: Tokens that are hashed at once; a longer document is cut into overlapping pieces of this many windows.
-PIECE = 4 << 20
+#: Windows of a piece: a longer document is cut into overlapping ones.
+PIECE = common.PIECE
 PLACE = np.uint64((1 << 24) - 1)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    one = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
-    return one(np.uint64(BASE)), one(np.uint64(pow(BASE, -1, 1 << 64)))
-
-
-def prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P and I with hash(i, j) = (P[j] - P[i]) * I[i] for tokens i..j-1, all modulo 2**64."""
-    size = 1 << max(12, int(len(x)).bit_length())
-    power, inverse = _powers(size)
-    p = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * power[: len(x)], out=p[1:])
-    return p, inverse
-
-
 def slide_min(a: np.ndarray, w: int) -> np.ndarray:
     """The smallest of each ``w`` neighbours."""
     span = 1
@@ -60,7 +43,7 @@ def phrases(x: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> dict[s
     if n < width:
         empty = np.zeros(0, np.int64)
         return {"seq": empty, "lo": empty, "n": empty, "off": empty, "reps": empty, "trigger": empty.view(np.uint64), "phrase": empty.view(np.uint64)}
-    p, inverse = prefix_sums(x)
+    p, inverse = common.prefix_sums(x)
     h = common.mix64((p[gram:] - p[:-gram]) * inverse[: n - gram + 1])
     place = (slide_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), width - gram + 1) & PLACE).astype(np.int64)
     ends = np.cumsum(lengths)
@@ -84,13 +67,12 @@ def phrases(x: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> dict[s
     return {"seq": seq[lo], "lo": lo - starts[seq[lo]], "n": count, "off": t - lo, "reps": reps, "trigger": h[t], "phrase": name}
 
 
-def phrase_table(docs: DataFrame, tokens: Callable[[bytes], np.ndarray], width: int, gram: int, text: str, doc: str, limit: int) -> DataFrame:
+def phrase_table(docs: DataFrame, tokens: Callable[[list[bytes]], list[np.ndarray]], width: int, gram: int, text: str, doc: str, limit: int) -> DataFrame:
     """The phrases of every whole text."""
 
     def run(texts: list[bytes], part: pa.RecordBatch) -> dict:
         owner, offset, seqs = [], [], []
-        for i, raw in enumerate(texts):
-            x = tokens(raw)
+        for i, x in enumerate(tokens(texts)):
             for s in range(0, max(1, len(x)), PIECE):
                 owner.append(i)
                 offset.append(s)

@@ -30,25 +30,6 @@ from . import common, repeats
 #: Words of a prefix before it is lengthened; phrases in a group.
 GRAM = 16
 GROUP = 8_000
-#: Word hashes a Python worker remembers.
-REMEMBERED = 1 << 20
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
-def _tokens(raw: bytes) -> np.ndarray:
-    words = raw.split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
 
 def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dense numbers of the pairs, in their order."""
@@ -106,7 +87,7 @@ def _leaves(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
 
 def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", doc: str = "doc_id", gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``docs`` with kept (string: the kept words joined by one space), n_words and n_removed."""
-    table = lambda: repeats.phrase_table(docs, _tokens, width, gram, text, doc, common.SLICE_BYTES)
+    table = lambda: repeats.phrase_table(docs, common.word_hashes, width, gram, text, doc, common.SLICE_BYTES)
     shared = repeats.shared_phrases(table, F.col("first") < F.col("last"))
     kinds = repeats.phrase_kinds(shared)
     dictionary = repeats.several(kinds, group, F.col("f") < F.col("l"))

@@ -37,8 +37,8 @@ _BYTES = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97
 _OTHER = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _tokens(raw: bytes) -> np.ndarray:
-    return _BYTES[np.frombuffer(raw, np.uint8)]
+def _tokens(texts: list[bytes]) -> list[np.ndarray]:
+    return [_BYTES[np.frombuffer(raw, np.uint8)] for raw in texts]
 
 
 def suffix_names(bodies: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def suffix_names(bodies: list[bytes], n: np.ndarray, width: int) -> tuple[np.nda
     at = np.repeat(start - first, n) + np.arange(int(n.sum()))
     names = []
     for table in (_BYTES, _OTHER):
-        p, inverse = repeats.prefix_sums(table[raw])
+        p, inverse = common.prefix_sums(table[raw])
         names.append(common.mix64((p[at + width] - p[at]) * inverse[at]))
     return names[0], names[1]
 

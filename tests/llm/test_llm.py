@@ -296,8 +296,34 @@ def test_op5_against_brute_force(spark, docs, leaf):
     assert got == want
 
 
+def test_op5_large_nodes_branch_on(spark):
+    """Many documents share half their words, so nodes of three tokens stay large; a few are near copies."""
+    rng = random.Random(3)
+    frame = [f"f{i}" for i in range(120)]
+    own = [[f"w{rng.randrange(10**9)}" for _ in range(70)] for _ in range(400)]
+    rows = [(i, " ".join(frame + w)) for i, w in enumerate(own)]
+    rows += [(1000 + i, " ".join(frame + w[:66] + ["x", "y", "z"])) for i, w in enumerate(own[::3])]
+    want = brute_near(rows, 2, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, shingle=2, node=40).collect()}
+    assert got == want
+
+
+def test_op5_connects_what_all_pairs_do():
+    rng = np.random.default_rng(4)
+    node = np.sort(rng.integers(0, 30, 900))
+    node[node > 25] = 25
+    sketch = np.where(rng.random((900, 20)) < 0.5, rng.integers(0, 3, (900, 1)), rng.integers(3, 9, (900, 20))).astype(np.uint16)
+    a, b = near_dedup.alike(node, sketch, 9)
+    near = [(i, j) for i in range(900) for j in range(i) if node[i] == node[j] and (sketch[i] == sketch[j]).sum() >= 9]
+    x, y = np.array(near).T
+    assert near and (near_dedup._joined(900, a, b) == near_dedup._joined(900, x, y)).all() and len(a) < 900
+
+
 def test_op5_odd(spark, odd):
-    out = near_dedup.near_duplicates(odd.withColumn("kept", F.lit("clash")), shingle=2)
+    clash = {"kept": F.lit("clash"), "key": F.lit("k"), "v": F.lit(1.5), "__key": F.lit(7), "__V": F.lit(8), "hub": F.lit(9)}
+    out = near_dedup.near_duplicates(odd.withColumns(clash), shingle=2)
+    assert [(r.key, r.v, r["__key"], r["__V"], r.hub) for r in out.collect()] == [("k", 1.5, 7, 8, 9)] * odd.count()
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()]
     assert len(got) == odd.count()
     by = defaultdict(list)
