@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +68,17 @@ def classify_systems(hits: DataFrame, genes: DataFrame, arrays: DataFrame, table
     return placed, loci
 
 
-#: Ordered: which neighbour decides the type of an array's system.
-SYSTEM_ORDER = [("cas9", "II"), ("cas12", "V"), ("cas13", "VI"), ("cas10|csm|cmr", "III"), ("cas3", "I"), ("cas1|cas2", "adaptation only")]
+# Names of neighbours that count; in order, which of them decides the type of an array's system; which are effectors.
+NEIGHBORS = "cas1|cas2|cas3|cas5|cas6|cas7|cas8|cas9|cas10|cas12|cas13|csm|cmr|csx"
+SYSTEM_ORDER = [("cas9", "II"), ("cas12", "V"), ("cas13", "VI"), ("cas10|csm|cmr", "III"), ("cas3", "I"), ("cas1|cas2", "I/II/V (adaptation only)")]
+EFFECTORS = "cas3|cas9|cas10|cas12|cas13"
 
 
-def array_systems(arrays: DataFrame, genes: DataFrame, contigs: DataFrame, distance: int = 15_000, edge: int = 1000, patterns: str = "cas[0-9]|csm|cmr|cse|csy|csd") -> DataFrame:
+def array_systems(arrays: DataFrame, genes: DataFrame, contigs: DataFrame, distance: int = 15_000, edge: int = 1000, patterns: str = NEIGHBORS, order: list[tuple[str, str]] = SYSTEM_ORDER, needed: tuple[str, ...] = ("cas1", "cas2", EFFECTORS)) -> DataFrame:
     """One row per array: edge flag, neighbours within reach, system, completeness, orphan.
 
-    ``genes``: (contig_id, start, label). 'cas1' is also found in cas10 to cas13; distances are between starts.
+    ``genes``: (contig_id, start, label), a row for each annotation of a gene. 'cas1' is also found in cas10 to cas13; distances are
+    between starts. ``order``: pattern and type, the first that a neighbour meets; ``needed``: complete with a neighbour for each.
     """
     near = joins.distance_join(genes.filter(F.col("label").rlike(f"(?i){patterns}")), arrays.select("locus_id", "contig_id", "start"), distance)
     found = near.groupBy(F.col("r_locus_id").alias("locus_id")).agg(F.array_sort(F.collect_list(F.lower("l_label"))).alias("neighbors"))
@@ -80,9 +86,9 @@ def array_systems(arrays: DataFrame, genes: DataFrame, contigs: DataFrame, dista
     names = F.coalesce("neighbors", F.array().cast("array<string>"))
     has = lambda p: F.exists(names, lambda x: x.rlike(p))
     system = None
-    for pattern, name in SYSTEM_ORDER:
+    for pattern, name in order:
         system = F.when(has(pattern), name) if system is None else system.when(has(pattern), name)
-    complete = has("cas1") & has("cas2") & has("cas9|cas12|cas13|cas10|csm|cmr|cas3")
+    complete = reduce(and_, [has(p) for p in needed])
     return a.select(
         "locus_id", "contig_id", ((F.col("start") < edge) | (F.col("__len") - F.col("end_coord") < edge)).alias("at_edge"), names.alias("neighbors"),
         system.otherwise("Unknown").alias("system"), complete.alias("is_complete"), (F.size(names) == 0).alias("is_orphan"),

@@ -26,21 +26,25 @@ def leaves(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
 def depths(nodes: DataFrame, edges: DataFrame, node: str = "node", most: int = 10_000) -> DataFrame:
     """(node, depth): 0 for roots, else 1 + the largest depth of a known parent.
 
-    The frontier moves one step at a time; nodes that only cycles reach get a null depth. Steps are written to the shared folder.
+    Each step joins the edges with the last frontier only, and carries on how many parents of a waiting node are met. Nodes that only
+    cycles reach get a null depth; RuntimeError after ``most`` steps. Steps are written to the shared folder.
     """
     known = edges.join(nodes.select(F.col(node).alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
-    waiting = known.groupBy("child").agg(F.count("*").alias("n_parents"))
-    done = written(roots(nodes, edges, node).select(F.col(node).alias("n"), F.lit(0).alias("depth")), "depth")
-    front = done
+    known = written(known, "edges")
+    needs = written(known.groupBy("child").agg(F.count("*").alias("n_parents")), "parents")
+    front = written(roots(nodes, edges, node).select(F.col(node).alias("n"), F.lit(0).alias("depth")), "depth")
+    done, waiting = front, None
     for _ in range(most):
+        met = known.join(front.select(F.col("n").alias("parent"), "depth"), "parent").select("child", F.lit(1).cast("long").alias("k"), "depth")
+        met = met if waiting is None else met.unionByName(waiting)
+        step = written(met.groupBy("child").agg(F.sum("k").alias("k"), F.max("depth").alias("depth")).join(needs, "child"), "waiting")
         # a node is ready once all its parents are
-        met = known.join(done.select(F.col("n").alias("parent"), "depth"), "parent").groupBy("child").agg(F.count("*").alias("k"), F.max("depth").alias("d"))
-        ready = met.join(waiting, "child").filter(F.col("k") == F.col("n_parents")).select(F.col("child").alias("n"), (F.col("d") + 1).alias("depth"))
-        front = written(ready.join(done.select("n"), "n", "left_anti"), "depth")
+        front = step.filter(F.col("k") == F.col("n_parents")).select(F.col("child").alias("n"), (F.col("depth") + 1).alias("depth"))
         if front.isEmpty():
-            break
+            return nodes.select(node).join(done.withColumnRenamed("n", node), node, "left")
+        waiting = step.filter(F.col("k") < F.col("n_parents")).select("child", "k", "depth")
         done = done.unionByName(front)
-    return nodes.select(node).join(done.withColumnRenamed("n", node), node, "left")
+    raise RuntimeError(f"some path is longer than {most} steps")
 
 
 def summary(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | None = None, node: str = "node") -> DataFrame:

@@ -7,7 +7,6 @@ tasks; a pair is kept only in the bin where the later start lies, hence once, wi
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -32,8 +31,10 @@ def rank_neighborhood(rows: DataFrame, anchors: DataFrame, contig: str, rank: st
 
 def position_neighborhood(rows: DataFrame, anchor_ids: DataFrame, window: int = 10, contig: str = "contig_id", start: str = "start", key: str = "protein_id") -> DataFrame:
     """As C8, with ranks by start on the contig (C9), plus the contig's number of genes."""
-    w = W.partitionBy(contig)
-    placed = rows.withColumn("pos", F.row_number().over(w.orderBy(start, key)) - 1).withColumn("contig_genes", F.count("*").over(w))
+    from .windows import rank_in_group
+
+    total = rows.groupBy(contig).agg(F.count("*").alias("contig_genes"))
+    placed = rank_in_group(rows, contig, [start, key], "pos").join(total, contig)
     anchors = placed.join(anchor_ids.select(key), key, "left_semi")
     return rank_neighborhood(placed, anchors, contig, "pos", key, window)
 

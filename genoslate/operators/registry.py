@@ -80,6 +80,12 @@ def defaults(registry: Registry) -> None:
     registry.register(Predicate("tiny", "size", "shorter than 50 residues", column=tiny(50)))
     registry.register(Predicate("unannotated", "annotation", "without any annotation", sql="SELECT protein_id FROM proteins LEFT ANTI JOIN annotations USING (protein_id)"))
     registry.register(Predicate("confident_hit", "annotation", "a hit below 1e-10", sql="SELECT protein_id FROM annotations WHERE evalue < 1e-10"))
+    unknown = " OR ".join(f"lower({c}) LIKE '%{w}%'" for w in ("hypothetical", "uncharacterized", "unknown function") for c in ("name", "description"))
+    registry.register(Predicate("hypothetical", "annotation", "a name or description of unknown function", sql=f"SELECT DISTINCT protein_id FROM annotations WHERE {unknown}"))
+    registry.register(Predicate("gc_outlier", "composition", "further than two standard deviations from the genome's mean", sql="""
+        SELECT p.protein_id FROM proteins p JOIN (
+            SELECT bin_id, avg(gc_content) AS m, stddev_samp(gc_content) AS s FROM proteins WHERE gc_content IS NOT NULL AND bin_id IS NOT NULL GROUP BY bin_id
+        ) g ON p.bin_id = g.bin_id WHERE g.s > 0 AND abs(p.gc_content - g.m) > 2 * g.s"""))
     registry.register(Predicate("multi_domain", "annotation", "three distinct domains", sql="SELECT protein_id FROM annotations WHERE source = 'pfam' GROUP BY protein_id HAVING count(DISTINCT accession) >= 3"))
 
 

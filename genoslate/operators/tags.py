@@ -3,8 +3,9 @@
 Rules are tables, so a rule set of any size is joined, never looped over:
 
 * exact rules: (source, accession, tags)
-* pattern rules: (source, pattern, tags), tried on ``name description``
-* categories: (source, code, tags), where the description holds the code
+* pattern rules: (source, pattern, tags), tried on ``name description``; with a column ``field`` on that column alone (accession,
+  name or description), and with a column ``unless`` not where that pattern is found in the description
+* categories: (source, code, tags), where the name is a category, that is one that begins with X, and holds the code
 * vocabulary: (predicate_id, parent)
 """
 
@@ -30,16 +31,31 @@ def exact_tags(d: DataFrame, rules: DataFrame, name: str = "exact") -> DataFrame
     return d.join(r, (d["source"] == r["source"]) & (F.upper(F.trim(d["accession"])) == r["__a"]), "left").drop(r["source"]).drop("__a")
 
 
-def pattern_tags(d: DataFrame, rules: DataFrame, name: str = "pattern") -> DataFrame:
-    """All tags of all patterns of the source that hit."""
-    text = F.concat_ws(" ", "name", "description")
-    pairs = d.withColumn("__text", text).join(rules.select(F.col("source").alias("__s"), F.col("pattern").alias("__p"), F.col("tags").alias("__t")), F.col("source") == F.col("__s"))
-    hits = pairs.filter(F.regexp_like("__text", F.concat(F.lit("(?i)"), F.col("__p"))))
-    found = hits.groupBy("source", "accession", "name", "description").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__t")))).alias(name))
+def _gathered(d: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """``d`` with the sorted union of the tags (``__t``) that ``hits`` holds of each descriptor."""
     keys = ["source", "accession", "name", "description"]
+    found = hits.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__t")))).alias(name))
     f = found.select(*[F.col(k).alias(f"__{k}") for k in keys], name)
-    on = [d[k].eqNullSafe(f[f"__{k}"]) for k in keys]
-    return d.join(f, on, "left").drop(*[f"__{k}" for k in keys])
+    return d.join(f, [d[k].eqNullSafe(f[f"__{k}"]) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+
+
+def pattern_tags(d: DataFrame, rules: DataFrame, name: str = "pattern") -> DataFrame:
+    """All tags of all patterns of the source that hit (K5a, K5b; K5e with ``field``, K5d with ``unless``)."""
+    optional = lambda c: (F.col(c) if c in rules.columns else F.lit(None)).cast("string").alias(f"__{c}")
+    r = rules.select(F.col("source").alias("__s"), F.col("pattern").alias("__p"), F.col("tags").alias("__t"), optional("field"), optional("unless"))
+    pairs = d.join(r, F.col("source") == F.col("__s"))
+    field = F.col("__field")
+    text = F.when(field == "accession", F.col("accession")).when(field == "name", F.col("name")).when(field == "description", F.col("description")).otherwise(F.concat_ws(" ", "name", "description"))
+    found = lambda x, p: F.regexp_like(F.coalesce(x, F.lit("")), F.concat(F.lit("(?i)"), p))
+    hits = pairs.filter(found(text, F.col("__p")) & (F.col("__unless").isNull() | ~found(F.col("description"), F.col("__unless"))))
+    return _gathered(d, hits, name)
+
+
+def category_tags(d: DataFrame, categories: DataFrame, name: str = "category") -> DataFrame:
+    """Tags of all codes that the category holds; a name that begins with X is one (K5d)."""
+    r = categories.select(F.col("source").alias("__s"), F.col("code").alias("__c"), F.col("tags").alias("__t"))
+    hits = d.join(r, (F.col("source") == F.col("__s")) & F.col("name").startswith("X") & F.contains(F.col("name"), F.col("__c")))
+    return _gathered(d, hits, name)
 
 
 def ec_tags(d: DataFrame, ec_rules: DataFrame, name: str = "ec") -> DataFrame:
@@ -52,22 +68,36 @@ def ec_tags(d: DataFrame, ec_rules: DataFrame, name: str = "ec") -> DataFrame:
     return d.join(out, ["source", "accession", "description"], "left")
 
 
-def annotation_tags(annotations: DataFrame, exact: DataFrame, patterns: DataFrame, ec_rules: DataFrame | None = None, direct_only: list[str] = (), fallback_only: list[str] = ()) -> DataFrame:
+#: Sources whose annotations get tags of their own, and the name in these.
+SOURCE_NAMES = {"pfam": "pfam", "kegg": "kegg", "cazy": "cazy", "vog": "vog", "vogdb": "vog", "hyddb": "hyddb", "defensefinder": "defensefinder"}
+
+
+def annotation_tags(
+    annotations: DataFrame, exact: DataFrame, patterns: DataFrame, ec_rules: DataFrame | None = None, direct_only: list[str] = (), fallback_only: list[str] = (),
+    categories: DataFrame | None = None, source_names: dict[str, str] | None = SOURCE_NAMES,
+) -> DataFrame:
     """(annotation columns, tags) of every annotation (K5a-K5f).
 
     ``direct_only`` sources stop at a direct rule (viral groups, K5d); ``fallback_only`` ones use patterns only without one (carbohydrate
-    families, K5c); the others take both.
+    families, K5c); the others take both. Sources are compared in lower case; ``source_names``: those that get ``name:accession`` and
+    ``name_annotated`` (None: all, by their own name).
     """
-    d = pattern_tags(exact_tags(descriptors(annotations), exact), patterns)
-    d = d.withColumn("ec", F.lit(None).cast("array<string>")) if ec_rules is None else ec_tags(d, ec_rules)
-    alone = F.col("source").isin(list({*direct_only, *fallback_only}) or [""]) & F.col("exact").isNotNull()
+    low = lambda t: t.withColumn("source", F.lower("source"))
+    rows = low(annotations)
+    d = pattern_tags(exact_tags(descriptors(rows), low(exact)), low(patterns))
+    nothing = F.lit(None).cast("array<string>")
+    d = d.withColumn("ec", nothing) if ec_rules is None else ec_tags(d, ec_rules)
+    d = d.withColumn("category", nothing) if categories is None else category_tags(d, low(categories))
+    alone = F.col("source").isin([s.lower() for s in {*direct_only, *fallback_only}] or [""]) & F.col("exact").isNotNull()
     quality = X.tags_where(hypothetical=X.is_hypothetical(F.col("name"), F.col("description")))
-    own = F.array_compact(F.array(F.concat_ws(":", "source", "accession"), F.concat(F.col("source"), F.lit("_annotated"))))
-    ruled = F.when(alone, F.col("exact")).otherwise(X.tag_set(F.col("exact"), F.col("pattern"), F.col("ec")))
+    named = F.col("source") if source_names is None else F.create_map(*[F.lit(x) for kv in source_names.items() for x in kv])[F.col("source")]
+    own = F.array_compact(F.array(F.concat(named, F.lit(":"), F.col("accession")), F.concat(named, F.lit("_annotated"))))
+    ruled = F.when(alone, F.col("exact")).otherwise(X.tag_set(F.col("exact"), F.col("pattern"), F.col("ec"), F.col("category")))
     d = d.select("source", "accession", "name", "description", X.tag_set(ruled, quality, own).alias("__rule"))
     keys = ["source", "accession", "name", "description"]
     r = d.select(*[F.col(k).alias(f"__{k}") for k in keys], "__rule")
-    j = annotations.join(r, [annotations[k].eqNullSafe(r[f"__{k}"]) for k in keys], "left")
+    on = [F.lower(annotations["source"]).eqNullSafe(r["__source"]), *[annotations[k].eqNullSafe(r[f"__{k}"]) for k in keys[1:]]]
+    j = annotations.join(r, on, "left")
     trust = X.tags_where(confident_hit=F.col("evalue") < 1e-10, weak_hit=F.col("evalue") > 1e-5)
     return j.select(*annotations.columns, X.tag_set(F.col("__rule"), trust).alias("tags"))
 
@@ -87,9 +117,10 @@ def property_tags(proteins: DataFrame, giant: int = 1000, massive: int = 2000, d
 
 
 def status_tags(proteins: DataFrame, annotations: DataFrame, domain_source: str = "pfam", well: int = 3) -> DataFrame:
-    """(protein_id, tags) from how a protein is annotated (K5h); those without annotations are ``unannotated``."""
-    domain = F.when(F.col("source") == domain_source, F.col("accession"))
-    a = annotations.groupBy("protein_id").agg(F.count("*").alias("n"), F.count_if(F.col("evalue") < 1e-10).alias("sure"), F.countDistinct("source").alias("sources"), F.countDistinct(domain).alias("domains"))
+    """(protein_id, tags) from how a protein is annotated (K5h); those without annotations are ``unannotated``. Sources are compared in lower case."""
+    source = F.lower("source")
+    domain = F.when(source == domain_source.lower(), F.col("accession"))
+    a = annotations.groupBy("protein_id").agg(F.count("*").alias("n"), F.count_if(F.col("evalue") < 1e-10).alias("sure"), F.countDistinct(source).alias("sources"), F.countDistinct(domain).alias("domains"))
     j = proteins.select("protein_id").join(a, "protein_id", "left")
     tags = X.tags_where(
         unannotated=F.col("n").isNull(), well_annotated=F.col("sure") >= well, single_source=F.col("sources") == 1, multi_source=F.col("sources") >= 2, multi_domain=F.col("domains") >= 3, single_domain=F.col("domains") == 1
@@ -146,7 +177,10 @@ def generate_tags(
 ) -> DataFrame:
     """(protein_id, tags) of every protein (K5; K31 on a filtered input): annotation, property, status and topology tags,
     then conflicts, then ancestors, sorted. Conflicts come before ancestors, so a child that stays brings its parents back."""
-    per = annotation_tags(annotations, exact, patterns, ec_rules, **options).select("protein_id", "tags")
+    # what rules see and whether a hit is sure or weak, once a protein: fewer rows are tagged, and fewer tags shuffled
+    trust = F.when(F.col("evalue") < 1e-10, 0.0).when(F.col("evalue") > 1e-5, 1.0).when(F.col("evalue").isNotNull(), 1e-7)
+    once = annotations.select("protein_id", "source", "accession", "name", "description", trust.alias("evalue")).distinct()
+    per = annotation_tags(once, exact, patterns, ec_rules, **options).select("protein_id", "tags")
     parts = per.unionByName(property_tags(proteins)).unionByName(status_tags(proteins, annotations))
     if topology is not None:
         parts = parts.unionByName(topology_tags(topology).select("protein_id", "tags"))

@@ -50,14 +50,22 @@ def context_validation(hood: DataFrame, expected: DataFrame, unexpected: str = "
     return per.join(odd, "anchor", "left").select("anchor", "n_expected", "n_found", "nearest", "found", (F.col("n_found") >= F.col("n_expected") / 2).alias("is_valid"), F.coalesce("n_unexpected", F.lit(0)).alias("n_unexpected"))
 
 
-def error_scan(annotations: DataFrame, genes: DataFrame, arrays: DataFrame, problem: str, limit: int | None = 50) -> DataFrame:
-    """(kind, protein_id, detail): problem domains with their other annotations, and genes over arrays (K13); capped per kind on request."""
-    flagged = joins.all_annotations_of_flagged(annotations, problem)
-    one = flagged.groupBy("protein_id", "flagged_name").agg(F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("detail"))
-    one = one.select(F.lit("problem_domain").alias("kind"), "protein_id", F.concat_ws(": ", "flagged_name", "detail").alias("detail"))
+def error_scan(annotations: DataFrame, genes: DataFrame, arrays: DataFrame, problems: DataFrame, limit: int | None = 50) -> DataFrame:
+    """(kind, protein_id, detail): likely annotation errors (K13); capped per kind on request.
+
+    ``problems``: (domain, indicators). A protein with a domain of that name is one if any of its annotations tells of an indicator, in any
+    case, by its name, else its description; domains without indicators never are. Genes over arrays are the other kind.
+    """
+    text = F.coalesce("name", "description", F.lit("unannotated"))
+    held = annotations.join(problems, F.col("name") == F.col("domain")).select("protein_id", "domain", "indicators").distinct()
+    said = held.join(annotations.select("protein_id", text.alias("said")).distinct(), "protein_id")
+    told = said.filter(F.exists("indicators", lambda x: F.contains(F.lower("said"), F.lower(x))))
+    one = told.select(F.lit("problem_domain").alias("kind"), "protein_id", F.concat_ws(": ", "domain", "said").alias("detail"))
     pairs = joins.overlap_join(genes.select("protein_id", "contig_id", "start", "end_coord"), arrays.select("locus_id", "contig_id", "start", "end_coord"), "contig_id", "start", "end_coord", width=5000)
-    two = pairs.select(F.lit("overlaps_array").alias("kind"), F.col("l_protein_id").alias("protein_id"), F.col("r_locus_id").alias("detail"))
-    out = one.unionByName(two)
+    over = pairs.select(F.col("l_protein_id").alias("protein_id"), F.col("r_locus_id").cast("string").alias("locus"))
+    over = over.join(annotations.select("protein_id", text.alias("said")), "protein_id", "left").withColumn("said", F.coalesce("said", F.lit("unannotated")))
+    two = over.select(F.lit("overlaps_array").alias("kind"), "protein_id", F.concat_ws(": ", "locus", "said").alias("detail"))
+    out = one.unionByName(two).distinct()
     if limit is None:
         return out
     return out.withColumn("__r", F.row_number().over(W.partitionBy("kind").orderBy("protein_id", "detail"))).filter(F.col("__r") <= limit).drop("__r")

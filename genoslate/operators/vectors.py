@@ -34,9 +34,8 @@ def nearest_to_id(vectors: DataFrame, query_id, k: int = 10, threshold: float |
     return out.orderBy(F.desc("score"), key).limit(k)
 
 
-#: Query vectors that a broadcast block holds; more queries are more blocks.
-BLOCK = 4096
-#: Queries that a batch is compared with at a time.
+#: Bytes of vectors on each side of a block; queries that are compared at a time.
+BLOCK_BYTES = 16 << 20
 AT_ONCE = 256
 #: More than a product of unit matrices can be off.
 ROUNDING = 1e-9
@@ -50,49 +49,54 @@ def _dots(a: np.ndarray, b: np.ndarray, at_a=slice(None), at_b=slice(None)) -> n
     return out
 
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.stack(rows.to_list()).astype(np.float64)
+    return m / (np.sqrt(_dots(m, m))[:, None] + 1e-300)
+
+
 def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """(query, key, score, rank): the exact k nearest of each query row, in blocks of queries of a fixed size.
+    """(query, key, score, rank): the exact k nearest of each query row, ties by key.
 
-    Each task multiplies its batch with the block, which tells all rows that may be among the k best; their scores are then
+    Queries and vectors are dealt into blocks of a fixed size, and each pair of blocks is a group of its own: nothing passes through the
+    driver. A group multiplies its blocks, which tells all rows that may be among the k best; their scores are then
     summed in a fixed order, and the k first by score and key are kept per query. Those are ranked per query.
+
+    Defined cases: rows without a vector, or with a null component, are no queries and no neighbours; vectors of another length aren't
+    compared; no queries give no rows.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    out = None
-    dealt = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
-    for b in range(blocks):
-        part = dealt.filter(F.col("b") == b).toPandas()
-        if not len(part):
-            continue
-        ids = part["q"].to_numpy()
-        m = np.stack(part["v"]).astype(np.float64)
-        m /= np.sqrt(_dots(m, m))[:, None] + 1e-300
-        held = vectors.sparkSession.sparkContext.broadcast((ids, m))
-
-        def run(frames, held=held):
-            ids, m = held.value
-            for pdf in frames:
-                x = np.stack(pdf[vector]).astype(np.float64)
-                x /= np.sqrt(_dots(x, x))[:, None] + 1e-300
-                own = pdf[key].to_numpy()
-                place = pd.factorize(own, sort=True)[0]
-                for i in range(0, len(ids) if len(own) else 0, AT_ONCE):
-                    s = m[i : i + AT_ONCE] @ x.T
-                    s[np.isnan(s)] = -np.inf
-                    if exclude_self:
-                        s[ids[i : i + AT_ONCE, None] == own[None, :]] = -np.inf
-                    take = min(k, s.shape[1])
-                    cut = -np.partition(-s, take - 1, axis=1)[:, take - 1]
-                    q, at = np.nonzero((s >= cut[:, None] - ROUNDING) & (s > -np.inf))
-                    score = _dots(m[i : i + AT_ONCE], x, q, at)
-                    order = np.lexsort((place[at], -score, q))
-                    q, at, score = q[order], at[order], score[order]
-                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
-                    yield pd.DataFrame({"query": ids[i : i + AT_ONCE][q[best]], key: own[at[best]], "score": score[best]})
-
-        kind = dict(vectors.dtypes)[key]
-        one = vectors.select(key, vector).mapInPandas(run, f"query {kind}, {key} {kind}, score double")
-        out = one if out is None else out.unionByName(one)
+    whole = lambda d: d.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim"))
+    left, right = whole(queries), whole(vectors)
+    blocks = lambda d: max(1, -(-int(d.agg(F.sum(F.col("dim") * 8)).first()[0] or 0) // BLOCK_BYTES))
+    rows, columns = blocks(left), blocks(right)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = left.select("id", "v", "dim", F.lit(True).alias("asks"), own(rows).alias("r"), every(columns).alias("c"))
+    dealt = asked.unionByName(right.select("id", "v", "dim", F.lit(False).alias("asks"), every(rows).alias("r"), own(columns).alias("c")))
+    kind = dict(vectors.dtypes)[key]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, x = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        out = [pd.DataFrame({"query": q["id"][:0], key: x["id"][:0], "score": np.zeros(0)})]
+        if not len(q) or not len(x):
+            return out[0]
+        ids, m, all_ids, y = q["id"].to_numpy(), _unit(q["v"]), x["id"].to_numpy(), _unit(x["v"])
+        place = pd.factorize(all_ids, sort=True)[0]
+        for i in range(0, len(ids), AT_ONCE):
+            s = m[i : i + AT_ONCE] @ y.T
+            s[np.isnan(s)] = -np.inf
+            if exclude_self:
+                s[ids[i : i + AT_ONCE, None] == all_ids[None, :]] = -np.inf
+            take = min(k, s.shape[1])
+            cut = -np.partition(-s, take - 1, axis=1)[:, take - 1]
+            a, at = np.nonzero((s >= cut[:, None] - ROUNDING) & (s > -np.inf))
+            score = _dots(m[i : i + AT_ONCE], y, a, at)
+            order = np.lexsort((place[at], -score, a))
+            a, at, score = a[order], at[order], score[order]
+            best = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out.append(pd.DataFrame({"query": ids[i : i + AT_ONCE][a[best]], key: all_ids[at[best]], "score": score[best]}))
+        return pd.concat(out, ignore_index=True)
+
+    out = dealt.groupBy("r", "c", "dim").applyInPandas(run, f"query {kind}, `{key}` {kind}, score double")
     w = W.partitionBy("query").orderBy(F.desc("score"), key)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

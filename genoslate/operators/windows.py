@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,10 +29,38 @@ def best_label(annotations: DataFrame, strict: bool = True) -> DataFrame:
     return best.select("protein_id", X.label_of(F.col("name"), F.col("accession"), strict).alias("label"))
 
 
+#: Rows of a group that a task sorts; larger groups are cut into ranges.
+SEGMENT_ROWS = 1_000_000
+
+
+def _segments(df: DataFrame, groups: list[str], order: list) -> tuple[DataFrame, bool]:
+    """``df`` with ``__seg``: 0 where every group fits a task; else range partitions by group and order, so that a large group
+    lies in several tasks, in order."""
+    if df.groupBy(*groups).count().filter(F.col("count") > SEGMENT_ROWS).isEmpty():
+        return df.withColumn("__seg", F.lit(0)), False
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, since a lost and recomputed partition might be cut elsewhere
+    return written(df.repartitionByRange(parts, *groups, *order).withColumn("__seg", F.spark_partition_id()), "segments"), True
+
+
+def _carried(df: DataFrame, groups: list[str], value: Column, over: Callable[[str], Column], name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` of each segment, taken together by ``over`` for the segments of the group before it."""
+    per = df.groupBy(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups)], F.col("__seg").alias("__s")).agg(value.alias("__x"))
+    w = W.partitionBy(*[f"__k{i}" for i in range(len(groups))]).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn(name, over("__x").over(w)).drop("__x")
+    on = [F.col(g).eqNullSafe(F.col(f"__k{i}")) for i, g in enumerate(groups)] + [F.col("__seg") == F.col("__s")]
+    return df.join(per, on, "left").drop("__s", *[f"__k{i}" for i in range(len(groups))])
+
+
 def rank_in_group(df: DataFrame, group: str | list[str], order: list[str], name: str = "gene_index", first: int = 0) -> DataFrame:
-    """Rank by ``order`` within the group."""
-    groups = [group] if isinstance(group, str) else group
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*groups).orderBy(*order)) - 1 + first)
+    """Rank by ``order`` within the group (E9). A group beyond SEGMENT_ROWS is ranked in ranges, which the sizes of those before offset."""
+    groups = [group] if isinstance(group, str) else list(group)
+    cut, large = _segments(df, groups, list(order))
+    rank = F.row_number().over(W.partitionBy(*groups, "__seg").orderBy(*order)) - 1 + first
+    out = cut.withColumn(name, rank)
+    if large:
+        out = _carried(out, groups, F.count("*"), F.sum, "__n").withColumn(name, (F.col(name) + F.coalesce("__n", F.lit(0))).cast("int")).drop("__n")
+    return out.drop("__seg")
 
 
 def _stats(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -53,21 +83,28 @@ def group_outliers(df: DataFrame, group: str, value: str, deviations: float = 2.
 def gap_clusters(df: DataFrame, group: list[str], start: str, end: str, gap: float, ties: list[str], name: str = "cluster") -> DataFrame:
     """Clusters of intervals: a new one where a start is over ``gap`` past every end before it.
 
-    Numbered from 1 within the group; rows without coordinates go.
+    Numbered from 1 within the group; rows without coordinates go. In a group beyond SEGMENT_ROWS, ranges take over the largest end and the
+    number of clusters of those before.
     """
     df = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    w = W.partitionBy(*group).orderBy(start, *ties)
+    cut, large = _segments(df, list(group), [start, *ties])
+    w = W.partitionBy(*group, "__seg").orderBy(start, *ties)
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = df.withColumn("__new", (reach.isNull() | (F.col(start) - reach > gap)).cast("int"))
-    return new.withColumn(name, F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    if large:
+        cut = _carried(cut, list(group), F.max(end), F.max, "__reach")
+        reach = F.greatest(reach, F.col("__reach"))
+    new = cut.withColumn("__new", (reach.isNull() | (F.col(start) - reach > gap)).cast("int"))
+    out = new.withColumn(name, F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    if large:
+        out = _carried(out, list(group), F.sum("__new"), F.sum, "__n").withColumn(name, F.col(name) + F.coalesce("__n", F.lit(0))).drop("__n", "__reach")
+    return out.drop("__new", "__seg")
 
 
 def consecutive_runs(df: DataFrame, group: list[str], order: list[str], member: Column, least: int, keep_by: list[str] = ()) -> DataFrame:
     """Runs of at least ``least`` neighbours (by rank in the group) that meet ``member`` (E7): first and last rank, length."""
     ranked = rank_in_group(df, list(group), list(order), "__rank")
-    hit = ranked.filter(member)
-    island = F.col("__rank") - F.row_number().over(W.partitionBy(*group, *keep_by).orderBy("__rank"))
-    runs = hit.withColumn("__island", island).groupBy(*group, *keep_by, "__island").agg(
+    hit = rank_in_group(ranked.filter(member), [*group, *keep_by], ["__rank"], "__own")
+    runs = hit.withColumn("__island", F.col("__rank") - F.col("__own")).groupBy(*group, *keep_by, "__island").agg(
         F.min("__rank").alias("first_rank"), F.max("__rank").alias("last_rank"), F.count("*").alias("run_length")
     )
     return runs.filter(F.col("run_length") >= least).drop("__island")

@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import windows
+
 _ENTRY = "\n>"
+#: Bytes of a file that is held as one value.
+MOST_HASHED = 256 << 20
 
 
 def read_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, header, sequence, leading) of every entry of the FASTA files at ``paths`` (``.gz`` as well).
+    """(file, header, sequence, leading, place) of every entry of the FASTA files at ``paths`` (``.gz`` as well).
 
     Line ends and blanks inside a sequence go; an empty file has no rows. The separator takes the ``>`` of all entries but
-    a file's first, so ``leading`` is true for that one; a file without it has text before its first header.
+    a file's first, so ``leading`` is true for that one; a file without it has text before its first header. ``place`` orders a
+    file's entries: the split's first byte, then the row in it.
     """
     raw = spark.read.option("lineSep", _ENTRY).text(paths if isinstance(paths, list) else [paths])
-    entry = raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r", "").alias("value"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    entry = raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r", "").alias("value"), place.alias("place"))
     leading = F.regexp_like("value", F.lit(r"^\s*>"))
-    entry = entry.select("file", leading.alias("leading"), F.regexp_replace("value", r"^\s*>", "").alias("value"))
+    entry = entry.select("file", "place", leading.alias("leading"), F.regexp_replace("value", r"^\s*>", "").alias("value"))
     header = F.trim(F.substring_index("value", "\n", 1))
     sequence = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", "")
-    out = entry.select("file", header.alias("header"), sequence.alias("sequence"), "leading")
+    out = entry.select("file", header.alias("header"), sequence.alias("sequence"), "leading", "place")
     return out.filter((F.col("header") != "") | (F.col("sequence") != ""))
 
 
@@ -52,25 +57,26 @@ def gene_rows(entries: DataFrame, default_start: int = 1) -> DataFrame:
         F.when(strand.isNull() | (strand == 1), "+").otherwise("-").alias("strand"),
         seq.alias("sequence"),
         F.length(seq).alias("sequence_length"),
+        "place",
     )
 
 
 def with_gene_index(genes: DataFrame) -> DataFrame:
     """``gene_index``: 0-based rank by start within the contig (ties by id)."""
-    order = W.partitionBy("contig_id").orderBy("start", "protein_id")
-    return genes.withColumn("gene_index", F.row_number().over(order) - 1)
+    return windows.rank_in_group(genes, "contig_id", ["start", "protein_id"])
 
 
 def read_proteins(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Protein FASTA with coordinates in its headers (A1)."""
-    return with_gene_index(gene_rows(read_entries(spark, paths)))
+    return with_gene_index(gene_rows(read_entries(spark, paths))).drop("place")
 
 
-def read_gene_calls(spark: SparkSession, root: str) -> DataFrame:
-    """Gene-caller FASTA under ``root/<bin>/``: the bin is the parent folder (A2)."""
-    genes = gene_rows(read_entries(spark, f"{root.rstrip('/')}/*/*.faa"), default_start=0)
-    genes = genes.filter(~F.col("file").contains("/all_protein_symlinks/"))
-    return with_gene_index(genes.withColumn("bin_id", F.element_at(F.split("file", "/"), -2)))
+def read_gene_calls(spark: SparkSession, root: str, pattern: str = "*.faa") -> DataFrame:
+    """Gene-caller FASTA under ``root/<bin>/``: the bin is the parent folder, and ``gene_index`` the 0-based place in the file among
+    the genes of its contig (A2)."""
+    genes = gene_rows(read_entries(spark, f"{root.rstrip('/')}/*/{pattern}"), default_start=0)
+    genes = genes.filter(~F.col("file").contains("/all_protein_symlinks/")).withColumn("bin_id", F.element_at(F.split("file", "/"), -2))
+    return windows.rank_in_group(genes, ["file", "contig_id"], ["place"]).drop("place")
 
 
 def read_contigs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -80,9 +86,9 @@ def read_contigs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return e.select(F.substring_index("header", " ", 1).alias("contig_id"), "sequence", F.length("sequence").alias("length"), gc.alias("gc_content"))
 
 
-def read_for_embedding(spark: SparkSession, root: str) -> DataFrame:
+def read_for_embedding(spark: SparkSession, root: str, pattern: str = "*.faa") -> DataFrame:
     """(protein_id, sequence, genome): first header word, trailing stars dropped, genome = folder (A3)."""
-    e = read_entries(spark, f"{root.rstrip('/')}/*/*.faa")
+    e = read_entries(spark, f"{root.rstrip('/')}/*/{pattern}")
     return e.select(
         F.substring_index("header", " ", 1).alias("protein_id"),
         F.regexp_replace("sequence", r"\*+$", "").alias("sequence"),
@@ -110,8 +116,13 @@ def count_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, root: str, pattern: str = "*.{fna,fa,fasta}") -> DataFrame:
-    """(file, genome_id, length, md5) of matching files (A5); ids keep letters and digits, joined by single ``_``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    """(file, genome_id, length, md5) of matching files (A5); ids keep letters and digits, joined by single ``_``.
+
+    A checksum needs a file as one value: beyond MOST_HASHED bytes it is null.
+    """
+    all_files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    small, large = all_files.filter(F.col("length") <= MOST_HASHED), all_files.filter(F.col("length") > MOST_HASHED)
+    files = small.withColumn("md5", F.md5("content")).drop("content").unionByName(large.drop("content").withColumn("md5", F.lit(None).cast("string")))
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     ident = F.expr("trim(BOTH '_' FROM regexp_replace(n, '[^A-Za-z0-9]+', '_'))")
-    return files.withColumn("n", name).select(F.col("path").alias("file"), ident.alias("genome_id"), "length", F.md5("content").alias("md5"))
+    return files.withColumn("n", name).select(F.col("path").alias("file"), ident.alias("genome_id"), "length", "md5")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,19 +43,35 @@ ALIASES = {
 }
 
 
+def _by_header(spark: SparkSession, path: str | list[str], column: str) -> list[DataFrame]:
+    """The TSV files of each distinct header that names ``column``, so that columns are found by name in every file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.filter(F.array_contains(F.split(F.regexp_replace("value", r"\r$", ""), "\t"), column)).groupBy("value").agg(F.collect_set("file").alias("files"))
+    return [_tsv(spark, [unquote(f) for f in sorted(r["files"])]) for r in heads.orderBy("value").collect()]
+
+
+HITS = "protein_id string, source string, accession string, name string, description string, evalue double, score double, start_aa int, end_aa int"
+
+
 def read_hits(spark: SparkSession, path: str | list[str], rules: list[tuple[str, str]] | None = None, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """HMM hits as annotations without ids (A6, A30: several batch files by schema name)."""
+    """HMM hits as annotations without ids.
+
+    Several files may have different headers: columns are taken by name, in each file's own order; a column that a file lacks is null.
+    Files whose header lacks ``sequence_id`` have no rows. The driver holds the names of the files, as it does to plan a scan.
+    """
     a = ALIASES | (aliases or {})
-    raw = _tsv(spark, path)
-    raw = raw.withColumn("__path", F.col("_metadata.file_path"))
-    return raw.select(
-        F.col("sequence_id").alias("protein_id"),
-        source_of_path(F.col("__path"), SOURCE_RULES if rules is None else rules).alias("source"),
-        F.col("hmm_name").alias("accession"),
-        _first(raw, ["name"], "string").alias("name"),
-        _first(raw, ["description"], "string").alias("description"),
-        *[_first(raw, a[c], k).alias(c) for c, k in (("evalue", "double"), ("score", "double"), ("start_aa", "int"), ("end_aa", "int"))],
-    )
+    out = spark.createDataFrame([], HITS)
+    for raw in _by_header(spark, path, "sequence_id"):
+        one = raw.withColumn("__path", F.col("_metadata.file_path")).select(
+            F.col("sequence_id").alias("protein_id"),
+            source_of_path(F.col("__path"), SOURCE_RULES if rules is None else rules).alias("source"),
+            _first(raw, ["hmm_name"], "string").alias("accession"),
+            _first(raw, ["name"], "string").alias("name"),
+            _first(raw, ["description"], "string").alias("description"),
+            *[_first(raw, a[c], k).alias(c) for c, k in (("evalue", "double"), ("score", "double"), ("start_aa", "int"), ("end_aa", "int"))],
+        )
+        out = out.unionByName(one)
+    return out
 
 
 def describe_hits(hits: DataFrame, reference: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def test_registry_rules(spark, genomes):
     assert ids(r.ids("confident_hit", genomes["proteins"], only=genomes["proteins"].filter("contig_id = 'c1'"))) == ["p01", "p02"]
     r.register(registry.Predicate("odd", function=lambda pdf: pdf["gene_index"] % 2 == 1))
     assert len(ids(r.ids("odd", genomes["proteins"]))) == 5
-    assert r.categories() == ["annotation", "general", "size"] and r.get("nope") is None
+    assert r.categories() == ["annotation", "composition", "general", "size"] and r.get("nope") is None
 
 
 def test_searches(genomes):
@@ -189,3 +189,67 @@ def test_runs_and_clusters(spark):
     assert (run.first_rank, run.last_rank, run.run_length) == (0, 2, 3)
     parts = windows.split_by_rank(spark.range(10).withColumnRenamed("id", "x"), ["x"])
     assert [r.part for r in parts.orderBy("x").collect()] == [1, 1, 2, 2, 3, 3, 4, 4, 4, 4]
+
+
+def test_large_groups_are_cut_into_ranges(spark, monkeypatch):
+    """Ranks, clusters and runs are the same whether a group is sorted in one task or in ranges."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "x", None]), s := rng.randrange(900), s + rng.randrange(30), rng.choice("ab")) for i in range(600)]
+    d = spark.createDataFrame(rows, "id int, c string, s int, e int, k string")
+
+    def made():
+        rank = windows.rank_in_group(d, "c", ["s", "id"], "r").orderBy("id").collect()
+        cluster = windows.gap_clusters(d, ["c"], "s", "e", 4, ["id"]).orderBy("id").collect()
+        runs = windows.consecutive_runs(d, ["c"], ["s", "id"], F.lit(True), 3, ["k"]).orderBy("c", "first_rank").collect()
+        return [r.r for r in rank], [r.cluster for r in cluster], [tuple(r) for r in runs]
+
+    whole = made()
+    monkeypatch.setattr(windows, "SEGMENT_ROWS", 50)
+    assert made() == whole and max(whole[1]) > 5 and len(whole[2]) > 5
+
+
+def test_titles_of_structures(spark):
+    cases = {
+        "6abc_A Crystal structure of the lysozyme": "Lysozyme", "Electron microscopy structure of the ribosome": "Ribosome", "Apo form of kinase from E. coli": "Kinase",
+        "Model of the capsid with RNA": "Capsid", "7F0N-ASSEMBLY1_A X-ray crystal structure of an  enzyme, long": "Enzyme", "NMR solution structure of DNA-bound repressor apo": "Repressor",
+        "RNA-free helicase bound to ATP": "Helicase", "123": "?", "": "?", None: "?", "the Crystal structure of a thing": "Thing",
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in d.select("t", X.clean_title(F.col("t")).alias("c")).collect()} == cases
+
+
+def test_nearest_with_nulls_and_no_queries(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.9, 0.1]), (3, [None, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query"], r.vec_id) for r in vectors.nearest_per_query(d, d, 1).collect()}
+    assert got == {(0, 2), (2, 0), (5, 0)}
+    assert vectors.nearest_per_query(d, d.limit(0), 3).count() == 0 and vectors.nearest_per_query(d.limit(0), d, 3).count() == 0
+    assert vectors.nearest_to_set(d, d.filter("vec_id = 1"), 3).count() == 0
+
+
+def test_depths_of_a_long_chain_end_in_an_error(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(8)], "node int")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(7)], "child int, parent int")
+    assert {r.node: r.depth for r in graph.depths(nodes, edges).collect()} == {i: i for i in range(8)}
+    try:
+        graph.depths(nodes, edges, most=3)
+    except RuntimeError:
+        return
+    raise AssertionError("a path longer than allowed went unnoticed")
+
+
+def test_error_scan_asks_for_indicators(spark, genomes):
+    a = spark.createDataFrame([("p1", "Cas12f1-like_TNB", None, 1), ("p1", "tnpB protein", None, 2), ("p2", "Cas12f1-like_TNB", "x", 3), ("p3", "HTH_17", None, 4), ("p4", None, "IS605 family", 5), ("p4", "Cas12f1-like_TNB", None, 6)], "protein_id string, name string, description string, annotation_id int")
+    problems = spark.createDataFrame([("Cas12f1-like_TNB", ["transposase", "tnpA", "tnpB", "IS605"]), ("HTH_17", [])], "domain string, indicators array<string>")
+    out = validate.error_scan(a, genomes["proteins"], genomes["loci"], problems).collect()
+    assert sorted((r.protein_id, r.detail) for r in out if r.kind == "problem_domain") == [("p1", "Cas12f1-like_TNB: tnpB protein"), ("p4", "Cas12f1-like_TNB: IS605 family")]
+    assert sorted(r.protein_id for r in out if r.kind == "overlaps_array") == ["p01", "p07"]
+
+
+def test_arrays_count_csx_and_need_an_effector(spark):
+    arrays = spark.createDataFrame([("a", "c", 5000, 6000), ("b", "c", 90_000, 91_000)], "locus_id string, contig_id string, start int, end_coord int")
+    genes = spark.createDataFrame([("c", 5500, "Csx1"), ("c", 5600, "cas1"), ("c", 5700, "CAS2"), ("c", 5800, "csm5"), ("c", 5900, "cse2")], "contig_id string, start int, label string")
+    contigs = spark.createDataFrame([("c", 91_500)], "contig_id string, length int")
+    got = {r.locus_id: r for r in classify.array_systems(arrays, genes, contigs).collect()}
+    assert got["a"].neighbors == ["cas1", "cas2", "csm5", "csx1"] and got["a"].system == "III" and not got["a"].is_complete and not got["a"].at_edge
+    assert got["b"].is_orphan and got["b"].at_edge

@@ -116,3 +116,20 @@ def test_stream_counts_each_file_once(spark, tmp_path):
         q = stream.append(stream.stream_hits(spark, str(folder), known, "padloc"), str(tmp_path / "out"), str(tmp_path / "ck"))
         q.awaitTermination(60)
     assert [r.protein_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["p1"]
+
+
+def test_hits_are_read_by_column_name(spark, tmp_path):
+    one = put(tmp_path / "a b/pfam.tsv", "sequence_id\thmm_name\tevalue\tscore_x\tbitscore\np1\tPF1\t1e-5\t7\t50\n")
+    two = put(tmp_path / "a b/kofam.tsv", "bitscore\tevalue\thmm_name\tsequence_id\n77\t1e-9\tK1\tp2\n")
+    put(tmp_path / "a b/other.tsv", "x\ty\n1\t2\n")
+    for paths in ([one, two], str(tmp_path / "a b")):
+        got = {r.protein_id: (r.source, r.accession, r.evalue, r.score) for r in tables.read_hits(spark, paths).collect()}
+        assert got == {"p1": ("pfam", "PF1", 1e-5, 50.0), "p2": ("kegg", "K1", 1e-9, 77.0)}
+    assert tables.read_hits(spark, str(tmp_path / "a b/other.tsv")).count() == 0
+
+
+def test_gene_calls_are_numbered_in_file_order(spark, tmp_path):
+    put(tmp_path / "g/b1/x.faa", ">c_9\nMA\n>c_1\nMA\n>d_5 # 4 # 9 # -1\nMA\n>c_4\nMA\n")
+    put(tmp_path / "g/b2/y.faa", ">c_2\nMA\n")
+    got = {(r.bin_id, r.protein_id): r.gene_index for r in fasta.read_gene_calls(spark, str(tmp_path / "g")).collect()}
+    assert got == {("b1", "c_9"): 0, ("b1", "c_1"): 1, ("b1", "c_4"): 2, ("b1", "d_5"): 0, ("b2", "c_2"): 0}
