@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import intervals, rules, searches, similarity  # noqa: F401  (they register their queries)
+from . import classes, entities, files, intervals, rules, searches, similarity  # noqa: F401  (they register their queries)
 from .roles import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -119,16 +119,6 @@ def gap_clusters(spark, d):
     return windows.gap_clusters(R.genes(spark, d), ["contig_id"], "start", "end_coord", 21_600, ["protein_id"]).select("protein_id", "contig_id", "cluster")
 
 
-@query(
-    "locus_mode",
-    f"""WITH {CLUSTERS_SQL}, k AS (SELECT contig_id, cluster, label, count(*) AS n FROM c GROUP BY ALL)
-SELECT contig_id, cluster, label AS system FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, cluster ORDER BY n DESC, label) AS rn FROM k) WHERE rn = 1""",
-)
-def locus_mode(spark, d):
-    c = windows.gap_clusters(R.genes(spark, d), ["contig_id"], "start", "end_coord", 21_600, ["protein_id"])
-    return c.groupBy("contig_id", "cluster").agg(F.mode("label", True).alias("system"))
-
-
 @query(
     "same_strand_chains",
     f"""WITH {R.GENES_SQL}, m AS (SELECT *, max(end_coord) OVER (PARTITION BY contig_id, strand ORDER BY start, protein_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g)
@@ -172,22 +162,6 @@ def context_validation(spark, d):
     return validate.context_validation(hood, expected, "view").drop("found")
 
 
-@query(
-    "system_report",
-    f"""WITH {R.GENES_SQL}, e AS (SELECT * FROM g WHERE label = 'error'), n AS (SELECT e.protein_id AS locus_id, g.label FROM e JOIN g ON g.contig_id = e.contig_id AND abs(g.start - e.start) < 15000 WHERE regexp_matches(g.label, 'purchase|signup|click'))
-SELECT e.protein_id AS locus_id, CASE WHEN count(*) FILTER (WHERE n.label = 'purchase') > 0 THEN 'A' WHEN count(*) FILTER (WHERE n.label = 'signup') > 0 THEN 'B' WHEN count(n.label) > 0 THEN 'C' ELSE 'Unknown' END AS system, count(n.label)::INTEGER AS n_neighbors
-FROM e LEFT JOIN n ON n.locus_id = e.protein_id GROUP BY 1""",
-)
-def system_report(spark, d):
-    """Errors as arrays; nearby events decide the type by ordered rules."""
-    g = R.genes(spark, d)
-    e = g.filter("label = 'error'").withColumnRenamed("protein_id", "locus_id")
-    near = joins.distance_join(g.filter(F.col("label").rlike("purchase|signup|click")), e.select("locus_id", "contig_id", "start"), 15_000)
-    found = near.groupBy(F.col("r_locus_id").alias("locus_id")).agg(F.count("*").cast("int").alias("n"), F.max(F.col("l_label") == "purchase").alias("p"), F.max(F.col("l_label") == "signup").alias("s"))
-    j = e.select("locus_id").join(found, "locus_id", "left")
-    return j.select("locus_id", F.when(F.col("p"), "A").when(F.col("s"), "B").when(F.col("n") > 0, "C").otherwise("Unknown").alias("system"), F.coalesce("n", F.lit(0)).alias("n_neighbors"))
-
-
 @query(
     "locus_members",
     f"""WITH {R.GENES_SQL} SELECT l.protein_id AS locus_id, x.protein_id, (row_number() OVER (PARTITION BY l.protein_id ORDER BY x.start, x.protein_id) - 1)::INTEGER AS "position"

@@ -82,7 +82,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANNOTATIONS_SQL = """a AS (SELECT l_partkey AS protein_id, l_returnflag AS source, 'S' || l_suppkey AS accession,
  CASE WHEN l_suppkey % 11 <> 0 THEN 'sup' || l_suppkey END AS name, CASE WHEN l_suppkey % 7 <> 0 THEN l_extendedprice END AS evalue,
- l_quantity AS score, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
+ l_linestatus AS description, l_quantity AS score, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
 b AS (SELECT protein_id, CASE WHEN name IS NULL THEN NULL ELSE name || ' (' || accession || ')' END AS label, accession FROM (
  SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY evalue NULLS LAST, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS rn FROM a) WHERE rn = 1)"""
 

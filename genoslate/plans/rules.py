@@ -37,20 +37,6 @@ def tag_generation(spark, d):
     return out.select("protein_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query(
-    "full_tag_pipeline",
-    None,
-)
-def full_tag_pipeline(spark, d):
-    """Every step of tag generation over parts and their line items (no SQL counterpart; tests compare a brute force)."""
-    p = R.proteins(spark, d)
-    a = R.annotations(spark, d).withColumn("evalue", F.col("evalue") * 1e-14)
-    exact = spark.createDataFrame([("R", "S3", ["jewel"]), ("A", "S4", ["fastener"])], "source string, accession string, tags array<string>")
-    patterns = spark.createDataFrame([("N", "sup1", ["compact"])], "source string, pattern string, tags array<string>")
-    out = tags.generate_tags(p, a, exact, patterns, spark.createDataFrame(PARENTS, "predicate_id string, parent string"))
-    return out.select("protein_id", F.array_join("tags", ",").alias("tags"))
-
-
 @query(
     "status_tags",
     """WITH s AS (SELECT p_partkey AS protein_id, count(l_partkey) AS n, count(*) FILTER (WHERE l_extendedprice < 2000) AS sure, count(DISTINCT l_returnflag) AS sources, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS domains
@@ -112,16 +98,18 @@ def annotation_consistency(spark, d):
 
 @query(
     "error_scan",
-    f"""WITH {R.GENES_SQL}, {R.ANNOTATIONS_SQL}, x AS (
-SELECT 'problem_domain' AS kind, f.protein_id, f.name AS flagged, string_agg(DISTINCT o.name, '; ' ORDER BY o.name) AS detail FROM (SELECT DISTINCT protein_id, name FROM a WHERE name = 'sup1') f JOIN a o ON o.protein_id = f.protein_id GROUP BY ALL)
-SELECT kind, protein_id, flagged || ': ' || detail AS detail FROM x UNION ALL
-SELECT 'overlaps_array', l.protein_id, r.protein_id::VARCHAR FROM (SELECT * FROM g WHERE label = 'view') l JOIN (SELECT * FROM g WHERE label = 'error') r ON l.contig_id = r.contig_id AND l.start < r.end_coord AND l.end_coord > r.start""",
+    f"""WITH {R.GENES_SQL}, {R.ANNOTATIONS_SQL}, f AS (SELECT DISTINCT protein_id, name FROM a WHERE name IN ('sup1', 'sup2', 'sup3')), o AS (SELECT DISTINCT protein_id, coalesce(name, description, 'unannotated') AS said FROM a)
+SELECT 'problem_domain' AS kind, f.protein_id, f.name || ': ' || o.said AS detail FROM f JOIN o USING (protein_id) WHERE (f.name = 'sup1' AND (contains(o.said, 'sup9') OR contains(o.said, 'sup12'))) OR (f.name = 'sup2' AND o.said = 'O') UNION
+SELECT 'overlaps_array', l.protein_id, r.protein_id || ': ' || coalesce(o.said, 'unannotated') FROM (SELECT * FROM g WHERE label = 'view') l JOIN (SELECT * FROM g WHERE label = 'error') r ON l.contig_id = r.contig_id AND l.start < r.end_coord AND l.end_coord > r.start LEFT JOIN o ON o.protein_id = l.protein_id""",
 )
 def error_scan(spark, d):
-    """Both kinds of findings, uncapped."""
+    """Both kinds of findings, uncapped: domains whose protein tells of an indicator, and genes over arrays."""
     g = R.genes(spark, d)
     arrays = g.filter("label = 'error'").withColumn("locus_id", F.col("protein_id").cast("string"))
-    return validate.error_scan(R.annotations(spark, d), g.filter("label = 'view'"), arrays, "^sup1$", limit=None)
+    problems = spark.createDataFrame([("sup1", ["SUP9", "sup12"]), ("sup2", ["O"]), ("sup3", [])], "domain string, indicators array<string>")
+    # an indicator is found anywhere in a text: "O" is the whole description of rows without a name
+    a = R.annotations(spark, d).withColumn("name", F.when(F.lower("name").contains("sup"), F.col("name")))
+    return validate.error_scan(a, g.filter("label = 'view'"), arrays, problems, limit=None)
 
 
 @query(
@@ -193,11 +181,3 @@ def overlap_flags(spark, d):
     g = R.genes(spark, d)
     loci = g.withColumnRenamed("protein_id", "locus_id").withColumnRenamed("label", "locus_type")
     return classify.overlap_flags(g.filter("label <> 'error'"), loci, "error", "overlaps_error").select("protein_id", F.array_join("tags", ",").alias("tags"))
-
-
-@query("chunk_titles", "SELECT item_id, upper(left(trim(text), 1)) || substr(trim(text), 2, 20) AS title FROM benchmark")
-def chunk_titles(spark, d):
-    t = F.trim("text")
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 20)).alias("title"))
-
-

@@ -253,11 +253,11 @@ def json_metadata(spark, d):
 
 @query(
     "findings_dedup",
-    """SELECT doc_id, length(title) AS title_length FROM (SELECT doc_id, substr(text, 1, 80) AS title, row_number() OVER (PARTITION BY substr(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]', '', 'g'), 1, 50) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
+    """SELECT doc_id, length(title) AS title_length FROM (SELECT doc_id, text AS title, row_number() OVER (PARTITION BY substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 50) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
 )
 def findings_dedup(spark, d):
-    """Documents as findings, their first 80 characters as titles."""
-    f = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"))
+    """Documents as findings, whole texts as titles; 50 letters and digits of a title tell it from others."""
+    f = table(spark, d, "documents").select("doc_id", F.col("text").alias("title"))
     return windows.dedup_first(f, windows.title_key(F.col("title")), "doc_id").select("doc_id", F.length("title").alias("title_length"))
 
 

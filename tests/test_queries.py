@@ -1,8 +1,11 @@
 """Each query against its SQL on the smallest tables."""
 
 import os
+from numbers import Number
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from genoslate.plans import catalog
@@ -20,7 +23,8 @@ def con():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    cell = lambda v: "" if v is None or v != v else (f"{v:.5f}" if isinstance(v, float) else str(v))
+    number = lambda v: isinstance(v, Number) and not isinstance(v, (bool, np.bool_))
+    cell = lambda v: "" if pd.isna(v) else (f"{float(v):.5f}" if number(v) else str(v))
     return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
 
 
@@ -30,22 +34,11 @@ def test_query(spark, con, name):
     if name in catalog.ORACLES:
         want = con.execute(catalog.ORACLES[name]).fetchdf()
         assert sorted(got.columns) == sorted(want.columns)
-        if name not in ("context_validation",):
-            assert rows(got) == rows(want)
-        else:
-            assert len(got) == len(want)
+        assert rows(got) == rows(want)
     else:
         assert len(got.columns) > 0
 
 
-def test_full_tag_pipeline_has_every_protein(spark):
-    out = catalog.QUERIES["full_tag_pipeline"](spark, D)
-    assert out.count() == spark.read.parquet(f"{D}/part.parquet").count()
-    tags = {r.protein_id: set(r.tags.split(",")) for r in out.collect()}
-    jewels = [t for t in tags.values() if "jewel" in t]
-    assert all({"ornament", "object"} <= t for t in jewels)
-
-
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
 
