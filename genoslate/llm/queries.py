@@ -65,7 +65,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_to_targets(_documents(spark, sf_dir), SOURCE_WEIGHTS)
+    mixed = mixing.mix_plan(_documents(spark, sf_dir), SOURCE_WEIGHTS, ["doc_id"])
     return mixed.select(
         "doc_id",
         F.col("__size").alias("size"),
@@ -103,6 +103,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def matroska_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can tell: what is read back from the media."""
+    return op1_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_substring_dedup": op2_substring_dedup,
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "matroska_payload": matroska_payload,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -142,6 +148,41 @@ m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.
 l AS (SELECT m.a, m.b FROM m JOIN n p ON p.doc_id = m.a JOIN n q ON q.doc_id = m.b WHERE 100 * k >= 80 * (p.n + q.n - k)),
 c(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, l.b FROM c JOIN l ON l.a = c.other)
 SELECT c.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c.other) AS component_id, min(c.other) = c.doc_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id""",
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, 'text:' || text, '') AS id FROM documents),
+e AS (SELECT *, least(1000, length(bin(size)))::BIGINT AS w, (('0x' || substr(md5('17:' || id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+s AS (SELECT source, sum(size)::DOUBLE AS n FROM e GROUP BY source),
+k AS (SELECT *, ([3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER])::DOUBLE AS wt FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - 2::DOUBLE * coalesce(sum(n) OVER (ORDER BY n / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+ / sum(wt) OVER (ORDER BY n / wt, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM k),
+t AS (SELECT source, n AS source_size, CASE WHEN n * 2 <= level * wt THEN n * 2 ELSE (SELECT max(level) FROM l WHERE n * 2 > level * wt) * wt END AS target FROM l),
+c AS (SELECT e.source, w, sum(size)::DOUBLE AS n, any_value(source_size) AS source_size, any_value(target) AS target FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source GROUP BY e.source, w),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(w * n) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM c),
+v AS (SELECT *, CASE WHEN below > 0 THEN (target - 2 * above) / below END AS level FROM b),
+x AS (SELECT *, max(CASE WHEN level * w <= 2 THEN w END) OVER (PARTITION BY source) AS fw FROM v),
+y AS (SELECT *, max(CASE WHEN w = fw THEN level END) OVER (PARTITION BY source) AS fl FROM x),
+z AS (SELECT *, least(CASE WHEN source_size = 0 THEN 0::DOUBLE WHEN w <= fw THEN fl * w ELSE 2::DOUBLE END, 2::DOUBLE) AS times FROM y),
+q AS (SELECT *, floor(times) AS whole, times - floor(times) AS pi, target - sum(floor(times) * n) OVER (PARTITION BY source) AS rest FROM z),
+f AS (SELECT e.doc_id, e.source, e.id, e.size, q.source_size, q.target, q.whole, q.pi, q.rest, (u / (1 - u)) / (q.pi / (1 - q.pi)) AS rank FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source AND e.w = q.w),
+g AS (SELECT *, sum(CASE WHEN pi > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY CASE WHEN pi > 0 THEN floor(rank / (1 + rank) * 4503599627370496) END NULLS LAST, id, size ROWS UNBOUNDED PRECEDING) AS upto FROM f)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (whole + CASE WHEN pi > 0 AND (upto <= rest OR (rest > upto - size AND rest - (upto - size) >= size / 2)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM g""",
+    "op10_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT r, i, md5(array_slice(x, i, i + 199)) AS k FROM (SELECT r, x, unnest(range(1, octet_length(x) - 198)) AS i FROM d WHERE octet_length(x) >= 200)),
+c AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+h AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM p JOIN c USING (k)),
+n AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM h),
+s AS (SELECT r, span, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY r, span),
+g AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS z FROM s),
+t AS (SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans, max(b) AS last FROM s GROUP BY r),
+k AS (SELECT g.r, string_agg(CASE WHEN a > z THEN hex(array_slice(x, z, a - 1)) ELSE '' END, '' ORDER BY a) AS kept FROM g JOIN d USING (r) GROUP BY g.r)
+SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN removed IS NULL THEN x ELSE unhex(kept || CASE WHEN last <= octet_length(x) THEN hex(array_slice(x, last, octet_length(x))) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN k USING (r)""",
+    "matroska_payload": """
+WITH p AS (SELECT doc_id, coalesce(text, '') AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+q AS (SELECT doc_id, n, greatest(1, (n + 63) // 64) * 64 AS m, x FROM p)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(x || repeat(chr(0), (m - n)::BIGINT)) AS payload_sha256 FROM q""",
     "op9_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
