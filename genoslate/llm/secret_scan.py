@@ -41,9 +41,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"\S+")
 LINE = re.compile(r"[^\n]+")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+UNICODE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 #: Escapes as bytes, with the short ones that printed byte strings have; a line with HIGH holds more than ASCII.
-BYTES = re.compile(r"""\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\([abfnrtv0'"\\])""")
+BYTES = re.compile(UNICODE.pattern + r"""|\\([abfnrtv0'"\\])""")
 HIGH = re.compile(r"\\(?:x|u00)[89A-Fa-f][0-9A-Fa-f]")
 PLAIN = dict(zip("abfnrtv0'\"\\", (b"%c" % c for c in b"\a\b\f\n\r\t\v\0'\"\\"), strict=True))
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -143,16 +143,24 @@ def _percent(m: re.Match) -> bytes:
     return bytes([int(m[0][1:], 16)])
 
 
+def _code(m: re.Match) -> int | None:
+    """The code point of an escape: a pair of surrogates is one, a surrogate by itself is none."""
+    if m[1]:
+        return 0x10000 + ((int(m[1], 16) & 0x3FF) << 10 | int(m[2], 16) & 0x3FF)
+    code = int(m[3] or m[4], 16)
+    return None if 0xD800 <= code < 0xE000 else code
+
+
 def _unicode(m: re.Match) -> bytes | None:
-    code = int(m[1] or m[2], 16)
-    return None if 0xD800 <= code < 0xE000 else chr(code).encode()
+    code = _code(m)
+    return None if code is None else chr(code).encode()
 
 
 def _byte(m: re.Match) -> bytes | None:
-    if m[3]:
-        return PLAIN[m[3]]
-    code = int(m[1] or m[2], 16)
-    return None if 0xD800 <= code < 0xE000 else bytes([code]) if code < 256 else chr(code).encode()
+    if m[5]:
+        return PLAIN[m[5]]
+    code = _code(m)
+    return None if code is None else bytes([code]) if code < 256 else chr(code).encode()
 
 
 def _reader(raw: bytes, at: int):
