@@ -60,7 +60,7 @@ def map_text(
                 arrays = fn(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays(part.columns[:-1] + arrays, names=names + made.names)
 
-    text_bytes = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias(TEXT)
+    text_bytes = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias(fresh(names, TEXT))
     return df.select(*names, text_bytes).mapInArrow(run, schema)
 
 
@@ -84,7 +84,7 @@ def reduce_text(
                 columns = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], t) for n, t in zip(made.names, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=made.names)
 
-    text_bytes = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias(TEXT)
+    text_bytes = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias(fresh(names, TEXT))
     return df.select(*names, text_bytes).mapInArrow(run, made)
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 # Fixed values of the format: element ids.
 EBML, DOC_TYPE, EBML_VERSION, EBML_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4286, 0x42F7
 MAX_ID_LENGTH, MAX_SIZE_LENGTH, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x42F2, 0x42F3, 0x4287, 0x4285
@@ -335,8 +337,6 @@ def _cluster(data: bytes, a: int, b: int, scale: int, cluster_no: int, default_n
 
 def _map_binary(df: DataFrame, column: str, outputs: str, fn) -> DataFrame:
     """All other columns plus ``outputs``, computed by ``fn`` from the binary column, slice by slice."""
-    from . import common
-
     made = df.sparkSession.createDataFrame([], outputs).schema
     names = [c for c in df.columns if c not in made.names]
     schema = df.select(*names).schema
@@ -348,7 +348,7 @@ def _map_binary(df: DataFrame, column: str, outputs: str, fn) -> DataFrame:
             for part in common.slices(batch, len(names)):
                 yield pa.RecordBatch.from_arrays(part.columns[:-1] + fn(part.column(len(names)).to_pylist()), names=names + made.names)
 
-    return df.select(*names, F.coalesce(F.col(column), F.lit(b"")).alias(common.TEXT)).mapInArrow(run, schema)
+    return df.select(*names, F.coalesce(F.col(column), F.lit(b"")).alias(common.fresh(names, common.TEXT))).mapInArrow(run, schema)
 
 
 def mux_column(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
@@ -393,7 +393,8 @@ def read_samples(df: DataFrame, media: str = "media") -> DataFrame:
             said.append(_feature(found, first, packets, body))
         return [pa.array(samples, pa.binary()), pa.array(said, pa.string())]
 
-    return _map_binary(df.withColumn("__media", F.col(media)), "__media", "samples binary, feature string", rows).drop("__media")
+    again = common.fresh(df.columns, "__media")
+    return _map_binary(df.withColumn(again, F.col(media)), again, "samples binary, feature string", rows).drop(again)
 
 
 def _feature(found: dict, track: dict, packets: list[dict], body: bytes) -> str:

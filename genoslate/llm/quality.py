@@ -2,7 +2,7 @@
 
 A linear model over hashed byte trigrams and a few shape statistics is fitted by the non-negative unbiased risk:
 ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the logistic loss, where the
-positives are trusted rows of quality 1 and the unlabelled are rows of the corpus without a usable label. When the second
+positives are trusted rows of quality 1 and the unlabelled are a sample of all documents, whose labels aren't looked at. When the second
 part turns negative, its gradient is followed upwards instead, which keeps the model from fitting the positives alone.
 The class prior is estimated from the usable labels.
 
