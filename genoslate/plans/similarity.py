@@ -61,7 +61,7 @@ def point_labels(spark, d):
     return vectors.point_labels(table(spark, d, "embeddings").select("vec_id", "label"), by, "label", "r_name").select("vec_id", F.col("r_name").alias("label"))
 
 
-@query("embedding_cap")
+@query("embedding_cap", "SELECT vec_id FROM embeddings ORDER BY md5('7:' || vec_id), vec_id LIMIT 100")
 def embedding_cap(spark, d):
     """A seeded cap on a load, the same rows for the same seed (the cap is the feature)."""
     return S.load_embeddings(spark, f"{d}/embeddings.parquet", 100, 7).select("vec_id")

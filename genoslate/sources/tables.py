@@ -257,6 +257,6 @@ def first_defense_hit(hits: DataFrame) -> DataFrame:
 
 
 def load_embeddings(spark: SparkSession, path: str, limit: int | None = None, seed: int = 0, key: str = "vec_id") -> DataFrame:
-    """Embeddings, of which a cap keeps the same rows for the same seed."""
+    """Embeddings, of which a cap keeps the same rows for the same seed (A22): the first by a hash of seed and key."""
     e = spark.read.parquet(path)
-    return e if limit is None else e.orderBy(F.xxhash64(F.lit(seed), key), key).limit(limit)
+    return e if limit is None else e.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(limit)
