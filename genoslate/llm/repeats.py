@@ -128,20 +128,17 @@ def phrase_kinds(shared: DataFrame) -> DataFrame:
     return common.written(kinds.select("trigger", "phrase", "copies", "first", "last", "at.*"), "phrase-kinds")
 
 
-def several(kinds: DataFrame, group: int, enough: Column) -> DataFrame:
-    """``kinds`` of triggers with several phrases that are ``enough``, with ``salt``: -1 where one group of about
-    ``group`` phrases can hold the trigger, else the number of one of its random shares."""
+def several(kinds: DataFrame, enough: Column) -> DataFrame:
+    """``kinds`` of triggers with several phrases that are ``enough``: the part of the dictionary that has to be looked into."""
     sizes = kinds.groupBy("trigger").agg(F.count("*").alias("variants"), F.min("first").alias("f"), F.max("last").alias("l"))
-    some = sizes.filter((F.col("variants") > 1) & enough).select("trigger", "variants")
-    share = F.pmod(F.xxhash64("phrase", "trigger"), F.ceil(F.col("variants") * 2 / group))
-    salt = F.when(F.col("variants") > group, share).otherwise(-1).cast("int")
-    return common.written(kinds.join(some.hint("shuffle_hash"), "trigger").withColumn("salt", salt).drop("variants"), "dictionary")
+    some = sizes.filter((F.col("variants") > 1) & enough).select("trigger")
+    return common.written(kinds.join(some.hint("shuffle_hash"), "trigger"), "dictionary")
 
 
-def contexts(docs: DataFrame, kinds: DataFrame, cut: Callable[[bytes, list[dict]], list[dict]], width: int, text: str, doc: str, extra: str) -> DataFrame:
-    """``kinds`` (trigger, phrase, copies, first, n, salt) with what ``cut`` (one dict of ``extra`` per phrase) reads
+def contexts(docs: DataFrame, kinds: DataFrame, cut: Callable[[bytes, list[dict]], list[dict]], text: str, doc: str, extra: str) -> DataFrame:
+    """``kinds`` (trigger, phrase, copies, first, n, group) with what ``cut`` (one dict of ``extra`` per phrase) reads
     from the document where each stands."""
-    fields = ("trigger", "phrase", "copies", "first", "lo", "n", "off", "salt")
+    fields = ("trigger", "phrase", "copies", "first", "lo", "n", "off", "group")
     wanted = kinds.groupBy("key", "ord").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     keyed = docs.select(common.row_key(text, doc).alias("key"), order_of(doc).alias("ord"), F.col(text).alias("text"))
     # of equal rows one is enough to cut from; more would only repeat the same phrases, which the groups allow for
@@ -158,10 +155,16 @@ def contexts(docs: DataFrame, kinds: DataFrame, cut: Callable[[bytes, list[dict]
                     out[k].append(made[k])
         return out
 
-    schema = f"trigger long, phrase long, copies long, first long, n int, salt int, {extra}"
+    schema = f"trigger long, phrase long, copies long, first long, n int, group long, {extra}"
     return common.reduce_text(joined, schema, run, "text", ["wanted"])
 
 
+def dealt(bodies: DataFrame, total: int, task_bytes: int) -> DataFrame:
+    """``bodies`` with ``part``: whole groups together, and phrases without a group (null) anywhere."""
+    parts = max(64, -(-total // task_bytes))
+    return bodies.withColumn("part", F.pmod(F.xxhash64(F.coalesce("group", F.xxhash64("trigger", "phrase"))), F.lit(parts)))
+
+
 LEAF = "trigger long, phrase long, from int, to int, a long, b long, copies long, first long"
 
 
@@ -178,12 +181,12 @@ def settle(leaves: DataFrame, rule: Column) -> DataFrame:
     return done.unionByName(asked.select("trigger", "phrase", "from", "to"))
 
 
-def covered(docs: DataFrame, ranges: DataFrame, text: str, doc: str) -> DataFrame:
-    """``docs`` with ``__ranges``: the token ranges (from, to) of each row, overlapping and in any order."""
-    gathered = ranges.groupBy("key", "ord").agg(F.collect_set(F.struct("from", "to")).alias("__ranges"))
-    keyed = docs.withColumn("__key", common.row_key(text, doc)).withColumn("__ord", order_of(doc))
-    g = gathered.select(F.col("key").alias("__key"), F.col("ord").alias("__ord"), "__ranges")
-    return keyed.join(g.hint("shuffle_hash"), ["__key", "__ord"], "left").drop("__key", "__ord")
+def covered(docs: DataFrame, ranges: DataFrame, text: str, doc: str) -> tuple[DataFrame, str]:
+    """``docs`` with the token ranges (from, to) of each row, overlapping and in any order, and that column's name."""
+    key, order, held = (common.fresh(docs.columns, x) for x in ("__key", "__ord", "__ranges"))
+    gathered = ranges.groupBy(F.col("key").alias(key), F.col("ord").alias(order)).agg(F.collect_set(F.struct("from", "to")).alias(held))
+    keyed = docs.withColumn(key, common.row_key(text, doc)).withColumn(order, order_of(doc))
+    return keyed.join(gathered.hint("shuffle_hash"), [key, order], "left").drop(key, order), held
 
 
 def places(shared: DataFrame, verdict: DataFrame, width: int, holds: Column | None = None) -> DataFrame:
@@ -216,8 +219,8 @@ def mark(n: int, ranges: list[dict] | None) -> np.ndarray | None:
     return np.cumsum(depth[:-1]) > 0
 
 
-def rewrite(joined: DataFrame, keep: list[str], outputs: str, fn: Callable[[bytes, list[dict] | None], tuple], text: str) -> DataFrame:
-    """``keep`` columns plus ``outputs``, made by ``fn(whole text, ranges)``; the text comes back as its result says."""
+def rewrite(joined: DataFrame, held: str, keep: list[str], outputs: str, fn: Callable[[bytes, list[dict] | None], tuple], text: str) -> DataFrame:
+    """``keep`` columns plus ``outputs``, made by ``fn(whole text, ranges of the column held)``; the text comes back as its result says."""
     made = joined.sparkSession.createDataFrame([], outputs).schema
     names = [c for c in keep if c not in made.names]
     schema = joined.select(*names).schema
@@ -232,5 +235,5 @@ def rewrite(joined: DataFrame, keep: list[str], outputs: str, fn: Callable[[byte
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(part.columns[:-2] + arrays, names=names + made.names)
 
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias(common.TEXT)
-    return joined.select(*names, "__ranges", raw).mapInArrow(run, schema)
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias(common.fresh(joined.columns, common.TEXT))
+    return joined.select(*names, held, raw).mapInArrow(run, schema)

@@ -8,15 +8,18 @@ Every byte that a string of ``width`` bytes covers, which also starts anywhere e
 2. Parse: a phrase that the parse holds twice repeats whole, with all its windows. Counting phrase names (a
    grouping with partial sums) settles that without looking at text.
 3. Dictionary: other repeats are between different phrases of the same trigger. Their texts are fetched once per
-   distinct phrase, dealt out to groups of bounded size by trigger, and the windows are named
-   there by a 128-bit hash of their ``width`` bytes; names that occur twice repeat. A trigger with more phrases than a group may
-   hold is split at random, and its names are then counted over its groups.
-
-Neither suffix array is built: only the equality of windows is asked for, not their order.
+   distinct phrase and dealt out by trigger to tasks of bounded bytes. A task sorts the suffixes of its phrases by their first ``width``
+   bytes (a suffix array by prefix doubling, eight bytes first); windows of one rank are equal, and how often a window occurs is the sum
+   of what the parse says of its phrases. A trigger whose phrases exceed ``group_bytes`` is split over tasks, and its windows are counted
+   by 128-bit names over all of them.
 4. The verdicts on phrases go back to where they stand, and the texts lose the covered bytes.
 
+The order of suffixes is that of a task's triggers. It isn't merged into one order of the corpus, nor is the parse sorted: equal windows share
+their trigger, so both would only bring together what already is.
+
 Defined cases: a null or empty text has no bytes and loses none; equal rows repeat each other; an empty table gives an
-empty table; very long texts are cut into overlapping pieces for hashing only; rows with a null id are documents too.
+empty table; very long texts are cut into overlapping pieces for hashing only; rows with a null id are documents too; columns
+named like an output are replaced, all others come back as they are.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, repeats
+from . import common, repeats, suffix_tree
 
-#: Bytes of a trigger; a slice of texts; phrases in a group that sorts suffixes.
+#: Bytes of a trigger; a slice of texts; bytes of phrases under one trigger; bytes of phrases in a task.
 GRAM = 40
 SLICE = 1 << 20
-GROUP = 8_000
+GROUP_BYTES = 1 << 20
+TASK_BYTES = 2 << 20
 
 _BYTES = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _OTHER = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -41,13 +45,18 @@ def _tokens(texts: list[bytes]) -> list[np.ndarray]:
     return [_BYTES[np.frombuffer(raw, np.uint8)] for raw in texts]
 
 
-def suffix_names(bodies: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit name of the first ``width`` bytes of every suffix that starts a window, phrase by phrase."""
-    raw = np.frombuffer(b"".join(bodies), np.uint8)
-    size = np.array([len(b) for b in bodies], np.int64)
-    start = np.cumsum(size) - size
-    first = np.cumsum(n) - n
-    at = np.repeat(start - first, n) + np.arange(int(n.sum()))
+def suffix_ranks(raw: np.ndarray, width: int) -> np.ndarray:
+    """The rank of each suffix of ``raw`` by its first ``width`` bytes, in byte order."""
+    padded = np.append(raw, np.zeros(7, np.uint8)).astype(np.uint64)
+    first = np.zeros(len(raw), np.uint64)
+    step = min(8, 1 << (width.bit_length() - 1))
+    for k in range(step):
+        first = first << np.uint64(8) | padded[k : k + len(raw)]
+    return suffix_tree.cut_at(suffix_tree.levels(first, width, step), width, step)
+
+
+def window_names(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name of the ``width`` bytes from each position on."""
     names = []
     for table in (_BYTES, _OTHER):
         p, inverse = common.prefix_sums(table[raw])
@@ -55,68 +64,62 @@ def suffix_names(bodies: list[bytes], n: np.ndarray, width: int) -> tuple[np.nda
     return names[0], names[1]
 
 
-def equal_neighbours(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal names together (not a suffix order), and for each window the index of its class."""
-    order = np.argsort(a, kind="stable")
-    same = a[order][1:] == a[order][:-1]
-    if (b[order][1:][same] != b[order][:-1][same]).any():
-        order = np.lexsort((b, a))
-        same = a[order][1:] == a[order][:-1]
-    same &= b[order][1:] == b[order][:-1]
-    kind = np.empty(len(a), np.int64)
-    kind[order] = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(a) else 0
-    return order, kind
-
-
 def _leaves(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Groups the windows of one group of phrases by name; see ``repeats.settle`` for the rows."""
+    """Sorts the suffixes of one task's phrases; see ``repeats.settle`` for the rows."""
     pdf = pdf.drop_duplicates(["trigger", "phrase"])  # equal rows bring a phrase twice
     n = pdf["n"].to_numpy(np.int64)
-    a, b = suffix_names(pdf["body"].tolist(), n, width)
-    _, kind = equal_neighbours(a, b)
-    members = np.bincount(kind, minlength=1)[kind]
+    raw = np.frombuffer(b"".join(pdf["body"]), np.uint8)
+    start = np.cumsum(n - 1 + width) - (n - 1 + width)
     row = np.repeat(np.arange(len(pdf)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = start[row] + j
+    kind = suffix_ranks(raw, width)[at]
+    members = np.bincount(kind, minlength=1)[kind]
     once = pdf["copies"].to_numpy() == 1
-    salted = pdf["salt"].to_numpy() >= 0
+    split = pdf["group"].isna().to_numpy()
     trigger, phrase = pdf["trigger"].to_numpy(), pdf["phrase"].to_numpy()
-    out = []
-    # repeats within the group, as maximal ranges of windows
+    # repeats within the task, as maximal ranges of windows
     hit = (members > 1) & once[row]
-    edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (row[1:] != row[:-1])])) if len(hit) else np.zeros(0, int)
-    last = np.flatnonzero(hit & np.concatenate([~hit[1:] | (row[1:] != row[:-1]), [True]])) if len(hit) else edge
-    out.append(pd.DataFrame({"trigger": trigger[row[edge]], "phrase": phrase[row[edge]], "from": j[edge], "to": j[last] + 1}))
-    # of split triggers, the names that other groups may hold too: one row a name, with its window if it stands alone
-    asked = np.flatnonzero(salted[row])
+    apart = row[1:] != row[:-1]
+    edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | apart]))
+    last = np.flatnonzero(hit & np.concatenate([~hit[1:] | apart, [True]]))
+    done = pd.DataFrame({"trigger": trigger[row[edge]], "phrase": phrase[row[edge]], "from": j[edge], "to": j[last] + 1})
+    # of split triggers, the windows that other tasks may hold too: one row a name, with its window if it stands alone
+    asked = np.flatnonzero(split[row])
     asked = asked[np.unique(kind[asked], return_index=True)[1]]
+    a, b = window_names(raw, at[asked], width)
     alone = (members[asked] == 1) & once[row[asked]]
-    named = pd.DataFrame({"trigger": trigger[row[asked]], "phrase": pd.array(phrase[row[asked]], "Int64"), "from": j[asked], "to": j[asked] + 1, "a": pd.array(a[asked].view(np.int64), "Int64"), "b": pd.array(b[asked].view(np.int64), "Int64"), "copies": np.where(alone, 1, 2)})
+    named = pd.DataFrame({"trigger": trigger[row[asked]], "phrase": pd.array(phrase[row[asked]], "Int64"), "from": j[asked], "to": j[asked] + 1, "a": pd.array(a.view(np.int64), "Int64"), "b": pd.array(b.view(np.int64), "Int64"), "copies": np.where(alone, 1, 2)})
     named.loc[~alone, "phrase"] = pd.NA
-    out.append(named)
-    done = pd.concat(out, ignore_index=True)
+    out = pd.concat([done, named], ignore_index=True)
     for c in ("phrase", "a", "b", "copies"):
-        done[c] = done[c].astype("Int64") if c in done else pd.array([pd.NA] * len(done), "Int64")
-    return done.assign(first=pd.array([pd.NA] * len(done), "Int64"))[["trigger", "phrase", "from", "to", "a", "b", "copies", "first"]]
+        out[c] = out[c].astype("Int64")
+    return out.assign(first=pd.array([pd.NA] * len(out), "Int64"))[["trigger", "phrase", "from", "to", "a", "b", "copies", "first"]]
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, text: str = "text", doc: str = "doc_id", gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, width: int = 200, text: str = "text", doc: str = "doc_id", gram: int = GRAM, group_bytes: int = GROUP_BYTES, task_bytes: int = TASK_BYTES
+) -> DataFrame:
     """``docs`` with kept (binary: the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs)."""
     table = lambda: repeats.phrase_table(docs, _tokens, width, gram, text, doc, SLICE)
     shared = repeats.shared_phrases(table, F.col("n_all") > 1)
     kinds = repeats.phrase_kinds(shared)
-    dictionary = repeats.several(kinds, group, F.lit(True))
+    dictionary = repeats.several(kinds, F.lit(True))
+    held = dictionary.groupBy("trigger").agg(F.sum(F.col("n") + F.lit(width - 1)).alias("bytes"))
+    held = common.written(held, "trigger-bytes")
+    total = held.agg(F.sum("bytes")).first()[0] or 0
+    large = held.filter(F.col("bytes") > group_bytes).select("trigger", F.lit(True).alias("large"))
+    group = F.when(F.col("large").isNull(), F.col("trigger"))
+    grouped = dictionary.join(large, "trigger", "left").withColumn("group", group).drop("large")
     cut = lambda raw, rows: [{"body": raw[r["lo"] : r["lo"] + r["n"] - 1 + width]} for r in rows]
-    bodies = repeats.contexts(docs, dictionary, cut, width, text, doc, "body binary")
-    groups = max(64, -(-dictionary.count() * 2 // group))
-    part = F.pmod(F.when(F.col("salt") < 0, F.col("trigger")).otherwise(F.xxhash64("trigger", "salt")), F.lit(groups))
-    leaves = common.written(
-        bodies.withColumn("part", part).groupBy("part").applyInPandas(lambda pdf: _leaves(pdf, width), repeats.LEAF), "suffix-order"
-    )
+    bodies = repeats.contexts(docs, grouped, cut, text, doc, "body binary")
+    leaves = repeats.dealt(bodies, total, task_bytes).groupBy("part").applyInPandas(lambda pdf: _leaves(pdf, width), repeats.LEAF)
+    leaves = common.written(leaves, "suffix-order")
     verdict = repeats.settle(leaves, F.col("n_all") > 1).unionByName(
         kinds.filter("copies > 1").select("trigger", "phrase", F.lit(0).alias("from"), F.col("n").alias("to"))
     )
     ranges = repeats.places(shared, verdict, width)
-    joined = repeats.covered(docs, ranges, text, doc)
+    joined, held = repeats.covered(docs, ranges, text, doc)
 
     def drop(raw: bytes, found: list[dict] | None) -> tuple:
         gone = repeats.mark(len(raw), found)
@@ -125,4 +128,4 @@ def remove_repeats(docs: DataFrame, width: int = 200, text: str = "text", doc: s
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         return kept, len(raw), len(raw) - len(kept), len(repeats.runs(gone))
 
-    return repeats.rewrite(joined, docs.columns, "kept binary, n_bytes long, n_removed long, n_spans long", drop, text)
+    return repeats.rewrite(joined, held, docs.columns, "kept binary, n_bytes long, n_removed long, n_spans long", drop, text)

@@ -1,9 +1,10 @@
 """Nulls, empty and long values, repeated rows, empty tables and clashing columns, with their exact results."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from genoslate.llm import matroska, quality, secret_scan, suffix_dedup
+from genoslate.llm import components, matroska, near_dedup, quality, secret_scan, suffix_dedup
 
 from .test_llm import docs, odd  # noqa: F401
 
@@ -90,3 +91,31 @@ def test_fit_lowers_the_non_negative_risk():
     assert ((unl @ w[:-1] + w[-1] > 0) == truth).mean() > 0.95
     # no small step does better, up to the decay
     assert all(risk(w + d) > risk(w) - 2e-3 for d in 0.02 * rng.normal(size=(50, 6)))
+
+
+def test_near_recall_at_the_threshold():
+    """Pairs of sets at a similarity of 0.8: how many share a node of some tree, and pass the estimate."""
+    rng = np.random.default_rng(12)
+    trees = near_dedup.tree_count(3, 0.8, 0.99999)
+    factors = near_dedup._factors(trees * 3)
+    least = int(np.floor(trees * 3 * 0.8 - 5 * np.sqrt(trees * 3 * 0.16)))
+    met = passed = 0
+    pairs = 20_000
+    for _ in range(pairs):
+        u = rng.integers(0, 1 << 63, 180, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        a, b = u[:162], u[18:]  # 144 of 180
+        x, y = ((s[:, None] * factors).min(axis=0) for s in (a, b))
+        same = (x == y).reshape(trees, 3).all(axis=1).any()
+        like = (x.astype(np.uint16) == y.astype(np.uint16)).sum() >= least
+        met += same
+        passed += same and like
+    assert met >= 0.9999 * pairs - 3 and passed >= 0.9999 * pairs - 5
+    print("recall at 0.8:", passed / pairs)
+
+
+def test_components_of_awkward_links(spark):
+    links = spark.createDataFrame([(1, 2, "x"), (2, 1, "y"), (3, 3, "z"), (None, 4, "n"), (5, None, None), (2, 6, "w"), (2, 6, "w")], "a long, b long, root string")
+    assert {(r.v, r.root) for r in components.components(links).collect()} == {(2, 1), (6, 1)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(0, 64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, most_rounds=1)
