@@ -11,9 +11,10 @@ probability s**d, and two tokens a level keep what is above one half, so ``trees
 2. Leaves are compared exhaustively by minwise tokens, which estimate the similarity: pairs more than five standard deviations
    short of the threshold go. Of the others, a leaf gives only links that connect what they connect, at most one a document.
 3. What these links connect is a hub, and every candidate pair lies within one. Links are confirmed on full sets, a hub
-   at a time, in blocks of a fixed number of shingles: one document is compared with all of its block, then every document
-   which isn't yet joined to the main component, until all that were never compared are connected. So near copies by the
-   thousand cost few comparisons, and no link between components is lost.
+   at a time: one document is compared with all of its block, then every document which isn't yet joined to the main component, until
+   all that were never compared are connected. So near copies cost few comparisons, and no link between components is lost.
+4. Nodes and hubs beyond a block of fixed size are cut into chunks. Only what lies outside a group's main component after that is
+   compared with the other chunks (see ``_links``), so a large group of near copies costs about its size, not its square.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing; rows of one id are one document; rows
 without an id are documents by their text, and are kept unless they reach one with an id; an empty table gives an
@@ -23,11 +24,12 @@ empty table; input columns named like an output are replaced, all others come ba
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -143,16 +145,6 @@ def _leaves(paths: DataFrame, depth: int, leaf: int, width: int, most: int) -> D
     return common.written(out, "leaves")
 
 
-def _in_blocks(rows: DataFrame, group: str, chunks: Column, buckets: int) -> DataFrame:
-    """``rows`` of each group dealt into ``chunks`` by v, and repeated for every pair of chunks: columns block and bucket."""
-    n = F.greatest(chunks, F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("v"), n).cast("int")
-    # (i, j) with i < j as i * n + j; one chunk alone is block 0
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: (n == 1) | (j != own)), lambda j: F.least(j, own) * n + F.greatest(j, own))
-    out = rows.withColumn("part", F.explode(pairs)).withColumn("block", F.xxhash64(group, "part"))
-    return out.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int"))
-
-
 def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest position each of ``n`` reaches by the pairs (a, b)."""
     root = np.arange(n)
@@ -166,16 +158,20 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _probe(n: int, hits) -> list[tuple[int, int]]:
-    """Pairs of positions that connect what all pairs would, where ``hits(x)`` gives the positions linked with x.
+def _probe(n: int, hits, main: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of positions that connect what all pairs would, where ``hits(x)`` gives the positions linked with x; those in
+    ``main`` are known to be connected.
 
     A position that was compared with all others is probed. The result is exact once all positions never probed are
     connected: a pair across components then has a probed member.
     """
     root = np.arange(n)
+    if main.any():
+        root[main] = int(main.argmax())
     probed = np.zeros(n, bool)
-    links, x = [], 0
-    while n:
+    links: list[tuple[int, int]] = []
+    x = int((~main).argmax()) if n else 0
+    while n and not main.all():
         probed[x] = True
         hit = hits(x)
         fresh = hit[root[hit] != root[x]]
@@ -193,8 +189,10 @@ def _probe(n: int, hits) -> list[tuple[int, int]]:
     return links
 
 
-def alike(node: np.ndarray, sketch: np.ndarray, least: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) that connect what all pairs of one node with ``least`` like tokens connect; ``node`` is sorted."""
+def alike(node: np.ndarray, sketch: np.ndarray, least: int, main: np.ndarray | None = None, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) that connect what all pairs of one node with ``least`` like tokens connect; ``node`` is sorted, and rows of a
+    node that are in ``main`` are known to be connected."""
+    main = np.zeros(len(node), bool) if main is None else main
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(node)))
     found_a, found_b = [], []
@@ -217,31 +215,71 @@ def alike(node: np.ndarray, sketch: np.ndarray, least: int, leaf: int = LEAF) ->
     a, b = [root[tied]], [tied]
     for f, n in zip(first[size > leaf].tolist(), size[size > leaf].tolist(), strict=True):
         own = sketch[f : f + n]
-        links = _probe(n, lambda x, own=own: np.flatnonzero((own == own[x]).sum(axis=1) >= least))
+        links = _probe(n, lambda x, own=own: np.flatnonzero((own == own[x]).sum(axis=1) >= least), main[f : f + n])
         a.append(f + np.array([x for x, _ in links], np.int64))
         b.append(f + np.array([y for _, y in links], np.int64))
     return np.concatenate(a), np.concatenate(b)
 
 
-def _candidates(leaves: DataFrame, width: int, least: int, most: int) -> DataFrame:
-    """(a, b): links that connect what all pairs of like sketches in the leaves connect, one a row of a leaf at most."""
+def _links(rows: DataFrame, capacity: int, task: int, compare: Callable, label: str) -> DataFrame:
+    """(a, b): links that connect what all pairs of rows of one group connect. ``rows``: g, v, w (weight), total (of the group), payload.
+
+    A group that fits ``capacity`` is one block. A larger one is cut into chunks, each compared by itself and with a few rows of the whole
+    group. What that leaves outside the group's main component is then compared with every chunk; rows of the main one are
+    connected already, and aren't compared with each other. ``compare(block, v, payload, main)`` gives positions of links, all
+    blocks of a task at once.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "v"], kind="stable")
+        pdf = pdf.sort_values(["block", "v"], kind="stable").drop_duplicates(["block", "v"])
         v = pdf["v"].to_numpy(np.int64)
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, width)
-        a, b = alike(pdf["block"].to_numpy(np.int64), sketch, least)
+        a, b = compare(pdf["block"].to_numpy(np.int64), pdf["payload"].tolist(), pdf["main"].to_numpy(bool))
         pairs = np.unique(np.stack([np.minimum(v[a], v[b]), np.maximum(v[a], v[b])], axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    rows = leaves.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("m") / (most // 2)))).alias("n")).first()["n"] or 0
-    buckets = max(64, -(-int(rows) // TASK_ROWS))
-    dealt = _in_blocks(leaves, "node", F.when(F.col("m") > most, F.ceil(F.col("m") / (most // 2))).otherwise(1), buckets)
-    return dealt.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+    def compared(dealt: DataFrame, amount: float) -> DataFrame:
+        buckets = max(64, -(-int(amount or 0) // task))
+        some = dealt.select(F.pmod("block", F.lit(buckets)).alias("bucket"), "block", "v", "payload", "main")
+        return common.written(some.groupBy("bucket").applyInPandas(run, "a long, b long").distinct(), label)
+
+    n = F.when(F.col("total") > capacity, F.ceil(F.col("total") * 2 / capacity)).otherwise(1).cast("int")
+    cut = rows.withColumn("n", n).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
+    large = cut.filter("n > 1")
+    block = F.xxhash64("g", "chunk").alias("block")
+    first = cut.select(block, "v", "payload", F.lit(False).alias("main"))
+    weight = rows.agg(F.sum("w")).first()[0]
+    if large.isEmpty():
+        return compared(first, weight)
+    some = lambda i: F.min_by("v", F.xxhash64(F.lit(i), "v"))
+    pivots = large.groupBy("g").agg(F.array_distinct(F.array(F.min("v"), F.max("v"), some(1), some(2))).alias("p")).select("g", F.explode("p").alias("v"))
+    every = large.join(pivots, ["g", "v"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    links = compared(first.unionByName(every.select(block, "v", "payload", F.lit(False).alias("main"))), weight)
+    placed = large.join(components(links), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    sizes = placed.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+    marked = placed.join(sizes, "g").withColumn("main", F.col("root") == F.col("most"))
+    marked = common.written(marked.select("g", "v", "w", "n", "chunk", "payload", "main"), f"{label}-marked")
+    left = marked.filter(~F.col("main")).groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("w") * 2 / capacity)).cast("int").alias("r"))
+    marked = marked.join(left, "g")
+    outside = marked.filter(~F.col("main")).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "v"), F.col("r")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    whole = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("r") - 1)))
+    second = outside.select("g", "part", "chunk", "v", "payload", "main").unionByName(whole.select("g", "part", "chunk", "v", "payload", "main"))
+    amount = marked.agg(F.sum(F.col("w") * F.when(F.col("main"), F.col("r")).otherwise(F.col("r") + F.col("n")))).first()[0]
+    return links.unionByName(compared(second.withColumn("block", F.xxhash64("g", "part", "chunk")), amount))
+
 
+def _candidates(leaves: DataFrame, width: int, least: int, most: int) -> DataFrame:
+    """Links that connect what all pairs of like sketches in the leaves connect."""
+
+    def compare(block: np.ndarray, sketches: list[bytes], main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return alike(block, np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, width), least, main)
+
+    rows = leaves.select(F.col("node").alias("g"), "v", F.lit(1).cast("long").alias("w"), F.col("m").alias("total"), F.col("sketch").alias("payload"))
+    return _links(rows, most, TASK_ROWS, compare, "near-candidates")
 
-def connect(sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
+
+def connect(sets: list[np.ndarray], share: int, main: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of positions that connect all sets whose inner * 1e6 >= share * union, without comparing all pairs."""
+    main = np.zeros(len(sets), bool) if main is None else main
     size = np.array([len(x) for x in sets], np.int64)
     row = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32) if len(row) else row
@@ -255,30 +293,23 @@ def connect(sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
         mark[own] = False
         return np.flatnonzero(inner * 1_000_000 >= share * (size + size[x] - inner))
 
-    return _probe(len(sets), hits)
+    return _probe(len(sets), hits, main)
 
 
 def _confirm(texts: DataFrame, hubs: DataFrame, size: int, threshold: float) -> DataFrame:
     """Links that connect each hub's documents as all pairs of them would: inner / union >= threshold, in whole numbers."""
     share = round(threshold * 1_000_000)
-    total = hubs.groupBy("hub").agg(F.sum("n").alias("shingles"))
-    chunks = F.ceil(F.col("shingles") / (BLOCK_SHINGLES // 2))
-    alone = F.when(F.col("shingles") > BLOCK_SHINGLES, chunks).otherwise(1)
-    rows = total.agg(F.sum(F.col("shingles") * F.greatest(F.lit(1), alone - 1)).alias("n")).first()["n"] or 0
-    buckets = max(64, -(-int(rows) // TASK_SHINGLES))
-    held = texts.join(hubs.select("v", "hub"), "v").join(total, "hub")
-    held = held.select("hub", "v", F.col("text").cast("binary").alias("text"), "shingles")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, one in pdf.groupby("block", sort=True):
-            one = one.sort_values("v")
-            v = one["v"].to_numpy(np.int64)
-            out += [(v[a], v[b]) for a, b in connect(shingle_sets(one["text"].tolist(), size), share)]
-        return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    dealt = _in_blocks(held, "hub", alone, buckets).select("bucket", "block", "v", "text")
-    return common.written(dealt.groupBy("bucket").applyInPandas(run, "a long, b long"), "near-links")
+    def compare(block: np.ndarray, found: list[bytes], main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist() if len(block) else []
+        out = [(p + x, p + y) for p, q in zip(edge, [*edge[1:], len(block)], strict=True) for x, y in connect(shingle_sets(found[p:q], size), share, main[p:q])]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    total = hubs.groupBy("hub").agg(F.sum("n").alias("total"))
+    rows = texts.join(hubs.select("v", "hub", "n"), "v").join(total, "hub")
+    rows = rows.select(F.col("hub").alias("g"), "v", F.col("n").alias("w"), "total", F.col("text").cast("binary").alias("payload"))
+    return _links(rows, BLOCK_SHINGLES, TASK_SHINGLES, compare, "near-links")
 
 
 def near_duplicates(
