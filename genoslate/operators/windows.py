@@ -33,10 +33,10 @@ def best_label(annotations: DataFrame, strict: bool = True) -> DataFrame:
 SEGMENT_ROWS = 1_000_000
 
 
-def _segments(df: DataFrame, groups: list[str], order: list) -> tuple[DataFrame, bool]:
+def _segments(df: DataFrame, groups: list[str], order: list, most: int | None = None) -> tuple[DataFrame, bool]:
     """``df`` with ``__seg``: 0 where every group fits a task; else range partitions by group and order, so that a large group
     lies in several tasks, in order."""
-    if df.groupBy(*groups).count().filter(F.col("count") > SEGMENT_ROWS).isEmpty():
+    if df.groupBy(*groups).count().filter(F.col("count") > (most or SEGMENT_ROWS)).isEmpty():
         return df.withColumn("__seg", F.lit(0)), False
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written, since a lost and recomputed partition might be cut elsewhere
@@ -52,10 +52,10 @@ def _carried(df: DataFrame, groups: list[str], value: Column, over: Callable[[st
     return df.join(per, on, "left").drop("__s", *[f"__k{i}" for i in range(len(groups))])
 
 
-def rank_in_group(df: DataFrame, group: str | list[str], order: list[str], name: str = "gene_index", first: int = 0) -> DataFrame:
-    """Rank by ``order`` within the group (E9). A group beyond SEGMENT_ROWS is ranked in ranges, which the sizes of those before offset."""
+def rank_in_group(df: DataFrame, group: str | list[str], order: list[str], name: str = "gene_index", first: int = 0, most: int | None = None) -> DataFrame:
+    """Rank by ``order`` within the group (E9). A group of more than ``most`` rows (by default SEGMENT_ROWS) is ranked in ranges, which the sizes of those before offset."""
     groups = [group] if isinstance(group, str) else list(group)
-    cut, large = _segments(df, groups, list(order))
+    cut, large = _segments(df, groups, list(order), most)
     rank = F.row_number().over(W.partitionBy(*groups, "__seg").orderBy(*order)) - 1 + first
     out = cut.withColumn(name, rank)
     if large:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, tags, windows
 from . import roles as R
-from .intervals import ranked
 from .roles import query, table
 from .rules import PARENTS
 
@@ -20,10 +19,6 @@ RULE = "source string, accession string, tags array<string>"
 PATTERN = "source string, pattern string, tags array<string>, field string, unless string"
 
 
-def _nothing(spark, schema: str):
-    return spark.createDataFrame([], schema)
-
-
 def _shown(out):
     return out.select("protein_id", F.array_join("tags", ",").alias("tags"))
 
@@ -70,6 +65,7 @@ def defense_tags(spark, d):
     a = s.select(k.alias("protein_id"), F.lit("DefenseFinder").alias("source"), text(F.element_at(kinds, (k % 4 + 1).cast("int")), k).alias("accession"), blank, F.lit("").alias("description"), sure)
     h = s.select(k.alias("protein_id"), F.lit("hyddb").alias("source"), F.when(k % 3 == 0, "NiFe").when(k % 3 == 1, "fe_only").otherwise("x").alias("accession"), blank, F.lit("").alias("description"), sure)
     exact = spark.createDataFrame([("hyddb", "nife", ["nife_hydrogenase", "hydrogenase"]), ("hyddb", "fe_only", ["fe_only_hydrogenase", "hydrogenase"])], RULE)
+    # Words of accessions and their tags.
     rules = [("cas|crispr", ["crispr_associated", "defense_system"]), ("rm_|restriction|methylase", ["restriction_modification", "defense_system"]), ("cbass|cyclic", ["cbass", "defense_system"])]
     patterns = spark.createDataFrame([("defensefinder", p, t, "accession", None) for p, t in rules], PATTERN)
     out = tags.annotation_tags(a.unionByName(h), exact, patterns)
@@ -260,16 +256,7 @@ def tags_of_some(spark, d):
     return _generated(spark, d, R.proteins(spark, d).filter("sequence_length = 17"))
 
 
-@query(
-    "best_hit_rows",
-    "SELECT user_id AS contig_id, max(gene_index)::INTEGER AS last FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS gene_index FROM events) GROUP BY 1",
-)
-def best_hit_rows(spark, d):
-    """The last rank of each contig, with groups larger than a task's share cut into ranges."""
-    whole = windows.SEGMENT_ROWS
-    windows.SEGMENT_ROWS = 50
-    try:
-        r = ranked(spark, d)
-    finally:
-        windows.SEGMENT_ROWS = whole
-    return r.groupBy("contig_id").agg(F.max("gene_index").alias("last"))
+@query("split_ranks", "SELECT event_id AS protein_id, (row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1)::INTEGER AS gene_index FROM events")
+def split_ranks(spark, d):
+    """Ranks where every contig is larger than a task's share, and so is cut into ranges."""
+    return windows.rank_in_group(R.genes(spark, d), "contig_id", ["t_us", "protein_id"], most=10).select("protein_id", "gene_index")
