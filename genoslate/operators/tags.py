@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .shared import written
 
 
 def no_tags() -> Column:
@@ -84,7 +85,9 @@ def annotation_tags(
     """
     low = lambda t: t.withColumn("source", F.lower("source"))
     rows = low(annotations)
-    d = pattern_tags(exact_tags(descriptors(rows), low(exact)), low(patterns))
+    # written: every kind of rule asks it, and it is much smaller than the annotations
+    d = written(descriptors(rows), "descriptors")
+    d = pattern_tags(exact_tags(d, low(exact)), low(patterns))
     nothing = F.lit(None).cast("array<string>")
     d = d.withColumn("ec", nothing) if ec_rules is None else ec_tags(d, ec_rules)
     d = d.withColumn("category", nothing) if categories is None else category_tags(d, low(categories))
@@ -177,15 +180,13 @@ def generate_tags(
 ) -> DataFrame:
     """(protein_id, tags) of every protein (K5; K31 on a filtered input): annotation, property, status and topology tags,
     then conflicts, then ancestors, sorted. Conflicts come before ancestors, so a child that stays brings its parents back."""
-    # what rules see and whether a hit is sure or weak, once a protein: fewer rows are tagged, and fewer tags shuffled
-    trust = F.when(F.col("evalue") < 1e-10, 0.0).when(F.col("evalue") > 1e-5, 1.0).when(F.col("evalue").isNotNull(), 1e-7)
-    once = annotations.select("protein_id", "source", "accession", "name", "description", trust.alias("evalue")).distinct()
-    per = annotation_tags(once, exact, patterns, ec_rules, **options).select("protein_id", "tags")
+    known = annotations.join(proteins.select("protein_id"), "protein_id", "left_semi").select("protein_id", "source", "accession", "name", "description", "evalue")
+    per = annotation_tags(known, exact, patterns, ec_rules, **options).select("protein_id", "tags")
     parts = per.unionByName(property_tags(proteins)).unionByName(status_tags(proteins, annotations))
     if topology is not None:
-        parts = parts.unionByName(topology_tags(topology).select("protein_id", "tags"))
-    known = parts.join(proteins.select("protein_id"), "protein_id", "left_semi")
-    tags = known.select("protein_id", F.explode_outer("tags").alias("t")).groupBy("protein_id").agg(F.array_sort(F.collect_set("t")).alias("tags"))
+        parts = parts.unionByName(topology_tags(topology).select("protein_id", "tags").join(proteins.select("protein_id"), "protein_id", "left_semi"))
+    # annotations of one descriptor have equal arrays, which partial aggregates hold once before they are shuffled
+    tags = parts.groupBy("protein_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"))
     if conflict:
         tags = drop_conflicts(tags, annotations, **conflict)
     return expand_hierarchy(tags, hierarchy_closure(vocabulary))
