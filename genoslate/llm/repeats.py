@@ -25,6 +25,8 @@ from . import common
 
 #: Windows of a piece: a longer document is cut into overlapping ones.
 PIECE = common.PIECE
+#: Rows that a task remembers.
+REMEMBERED = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -141,13 +143,18 @@ def contexts(docs: DataFrame, kinds: DataFrame, cut: Callable[[bytes, list[dict]
     fields = ("trigger", "phrase", "copies", "first", "lo", "n", "off", "group")
     wanted = kinds.groupBy("key", "ord").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     keyed = docs.select(common.row_key(text, doc).alias("key"), order_of(doc).alias("ord"), F.col(text).alias("text"))
-    # of equal rows one is enough to cut from; more would only repeat the same phrases, which the groups allow for
     joined = keyed.join(wanted.hint("shuffle_hash"), ["key", "ord"])
     names = [x.split()[0] for x in extra.split(", ")]
+    seen: set[int] = set()
 
     def run(texts: list[bytes], part: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in (*fields, *names)}
-        for raw, rows in zip(texts, part.column(0).to_pylist(), strict=True):
+        for raw, rows, key in zip(texts, part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            if key in seen:  # of equal rows, which meet in one task, one is enough to cut from; what is left over, the groups allow for
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(key)
             for k in fields:
                 out[k] += [r[k] for r in rows]
             for made in cut(raw, rows):
@@ -156,7 +163,7 @@ def contexts(docs: DataFrame, kinds: DataFrame, cut: Callable[[bytes, list[dict]
         return out
 
     schema = f"trigger long, phrase long, copies long, first long, n int, group long, {extra}"
-    return common.reduce_text(joined, schema, run, "text", ["wanted"])
+    return common.reduce_text(joined, schema, run, "text", ["wanted", "key"])
 
 
 def dealt(bodies: DataFrame, total: int, task_bytes: int) -> DataFrame:
