@@ -45,6 +45,8 @@ NODE = 4096
 BLOCK_SHINGLES = 1 << 20
 TASK_ROWS = 200_000
 TASK_SHINGLES = 4 << 20
+#: Rows of a large group that each of its chunks is compared with.
+PIVOTS = 4
 #: A node goes on branching while it has at most this share of its parent's documents.
 SHRINK = 0.7
 
@@ -224,47 +226,62 @@ def alike(node: np.ndarray, sketch: np.ndarray, least: int, main: np.ndarray | N
 def _links(rows: DataFrame, capacity: int, task: int, compare: Callable, label: str) -> DataFrame:
     """(a, b): links that connect what all pairs of rows of one group connect. ``rows``: g, v, w (weight), total (of the group), payload.
 
-    A group that fits ``capacity`` is one block. A larger one is cut into chunks, each compared by itself and with a few rows of the whole
-    group. What that leaves outside the group's main component is then compared with every chunk; rows of the main one are
-    connected already, and aren't compared with each other. ``compare(block, v, payload, main)`` gives positions of links, all
-    blocks of a task at once.
+    A group that fits ``capacity`` is one block. A larger one is cut into chunks, each compared by itself together with a few rows of the
+    group, its pivots. The rows that their chunks connect with the same pivot, the best one, are the group's main part; what is left
+    outside is then compared with every chunk. ``compare(block, payload, main)`` gives positions of links, all blocks of a
+    task at once; rows of a block that are in ``main`` are known to be connected.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "v"], kind="stable").drop_duplicates(["block", "v"])
-        v = pdf["v"].to_numpy(np.int64)
-        a, b = compare(pdf["block"].to_numpy(np.int64), pdf["payload"].tolist(), pdf["main"].to_numpy(bool))
+        pdf = pdf.sort_values(["block", "v", "pivot"], ascending=[True, True, False], kind="stable").drop_duplicates(["block", "v"])
+        v, block, pivot = (pdf[c].to_numpy(np.int64) for c in ("v", "block", "pivot"))
+        a, b = compare(block, pdf["payload"].tolist(), pdf["main"].to_numpy(bool))
         pairs = np.unique(np.stack([np.minimum(v[a], v[b]), np.maximum(v[a], v[b])], axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        # which pivots each row of a chunk is connected with
+        root, own = _joined(len(v), a, b), np.unique(block, return_inverse=True)[1] if len(v) else block
+        mask = np.zeros(len(v), np.int64)
+        for i in range(PIVOTS):
+            at = np.flatnonzero(pivot == i)
+            if len(at):
+                of = np.full(int(own.max()) + 1, -1, np.int64)
+                of[own[at]] = root[at]
+                mask |= (root == of[own]).astype(np.int64) << i
+        marked = np.flatnonzero(np.isin(own, own[pivot >= 0]))
+        nothing = np.zeros(len(marked), np.int64)
+        return pd.DataFrame({"a": np.r_[pairs[:, 0], v[marked]], "b": np.r_[pairs[:, 1], nothing], "mask": np.r_[np.full(len(pairs), -1), mask[marked]]})
 
     def compared(dealt: DataFrame, amount: float) -> DataFrame:
         buckets = max(64, -(-int(amount or 0) // task))
-        some = dealt.select(F.pmod("block", F.lit(buckets)).alias("bucket"), "block", "v", "payload", "main")
-        return common.written(some.groupBy("bucket").applyInPandas(run, "a long, b long").distinct(), label)
+        some = dealt.select(F.pmod("block", F.lit(buckets)).alias("bucket"), "block", "v", "payload", "main", "pivot")
+        return common.written(some.groupBy("bucket").applyInPandas(run, "a long, b long, mask long"), label)
 
     n = F.when(F.col("total") > capacity, F.ceil(F.col("total") * 2 / capacity)).otherwise(1).cast("int")
     cut = rows.withColumn("n", n).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
     large = cut.filter("n > 1")
-    block = F.xxhash64("g", "chunk").alias("block")
-    first = cut.select(block, "v", "payload", F.lit(False).alias("main"))
+    block, no = F.xxhash64("g", "chunk").alias("block"), F.lit(False).alias("main")
+    first = cut.select(block, "v", "payload", no, F.lit(-1).alias("pivot"))
     weight = rows.agg(F.sum("w")).first()[0]
     if large.isEmpty():
-        return compared(first, weight)
+        return compared(first, weight).filter("mask < 0").select("a", "b").distinct()
     some = lambda i: F.min_by("v", F.xxhash64(F.lit(i), "v"))
-    pivots = large.groupBy("g").agg(F.array_distinct(F.array(F.min("v"), F.max("v"), some(1), some(2))).alias("p")).select("g", F.explode("p").alias("v"))
-    every = large.join(pivots, ["g", "v"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    links = compared(first.unionByName(every.select(block, "v", "payload", F.lit(False).alias("main"))), weight)
-    placed = large.join(components(links), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    sizes = placed.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
-    marked = placed.join(sizes, "g").withColumn("main", F.col("root") == F.col("most"))
+    pivots = large.groupBy("g").agg(F.array_distinct(F.array(F.min("v"), *[some(i) for i in range(1, PIVOTS)])).alias("p"))
+    every = large.join(pivots.select("g", F.posexplode("p").alias("pivot", "v")), ["g", "v"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    found = compared(first.unionByName(every.select(block, "v", "payload", no, "pivot")), weight)
+    marks = found.filter("mask >= 0").groupBy(F.col("a").alias("v")).agg(F.bit_or("mask").alias("mask"))
+    placed = large.join(marks, "v")
+    bit = lambda i: F.shiftright("mask", i).bitwiseAND(F.lit(1))
+    sums = F.array(*[F.sum(bit(i)) for i in range(PIVOTS)])
+    best = placed.groupBy("g").agg(sums.alias("s")).select("g", (F.array_position("s", F.array_max("s")) - 1).cast("int").alias("best"))
+    marked = placed.join(best, "g").withColumn("main", F.expr("shiftright(mask, best) & 1") == 1)
     marked = common.written(marked.select("g", "v", "w", "n", "chunk", "payload", "main"), f"{label}-marked")
     left = marked.filter(~F.col("main")).groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("w") * 2 / capacity)).cast("int").alias("r"))
     marked = marked.join(left, "g")
     outside = marked.filter(~F.col("main")).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "v"), F.col("r")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     whole = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("r") - 1)))
-    second = outside.select("g", "part", "chunk", "v", "payload", "main").unionByName(whole.select("g", "part", "chunk", "v", "payload", "main"))
+    cells = [F.xxhash64("g", "part", "chunk").alias("block"), "v", "payload", "main", F.lit(-1).alias("pivot")]
     amount = marked.agg(F.sum(F.col("w") * F.when(F.col("main"), F.col("r")).otherwise(F.col("r") + F.col("n")))).first()[0]
-    return links.unionByName(compared(second.withColumn("block", F.xxhash64("g", "part", "chunk")), amount))
+    rest = compared(outside.select(*cells).unionByName(whole.select(*cells)), amount)
+    return found.unionByName(rest).filter("mask < 0").select("a", "b").distinct()
 
 
 def _candidates(leaves: DataFrame, width: int, least: int, most: int) -> DataFrame:
