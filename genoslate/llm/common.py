@@ -18,7 +18,7 @@ __all__ = ["fresh", "map_text", "reduce_text", "row_key", "slices", "word_hashes
 #: A word, as Java and Python regular expressions spell it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a Python task holds at a time; a longer text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows that it holds at most: short texts have a cost of their own.
 SLICE_ROWS = 2048
 TEXT = "__text"

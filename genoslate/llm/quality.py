@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Bytes of texts whose features are made at once: some forty bytes of arrays each.
+SLICE = 1 << 20
 BUCKETS = 1024
 SHAPE = 9
 MAX_POSITIVES = 3000
@@ -90,7 +92,7 @@ def _sample(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> np.ndarray:
     def rows(texts: list[bytes]) -> list[pa.Array]:
         return [pa.array([r.tobytes() for r in features(texts)], pa.binary())]
 
-    table = common.map_text(chosen, "x binary", rows, text, keep=[doc]).toPandas()
+    table = common.map_text(chosen, "x binary", rows, text, keep=[doc], limit=SLICE).toPandas()
     table = table.assign(o=[bytes(x) for x in table["x"]]).sort_values([doc, "o"])
     return np.array([np.frombuffer(x, np.float32) for x in table["o"]]).reshape(-1, BUCKETS + SHAPE)
 
@@ -123,4 +125,4 @@ def score(docs: DataFrame, model: np.ndarray | None, text: str = "text", thresho
         z = np.full(len(texts), otherwise) if w is None else 1 / (1 + np.exp(-np.clip(features(texts) @ w[:-1] + w[-1], -30, 30)))
         return [pa.array(z, pa.float64()), pa.array((z >= threshold).astype(np.int32))]
 
-    return common.map_text(docs, "score double, predicted int", run, text)
+    return common.map_text(docs, "score double, predicted int", run, text, limit=SLICE)
