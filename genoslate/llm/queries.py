@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, matroska, mixing, near_dedup, pieces, quality, secret_scan, substring_dedup, suffix_dedup
+from . import embedding_dedup, line_dedup, matroska, merkle, mixing, near_dedup, pieces, quality, secret_scan, substring_dedup, suffix_dedup
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SOURCE_WEIGHTS = [3.0, 1.0, 2.0]
@@ -103,6 +103,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(*merkle.FIELDS)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = merkle.leaf_digest([F.translate("text", "\n", "") if f == "text" else F.col(f) for f in merkle.FIELDS])
+    tree = merkle.manifest(docs, carry={"tampered": F.when(changed, tampered)})
+    checked = merkle.verify(tree.withColumn("now", F.coalesce("tampered", "leaf")), "now")
+    return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def matroska_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can tell: what is read back from the media."""
     return op1_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -119,12 +128,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle": op11_merkle,
     "matroska_payload": matroska_payload,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}, '-')" for f in _FIELDS) + ")"
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)".replace("c -> ", "lambda c: ")
+
 ORACLES: dict[str, str] = {
+    "op11_merkle": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, {_LEAF} AS leaf, {_LEAF.replace("(text::", "(replace(text, chr(10), '')::").replace("|| text", "|| replace(text, chr(10), '')")} AS other, {_CRC} AS crc FROM documents),
+o AS (SELECT *, CASE WHEN crc % 2 = 0 THEN other ELSE leaf END AS now, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t(g, level, i, h, n) AS (SELECT g, 0, i, leaf, count(*) OVER (PARTITION BY g) FROM o UNION ALL SELECT g, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY g, level, i // 3, n),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, i, h, n) AS (SELECT 0, i, h, n FROM s UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3, n),
+p AS (SELECT o.r, t.level AS step, o.i // pow(3, t.level)::BIGINT AS own, t.i, t.h FROM o JOIN t ON t.g = o.g AND t.n > 1 AND t.i // 3 = o.i // pow(3, t.level + 1)::BIGINT
+ UNION ALL SELECT o.r, 100 + u.level, s.i // pow(3, u.level)::BIGINT, u.i, u.h FROM o JOIN s ON s.g = o.g JOIN u ON u.n > 1 AND u.i // 3 = s.i // pow(3, u.level + 1)::BIGINT),
+q AS (SELECT r, step, struct_pack(l := coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), ''), r := coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '')) AS x FROM p GROUP BY r, step),
+w AS (SELECT r, list(x ORDER BY step) AS xs FROM q GROUP BY r),
+f AS (SELECT o.doc_id, o.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(list_aggregate(list_transform(w.xs, lambda x: x.l || x.r), 'string_agg', ''), '')) AS proof_sha256,
+ (list_reduce([struct_pack(l := o.now, r := '')] || coalesce(w.xs, []), lambda a, x: struct_pack(l := sha256(x.l || a.l || x.r), r := ''))).l AS folded_root FROM o JOIN s ON s.g = o.g LEFT JOIN w ON w.r = o.r)
+SELECT *, folded_root = root AS verified FROM f""",
     "op2_substring_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
