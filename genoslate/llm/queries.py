@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, matroska, merkle, mixing, near_dedup, pieces, quality, secret_scan, substring_dedup, suffix_dedup
+from . import embedding_dedup, line_dedup, matroska, merkle, mixing, near_dedup, pieces, quality, secret_scan, substring_dedup, suffix_dedup, token_store
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SOURCE_WEIGHTS = [3.0, 1.0, 2.0]
 
@@ -112,6 +113,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, listed = token_store.store(_documents(spark, sf_dir).select("doc_id", "text"), WORD_TOKENIZER, end_id=2)
+    read = token_store.read_back(listed, folder)
+    return read.select(F.col("doc").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+
+
 def matroska_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can tell: what is read back from the media."""
     return op1_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -129,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle": op11_merkle,
+    "op13_token_store": op13_token_store,
     "matroska_payload": matroska_payload,
 }
 
