@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, matroska, merkle, mixing, near_dedup, pieces, quality, secret_scan, substring_dedup, suffix_dedup, token_store
+from . import embedding_dedup, lexical_search, line_dedup, matroska, merkle, mixing, near_dedup, pieces, quality, secret_scan, substring_dedup, suffix_dedup, token_store
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -113,6 +113,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, listed = token_store.store(_documents(spark, sf_dir).select("doc_id", "text"), WORD_TOKENIZER, end_id=2)
     read = token_store.read_back(listed, folder)
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle": op11_merkle,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_store": op13_token_store,
     "matroska_payload": matroska_payload,
 }
@@ -146,7 +152,19 @@ _FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 _LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}, '-')" for f in _FIELDS) + ")"
 _CRC = "xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)".replace("c -> ", "lambda c: ")
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+c AS (SELECT count(*) FILTER (WHERE len(t) > 0)::BIGINT AS nd, sum(len(t))::BIGINT AS nt FROM d),
+q AS (SELECT item_id, t, count(*) AS k FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY i, item_id, t),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, nd),
+s AS (SELECT q.item_id, d.doc_id, d.r, sum(q.k * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * len(d.t) * c.nd) // c.nt))))::BIGINT AS score
+ FROM q JOIN p USING (t) JOIN w USING (t) JOIN d ON d.r = p.r, c GROUP BY q.item_id, d.doc_id, d.r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
     "op11_merkle": rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, {_LEAF} AS leaf, {_LEAF.replace("(text::", "(replace(text, chr(10), '')::").replace("|| text", "|| replace(text, chr(10), '')")} AS other, {_CRC} AS crc FROM documents),
 o AS (SELECT *, CASE WHEN crc % 2 = 0 THEN other ELSE leaf END AS now, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
