@@ -129,7 +129,10 @@ class Segment:
     def __init__(self, group: Group, m: np.ndarray, row: np.ndarray, column: np.ndarray, tf: np.ndarray):
         self.group = group
         self.impact = np.zeros((len(m), len(group.terms)))
-        self.impact[row, column] = (1_000_000_000 * tf) // (1000 * tf + 8 * m[row])
+        value = ((1_000_000_000 * tf) // (1000 * tf + 8 * m[row])).astype(np.float64)
+        self.impact[row, column] = value
+        #: The same by documents, which come in order.
+        self.column, self.value, self.held = column, value, np.cumsum(np.bincount(row, minlength=len(m)))
         order = np.lexsort((row, column))
         #: Documents of each term, one list after another.
         self.docs = row[order]
@@ -153,8 +156,14 @@ class Segment:
 
     def summaries(self, blocks: list[np.ndarray]) -> np.ndarray:
         """The coordinatewise maximum of each block's impacts."""
-        sizes = np.array([len(b) for b in blocks])
-        return np.maximum.reduceat(self.impact[np.concatenate(blocks)], np.cumsum(sizes) - sizes, axis=0)
+        width = len(self.group.terms)
+        docs = np.concatenate(blocks)
+        n = self.held[docs] - np.where(docs > 0, self.held[docs - 1], 0)
+        at = np.repeat(self.held[docs] - np.cumsum(n), n) + np.arange(int(n.sum()))
+        block = np.repeat(np.repeat(np.arange(len(blocks)), [len(b) for b in blocks]), n)
+        most = np.zeros(len(blocks) * width)
+        np.maximum.at(most, block * width + self.column[at], self.value[at])
+        return most.reshape(len(blocks), width)
 
     def score(self, q: int, docs: np.ndarray) -> np.ndarray:
         columns, weight = self.group.asked[q]
@@ -307,53 +316,48 @@ def query_blocks(queries: DataFrame, item: str, text: str) -> Iterator[tuple[lis
             yield [r["item"] for r in own], [bytes(r["text"]) for r in own]
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", doc: str = "doc_id", item: str = "item_id", query_text: str = "text") -> DataFrame:
-    """(item, rank, doc, score): the ``k`` best documents of every query, of those that score above 0."""
-    spark = docs.sparkSession
-    kind = queries.select(F.col(item).alias("item")).schema["item"].dataType.simpleString()
-    out = []
+def _blocks(docs: DataFrame, queries: DataFrame, k: int, text: str, doc: str, item: str, query_text: str) -> Iterator[tuple[list, Queries, DataFrame]]:
+    """Ids of the queries of each block, the block with its bounds, and the documents as its terms see them."""
     for items, texts in query_blocks(queries, item, query_text):
         block = read_queries(texts)
         vectors = common.written(term_vectors(docs, block.number, text, doc), "term-vectors")
-        _known(block, vectors)
-        if block.n_terms:
-            first = _over_tasks(vectors, block, k, lambda s, bounds: [s.probe(q) for q in range(len(bounds))])
+        if _known(block, vectors).n_terms:
+            probed = _over_tasks(vectors, block, k, lambda s, bounds: [s.probe(q) for q in range(len(bounds))])
             block.bound = np.ones(len(texts))
-            for r in first.filter(F.col("rank") == k).toLocalIterator():  # one row per query
+            for r in probed.filter(F.col("rank") == k).toLocalIterator():  # one row per query of the block
                 block.bound[r["q"]] = r["score"]
-            ranked = _over_tasks(vectors, block, k, lambda s, bounds: s.reached(bounds)[0])
-            names = spark.createDataFrame(list(enumerate(items)), f"q int, item {kind}")
-            out.append(common.written(ranked.join(F.broadcast(names), "q").select("item", "rank", "doc", "score"), "ranked"))
+            yield items, block, vectors
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", doc: str = "doc_id", item: str = "item_id", query_text: str = "text") -> DataFrame:
+    """(item, rank, doc, score): the ``k`` best documents of every query, of those that score above 0."""
+    spark = docs.sparkSession
+    kind = queries.select(F.col(item).alias("item")).schema["item"].dataType.simpleString()
     found = spark.createDataFrame([], f"item {kind}, rank int, doc long, score long")
-    for part in out:
-        found = found.unionByName(part)
+    for items, block, vectors in _blocks(docs, queries, k, text, doc, item, query_text):
+        ranked = _over_tasks(vectors, block, k, lambda s, bounds: s.reached(bounds)[0])
+        names = spark.createDataFrame(list(enumerate(items)), f"q int, item {kind}")
+        found = found.unionByName(common.written(ranked.join(F.broadcast(names), "q").select("item", "rank", "doc", "score"), "ranked"))
     return found
 
 
-def skipped_share(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", doc: str = "doc_id", item: str = "item_id", query_text: str = "text") -> DataFrame:
-    """(lists, postings, compared, skipped, scored): how much of the index a search looks at, summed over blocks of queries."""
-    spark = docs.sparkSession
-    total = spark.createDataFrame([], "postings long, compared long, skipped long, scored long")
-    for _, texts in query_blocks(queries, item, query_text):
-        block = read_queries(texts)
-        vectors = common.written(term_vectors(docs, block.number, text, doc), "term-vectors")
-        _known(block, vectors)
-        if not block.n_terms:
-            continue
-        first = _over_tasks(vectors, block, k, lambda s, bounds: [s.probe(q) for q in range(len(bounds))])
-        block.bound = np.ones(len(texts))
-        for r in first.filter(F.col("rank") == k).toLocalIterator():
-            block.bound[r["q"]] = r["score"]
-        held = spark.sparkContext.broadcast(block)
+def looked_at(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", doc: str = "doc_id", item: str = "item_id", query_text: str = "text") -> DataFrame:
+    """(postings, compared, skipped, scored): entries of the lists that all queries ask for, blocks compared with a bound, blocks skipped, documents scored."""
+    names = ["postings", "compared", "skipped", "scored"]
+    kind = ", ".join(f"{n} long" for n in names)
+    total = docs.sparkSession.createDataFrame([], kind)
+    for _, block, vectors in _blocks(docs, queries, k, text, doc, item, query_text):
+        held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             own = held.value
             for _, _, segments in _segments(batches, own):
                 for s in segments:
-                    docs_of, compared, skipped = s.reached(own.bound[s.group.first : s.group.first + len(s.group.asked)])
-                    lists = sum(int((s.ends[c] - np.where(c > 0, s.ends[c - 1], 0)).sum()) for c, _ in s.group.asked)
-                    row = (lists, compared, skipped, sum(map(len, docs_of)))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in row], names=total.columns)
-
-        total = total.unionByName(vectors.mapInArrow(run, total.schema))
-    return total.agg(*[F.sum(c).alias(c) for c in total.columns])
+                    first = s.group.first
+                    picked, compared, skipped = s.reached(own.bound[first : first + len(s.group.asked)])
+                    size = np.diff(s.ends, prepend=0)
+                    row = (sum(int(size[c].sum()) for c, _ in s.group.asked), compared, skipped, sum(map(len, picked)))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in row], names=names)
+
+        total = total.unionByName(vectors.mapInArrow(run, kind))
+    return total.agg(*[F.sum(c).alias(c) for c in names])
