@@ -45,6 +45,8 @@ HEAD = len(MAGIC) + 4 + 32
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2048, 4096, 64 << 10
 #: Bytes of frames in a file; of frames that a reader holds at a time; chunks that a worker remembers, and their characters.
 FILE_BYTES = 64 << 20
+#: Bytes of texts that are encoded at once: the more, the fewer of their chunks are distinct.
+SLICE = 4 << 20
 READ_BYTES = 4 << 20
 MEMO, MEMO_CHARS = 1 << 19, 8 << 20
 LEVEL = 3
@@ -113,12 +115,16 @@ class Encoder:
         """Ids of chunks: a plain word between marks goes to the library's model at once, any other through all of the library."""
         letters, model = _byte_letters(self.path), tokenizer(self.path).model
         out: list[bytes | None] = [None] * len(words)
-        for i, w in enumerate(words):
-            if letters and (m := PLAIN.fullmatch(w)) and "<|" not in w:
-                before, word, after = m.groups()
-                word = word.lower()
-                shown = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-                out[i] = self._mark(before) + array("I", [x.id for x in model.tokenize(shown)]).tobytes() + self._mark(after)
+        for i, w in enumerate(words if letters else ()):
+            before = after = ""
+            if not (w.isascii() and w.isalpha()):
+                if not (m := PLAIN.fullmatch(w)) or "<|" in w:
+                    continue
+                before, w, after = m.groups()
+            w = w.lower()
+            shown = w if w.isascii() else "".join([letters[b] for b in w.encode()])
+            own = array("I", [x.id for x in model.tokenize(shown)]).tobytes()
+            out[i] = self._mark(before) + own + self._mark(after) if before or after else own
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._whole([words[i] for i in rest]), strict=True):
             out[i] = x
@@ -209,7 +215,7 @@ def frames(docs: DataFrame, path: str, end_id: int, dictionary: bytes, text: str
         return [pa.array(n + 1), pa.array(rows, pa.binary())]
 
     keyed = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    return common.map_text(keyed, "n long, frame binary", run, "text", keep=["doc", "key"])
+    return common.map_text(keyed, "n long, frame binary", run, "text", keep=["doc", "key"], limit=SLICE)
 
 
 def file_system(uri: str):
