@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -139,26 +140,35 @@ def prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
+#: Bytes of a word up to which all words of a slice are hashed together; a longer one is hashed by itself.
+SHORT = 64
+_HELD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(texts: list[bytes], lower: bool = False) -> list[np.ndarray]:
-    """A 64-bit hash of each word (see WORD) of each whole text, A-Z lowered if asked for."""
-    table = _LOWER if lower else _BYTES
-    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    gap = _SPACE[raw]
+    """A 64-bit hash of each word (see WORD) of each whole text, A-Z lowered if asked for.
+
+    Short words take their bytes, eight at a time, into two states of 64 bits, each mixed by a bijection that isn't linear in any ring; long
+    ones take xxh3. Neither has the repetitive texts that agree under a polynomial.
+    """
+    joined = b" ".join([*texts, b""])
+    padded = (joined.lower() if lower else joined) + bytes(8)
+    gap = _SPACE[np.frombuffer(padded, np.uint8, len(joined))]
     edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1)))
     start, end = edge[::2], edge[1::2]
-    out = np.empty(len(start), np.uint64)
+    size = end - start
+    eight = np.ndarray(len(joined) + 1, "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    a, b = mix64(size.astype(np.uint64) + np.uint64(0x243F6A8885A308D3)), mix64(size.astype(np.uint64) + np.uint64(0x13198A2E03707344))
+    open_ = np.flatnonzero(size <= SHORT)
     at = 0
-    while at < len(start):  # words of one piece together; a longer word is a piece of its own
-        stop = max(at + 1, int(np.searchsorted(end, start[at] + PIECE, side="right")))
-        a, b = int(start[at]), int(end[stop - 1])
-        p, inverse = prefix_sums(table[raw[a:b]])
-        i, j = start[at:stop] - a, end[at:stop] - a
-        out[at:stop] = mix64(mix64((p[j] - p[i]) * inverse[i]) ^ (j - i).astype(np.uint64))
-        at = stop
+    while len(open_):
+        held = eight[start[open_] + at] & _HELD[np.minimum(size[open_] - at, 8)]
+        a[open_] = mix64((a[open_] ^ held) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0xA4093822299F31D0))
+        b[open_] = mix64((b[open_] + held) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0x082EFA98EC4E6C89))
+        at += 8
+        open_ = open_[size[open_] > at]
+    out = mix64(a + mix64(b))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded[start[i] : end[i]])
     ends = np.cumsum([len(t) + 1 for t in texts])
     return np.split(out, np.searchsorted(start, ends)[:-1]) if texts else []

@@ -6,8 +6,8 @@ run of windows that share one trigger: its tokens, the trigger's place in it and
 of a document overlap and hold every window exactly once, and a window occurs twice only in phrases whose triggers are
 equal. About 2 / (width - gram + 2) of all positions are triggers.
 
-Rows of the phrase table: key (of the row), ord (order of the document), trigger, phrase (64-bit fingerprints,
-together 128 bits), lo (first token), n (windows), off (trigger - lo), reps. Where a text repeats itself, equal phrases
+Rows of the phrase table: key (of the row), ord (order of the document), trigger, phrase (two xxh3 digests of 64 bits, of the
+trigger's tokens and of the whole phrase), lo (first token), n (windows), off (trigger - lo), reps. Where a text repeats itself, equal phrases
 follow each other at a distance of n; such a run is one row, with their number in reps.
 """
 
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -57,16 +58,18 @@ def phrases(x: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> dict[s
     first = np.flatnonzero(new)
     lo, count = at[first], np.diff(np.append(first, len(at)))
     t = trigger[first]
-    body = (p[lo + count - 1 + width] - p[lo]) * inverse[lo]
-    shape = ((t - lo) << 32 | count).astype(np.uint64)
+    shape = (t - lo) << 32 | count
     starts = ends - lengths
-    name = common.mix64(common.mix64(body) ^ shape * np.uint64(0xD6E8FEB86659FD93))
+    # the rolling hash only chooses triggers; names are hashes of all tokens
+    held = memoryview(np.ascontiguousarray(x)).cast("B")
+    named = lambda a, b, seeds: np.fromiter((xxhash.xxh3_64_intdigest(held[i:j], s) for i, j, s in zip((8 * a).tolist(), (8 * b).tolist(), seeds, strict=True)), np.uint64, len(a))
+    name, head_name = named(lo, lo + count - 1 + width, shape.tolist()), named(t, t + gram, [gram] * len(t))
     fresh = np.ones(len(lo), bool)
-    fresh[1:] = (name[1:] != name[:-1]) | (h[t][1:] != h[t][:-1]) | (lo[1:] - lo[:-1] != count[:-1]) | (seq[lo][1:] != seq[lo][:-1])
+    fresh[1:] = (name[1:] != name[:-1]) | (head_name[1:] != head_name[:-1]) | (lo[1:] - lo[:-1] != count[:-1]) | (seq[lo][1:] != seq[lo][:-1])
     head = np.flatnonzero(fresh)
     reps = np.diff(np.append(head, len(lo)))
-    lo, count, t, name = lo[head], count[head], t[head], name[head]
-    return {"seq": seq[lo], "lo": lo - starts[seq[lo]], "n": count, "off": t - lo, "reps": reps, "trigger": h[t], "phrase": name}
+    lo, count, t = lo[head], count[head], t[head]
+    return {"seq": seq[lo], "lo": lo - starts[seq[lo]], "n": count, "off": t - lo, "reps": reps, "trigger": head_name[head], "phrase": name[head]}
 
 
 def phrase_table(docs: DataFrame, tokens: Callable[[list[bytes]], list[np.ndarray]], width: int, gram: int, text: str, doc: str, limit: int) -> DataFrame:

@@ -101,10 +101,8 @@ def _grouped(docs: DataFrame, dictionary: DataFrame, width: int, gram: int, text
         starts = common.word_hashes([b" ".join(s[r["off"] : r["off"] + gram]) for s, r in zip(spans, rows, strict=True)])
         out = []
         for span, h in zip(spans, starts, strict=True):
-            names, name = [], 0
-            for w in h.tolist():
-                name = (name * common.BASE + w + 1) & common.M64
-                names.append((name ^ name >> 29) - (1 << 63))
+            held = h.tobytes()
+            names = [xxhash.xxh3_64_intdigest(held[: 8 * k]) - (1 << 63) for k in range(1, len(h) + 1)]
             out.append({"body": b" ".join(span), "prefixes": names})
         return out
 

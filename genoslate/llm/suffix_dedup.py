@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,6 @@ GROUP_BYTES = 1 << 20
 TASK_BYTES = 2 << 20
 
 _BYTES = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_OTHER = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _tokens(texts: list[bytes]) -> list[np.ndarray]:
@@ -56,12 +56,10 @@ def suffix_ranks(raw: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_names(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit name of the ``width`` bytes from each position on."""
-    names = []
-    for table in (_BYTES, _OTHER):
-        p, inverse = common.prefix_sums(table[raw])
-        names.append(common.mix64((p[at + width] - p[at]) * inverse[at]))
-    return names[0], names[1]
+    """A 128-bit digest of the ``width`` bytes from each position on."""
+    held = raw.tobytes()
+    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(held[i : i + width]) for i in at.tolist()), ">u8").reshape(-1, 2).astype(np.uint64)
+    return names[:, 0].copy(), names[:, 1].copy()
 
 
 def _leaves(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
