@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,17 +68,37 @@ def with_status(df: DataFrame, statuses: list[str] = ("proposed", "supported"),
 
 
 def keep(df: DataFrame, condition: Column | Callable) -> DataFrame:
-    """A set filter by a column, or by a function of a pandas frame that gives booleans."""
+    """A set filter by a column, or by a function of a pandas frame that gives booleans, row by row (B13, J3; see ``row_rule``)."""
     if isinstance(condition, Column):
         return df.filter(condition)
 
     def run(frames):
         for pdf in frames:
-            yield pdf[condition(pdf)]
+            yield pdf[row_rule(condition, pdf)]
 
     return df.mapInPandas(run, df.schema)
 
 
+#: Rows at either end of a batch that a function is asked about by themselves.
+ASKED_ALONE = 8
+
+
+def row_rule(rule: Callable, pdf: pd.DataFrame) -> pd.Series:
+    """What ``rule`` says of each row of a batch, null as false.
+
+    A rule tells of a row by that row alone. Batches are cut as Spark pleases, so a rule that looks at others (such as those above the mean) is refused:
+    it is asked about single rows and about halves of the batch too, and ValueError where it answers otherwise.
+    """
+    said = lambda part: pd.Series(rule(part), index=part.index).fillna(False).astype(bool) if len(part) else pd.Series([], dtype=bool)
+    pdf = pdf.reset_index(drop=True)
+    whole, half = said(pdf), len(pdf) // 2
+    ends = sorted({*range(min(ASKED_ALONE, len(pdf))), *range(max(0, len(pdf) - ASKED_ALONE), len(pdf))})
+    parts = [pdf.iloc[:half], pdf.iloc[half:], *[pdf.iloc[i : i + 1] for i in ends]]
+    if not all((said(p).to_numpy() == whole[p.index].to_numpy()).all() for p in parts):
+        raise ValueError("a rule has to tell of each row by itself; this one depends on the other rows of its batch")
+    return whole.to_numpy()
+
+
 def annotated(proteins: DataFrame, annotations: DataFrame, yes: bool = True, key: str = "protein_id") -> DataFrame:
     """Proteins with, or without, any of the annotations."""
     return proteins.join(annotations.select(key), key, "left_semi" if yes else "left_anti")

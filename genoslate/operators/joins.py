@@ -1,7 +1,7 @@
 """Neighbourhoods, interval overlaps and distance joins.
 
-Each range join has an equality key (the contig). ``binned_overlap`` adds coordinate bins, so long contigs spread over
-tasks; a pair is kept only in the bin where the later start lies, hence once, without a distinct.
+Each range join has an equality key (the contig) and coordinate or rank bins beside it, so long contigs spread over tasks; a pair is kept only in
+the bin where the later start lies, hence once, without a distinct.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from . import intervals
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -54,7 +55,8 @@ def region_bounds(hood: DataFrame, start: str = "start", end: str = "end_coord",
 def overlap_join(left: DataFrame, right: DataFrame, key: str, start: str, end: str, width: int | None = None, pad: int = 0, inclusive: bool = False) -> DataFrame:
     """Pairs of overlapping intervals of one key (C12; padded and inclusive: C13), columns prefixed l_ and r_.
 
-    ``width``: bin width, at least about the usual interval length; without one the key alone joins.
+    ``width``: width of the narrowest bins, at least about the usual interval length; without one the key alone joins. An interval of any
+    length is written a bounded number of times (see ``intervals``).
     """
     a, b = _prefixed(left, "l_"), _prefixed(right, "r_")
     ls, le = F.col(f"l_{start}"), F.col(f"l_{end}")
@@ -62,12 +64,7 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, start: str, end: s
     meets = ((ls <= re_) & (le >= rs)) if inclusive else X.overlaps(ls, le, rs, re_)
     if width is None:
         return a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & meets)
-    slack = 0 if inclusive else 1
-    spread = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.greatest(F.floor((e - slack) / width), F.floor(s / width))))
-    a = a.withColumn("__a", spread(ls, le))
-    b = b.withColumn("__b", spread(rs, re_))
-    later = F.floor(F.greatest(ls, rs) / width)
-    return a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("__a") == F.col("__b")) & meets & (F.col("__a") == later)).drop("__a", "__b")
+    return intervals.overlapping(a, b, (f"l_{key}", f"r_{key}"), (ls, le), (rs, re_), meets, width, 0 if inclusive else 1)
 
 
 def base_pair_window(rows: DataFrame, anchors: DataFrame, window: int, contig: str = "contig_id", start: str = "start", end: str = "end_coord", width: int | None = None) -> DataFrame:
@@ -76,11 +73,14 @@ def base_pair_window(rows: DataFrame, anchors: DataFrame, window: int, contig: s
     return j.filter((F.col(f"l_{start}") >= F.col(f"r_{start}") - window) & (F.col(f"l_{end}") <= F.col(f"r_{end}") + window))
 
 
-def circular_window(rows: DataFrame, anchors: DataFrame, window: int, length: Column, contig: str = "contig_id", start: str = "start", end: str = "end_coord", width: int | None = None) -> DataFrame:
-    """C10 on circles: rows are also tried one turn before and after (``length``: of the contig, over row columns)."""
+def circular_window(rows: DataFrame, anchors: DataFrame, window: int, length: Column, contig: str = "contig_id", start: str = "start", end: str = "end_coord", width: int | None = None, anchor_length: Column | None = None) -> DataFrame:
+    """C10 on circles: both sides begin within the first turn (H16), rows are also tried one turn before and after. ``length``: of the contig,
+    over row columns; ``anchor_length``: over anchor columns, where that differs."""
     shifted = rows.withColumn("__turn", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    shifted = shifted.withColumn("__start", F.col(start) + F.col("__turn") * length).withColumn("__end", F.col(end) + F.col("__turn") * length)
-    turned = anchors.withColumn("__turn", F.lit(0)).withColumn("__start", F.col(start)).withColumn("__end", F.col(end))
+    first = X.circular(F.col(start), length) + F.col("__turn") * length
+    shifted = shifted.withColumn("__start", first).withColumn("__end", first + F.col(end) - F.col(start))
+    turned = anchors.withColumn("__turn", F.lit(0)).withColumn("__start", X.circular(F.col(start), anchor_length or length))
+    turned = turned.withColumn("__end", F.col("__start") + F.col(end) - F.col(start))
     j = overlap_join(shifted, turned, contig, "__start", "__end", width or max(window * 2, 1), pad=window, inclusive=True)
     j = j.filter((F.col("l___start") >= F.col("r___start") - window) & (F.col("l___end") <= F.col("r___end") + window))
     return j.select(*[c for c in j.columns if "___" not in c])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .shared import written
 
@@ -121,7 +122,7 @@ def literals(pattern: str | None) -> list[str] | None:
     return lowered if all(len(x) >= GRAM for x in lowered) else None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _literals(patterns: pd.Series) -> pd.Series:
     return patterns.map(literals)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from . import hierarchy, matching
 from .shared import written
 
 
@@ -22,9 +23,17 @@ def no_tags() -> Column:
     return F.array().cast("array<string>")
 
 
+DESCRIBED = ["source", "accession", "name", "description"]
+
+
+def descriptor_key(*columns: Column) -> Column:
+    """A 128-bit key of a descriptor: nulls and texts never read alike."""
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns]))
+
+
 def descriptors(annotations: DataFrame) -> DataFrame:
     """The distinct (source, accession, name, description): rules run on these alone (K5)."""
-    return annotations.select("source", "accession", "name", "description").distinct()
+    return annotations.select(*DESCRIBED).distinct()
 
 
 def exact_tags(d: DataFrame, rules: DataFrame, name: str = "exact") -> DataFrame:
@@ -33,30 +42,56 @@ def exact_tags(d: DataFrame, rules: DataFrame, name: str = "exact") -> DataFrame
 
 
 def _gathered(d: DataFrame, hits: DataFrame, name: str) -> DataFrame:
-    """``d`` with the sorted union of the tags (``__t``) that ``hits`` holds of each descriptor."""
-    keys = ["source", "accession", "name", "description"]
-    found = hits.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__t")))).alias(name))
-    f = found.select(*[F.col(k).alias(f"__{k}") for k in keys], name)
-    return d.join(f, [d[k].eqNullSafe(f[f"__{k}"]) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    """``d`` with the sorted union of the tags (``__t``) that ``hits`` holds of each descriptor (``__d``)."""
+    found = hits.groupBy("__d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("__t")))).alias(name))
+    return d.join(found, "__d", "left")
+
+
+def _keyed(d: DataFrame) -> DataFrame:
+    return d if "__d" in d.columns else d.withColumn("__d", descriptor_key(*[F.col(c).cast("string") for c in DESCRIBED]))
+
+
+def tried_patterns(d: DataFrame, rules: DataFrame) -> DataFrame:
+    """(__d, __n): pairs of descriptors and numbered rules (``__n``, source, pattern, field) that have to be tried; each pair has the literal of the
+    pattern, or a pattern without one (see ``matching``)."""
+    field = {"accession": F.col("accession"), "name": F.col("name"), "description": F.col("description"), None: F.concat_ws(" ", "name", "description")}
+    parts = []
+    # one posting list per field that rules look at: four at most
+    for name in sorted((r["__field"] for r in rules.select("__field").distinct().collect()), key=str):
+        own = rules.filter(F.col("__field").eqNullSafe(F.lit(name)))
+        text = d.select("source", "__d", field.get(name, field[None]).alias("__x"))
+        parts.append(matching.candidates(text, own.withColumnRenamed("__s", "source"), "source", "__x", "__d", "__p", "__n"))
+    out = parts[0] if parts else d.select("__d", F.lit(0).cast("long").alias("__n")).limit(0)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def pattern_tags(d: DataFrame, rules: DataFrame, name: str = "pattern") -> DataFrame:
-    """All tags of all patterns of the source that hit (K5a, K5b; K5e with ``field``, K5d with ``unless``)."""
+    """All tags of all patterns of the source that hit (K5a, K5b; K5e with ``field``, K5d with ``unless``).
+
+    A pattern is tried only on descriptors that hold a literal which it needs.
+    """
+    kept = [c for c in d.columns if c != "__d"]
+    d = _keyed(d)
     optional = lambda c: (F.col(c) if c in rules.columns else F.lit(None)).cast("string").alias(f"__{c}")
     r = rules.select(F.col("source").alias("__s"), F.col("pattern").alias("__p"), F.col("tags").alias("__t"), optional("field"), optional("unless"))
-    pairs = d.join(r, F.col("source") == F.col("__s"))
+    r = written(r.withColumn("__n", F.monotonically_increasing_id()), "pattern-rules")
+    pairs = tried_patterns(d, r).join(r.drop("__s"), "__n").join(d.select("__d", "accession", "name", "description"), "__d")
     field = F.col("__field")
     text = F.when(field == "accession", F.col("accession")).when(field == "name", F.col("name")).when(field == "description", F.col("description")).otherwise(F.concat_ws(" ", "name", "description"))
     found = lambda x, p: F.regexp_like(F.coalesce(x, F.lit("")), F.concat(F.lit("(?i)"), p))
     hits = pairs.filter(found(text, F.col("__p")) & (F.col("__unless").isNull() | ~found(F.col("description"), F.col("__unless"))))
-    return _gathered(d, hits, name)
+    return _gathered(d, hits.select("__d", "__t"), name).select(*kept, name)
 
 
 def category_tags(d: DataFrame, categories: DataFrame, name: str = "category") -> DataFrame:
     """Tags of all codes that the category holds; a name that begins with X is one (K5d)."""
     r = categories.select(F.col("source").alias("__s"), F.col("code").alias("__c"), F.col("tags").alias("__t"))
+    kept = [c for c in d.columns if c != "__d"]
+    d = _keyed(d)
     hits = d.join(r, (F.col("source") == F.col("__s")) & F.col("name").startswith("X") & F.contains(F.col("name"), F.col("__c")))
-    return _gathered(d, hits, name)
+    return _gathered(d, hits.select("__d", "__t"), name).select(*kept, name)
 
 
 def ec_tags(d: DataFrame, ec_rules: DataFrame, name: str = "ec") -> DataFrame:
@@ -96,11 +131,9 @@ def annotation_tags(
     named = F.col("source") if source_names is None else F.create_map(*[F.lit(x) for kv in source_names.items() for x in kv])[F.col("source")]
     own = F.array_compact(F.array(F.concat(named, F.lit(":"), F.col("accession")), F.concat(named, F.lit("_annotated"))))
     ruled = F.when(alone, F.col("exact")).otherwise(X.tag_set(F.col("exact"), F.col("pattern"), F.col("ec"), F.col("category")))
-    d = d.select("source", "accession", "name", "description", X.tag_set(ruled, quality, own).alias("__rule"))
-    keys = ["source", "accession", "name", "description"]
-    r = d.select(*[F.col(k).alias(f"__{k}") for k in keys], "__rule")
-    on = [F.lower(annotations["source"]).eqNullSafe(r["__source"]), *[annotations[k].eqNullSafe(r[f"__{k}"]) for k in keys[1:]]]
-    j = annotations.join(r, on, "left")
+    d = d.select(*DESCRIBED, X.tag_set(ruled, quality, own).alias("__rule"))
+    r = _keyed(d).select("__d", "__rule")
+    j = annotations.withColumn("__d", descriptor_key(F.lower("source"), *[F.col(c).cast("string") for c in DESCRIBED[1:]])).join(r, "__d", "left")
     trust = X.tags_where(confident_hit=F.col("evalue") < 1e-10, weak_hit=F.col("evalue") > 1e-5)
     return j.select(*annotations.columns, X.tag_set(F.col("__rule"), trust).alias("tags"))
 
@@ -146,16 +179,12 @@ def topology_tags(df: DataFrame, topology: str = "topology") -> DataFrame:
 
 
 def hierarchy_closure(vocabulary: DataFrame) -> DataFrame:
-    """(child, ancestor) of a vocabulary, without the entry itself (K29). A repeated id keeps its largest parent name;
-    a vocabulary is a forest, and Spark's limit on recursion stops one with a cycle."""
+    """(child, ancestor) of a vocabulary, without the entry itself (K29), in rounds that double the paths (see ``hierarchy``).
+
+    A repeated id keeps its largest parent name. Any depth is followed; a CycleError names entries that are their own ancestors.
+    """
     parents = vocabulary.filter(F.col("parent").isNotNull()).groupBy("predicate_id").agg(F.max("parent").alias("parent"))
-    return vocabulary.sparkSession.sql(
-        """WITH RECURSIVE up(child, ancestor) AS (
-             SELECT predicate_id, parent FROM {parents}
-             UNION ALL SELECT up.child, p.parent FROM up JOIN {parents} p ON p.predicate_id = up.ancestor
-           ) SELECT DISTINCT child, ancestor FROM up""",
-        parents=parents,
-    )
+    return hierarchy.ancestors(parents, "predicate_id", "parent").select("child", "ancestor")
 
 
 def expand_hierarchy(tags: DataFrame, closure: DataFrame, key: str = "protein_id") -> DataFrame:

@@ -62,8 +62,6 @@ UNION ALL SELECT 'brands', p_partkey FROM part WHERE p_brand = 'Brand#3' AND p_p
 def registry_rules(spark, d):
     """Every kind of registered predicate: SQL, column, function of a frame, restricted to a set."""
     p, a = _sized(spark, d)
-    p.createOrReplaceTempView("proteins")
-    a.createOrReplaceTempView("annotations")
     r = registry.Registry()
     registry.defaults(r)
     r.register(registry.Predicate("tiny", "size", column=filters.tiny(200)))
@@ -71,7 +69,7 @@ def registry_rules(spark, d):
     r.register(registry.Predicate("brands", "test", column=F.col("bin_id") == "Brand#3"))
     large = table(spark, d, "part").filter("p_size > 20").select(F.col("p_partkey").alias("protein_id"))
     names = [x.name for c in r.categories() for x in r.list(c) if x.name != "multi_domain"]
-    found = [r.ids(n, p, only=large if n == "brands" else None).select(F.lit(n).alias("predicate"), "protein_id") for n in names]
+    found = [r.ids(n, p, only=large if n == "brands" else None, tables={"proteins": p, "annotations": a}).select(F.lit(n).alias("predicate"), "protein_id") for n in names]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -483,7 +481,7 @@ def short_hashes(spark, d):
 @query("user_sql", "SELECT p_type, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1")
 def user_sql(spark, d):
     """SQL of the user's own with a parameter."""
-    return registry.sql(spark, "SELECT p_type, count(*) AS n FROM user_parts WHERE p_size > :least GROUP BY 1", {"user_parts": table(spark, d, "part")}, least=10)
+    return registry.sql(spark, "SELECT p_type, count(*) AS n FROM {user_parts} WHERE p_size > :least GROUP BY 1", {"user_parts": table(spark, d, "part")}, least=10)
 
 
 @query(

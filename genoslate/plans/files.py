@@ -386,7 +386,7 @@ def tag_store(spark, d):
     path = folder(spark, "tags")
     sinks.replace_tags(R.part_tags(spark, d).limit(1), path)
     sinks.replace_tags(R.part_tags(spark, d), path)
-    return spark.read.parquet(path).select("protein_id", F.array_join("tags", ",").alias("tags"), F.col("updated_at").isNotNull().alias("dated"))
+    return sinks.read_tags(spark, path).select("protein_id", F.array_join("tags", ",").alias("tags"), F.col("updated_at").isNotNull().alias("dated"))
 
 
 @query("typed_view", f"WITH {R.GENES_SQL} SELECT protein_id AS locus_id, start FROM g WHERE label = 'purchase'")

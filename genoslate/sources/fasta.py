@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..operators.shared import file_system
 
 _ENTRY = "\n>"
-#: Bytes of a file that is held as one value.
-MOST_HASHED = 256 << 20
+#: Bytes up to which a file is one value; bytes of a larger one that a task holds at a time.
+WHOLE = 32 << 20
+CHUNK = 4 << 20
 
 
 def read_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -115,14 +121,33 @@ def count_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_entries(spark, paths).groupBy("file").agg(F.count("*").alias("n_sequences"))
 
 
-def file_inventory(spark: SparkSession, root: str, pattern: str = "*.{fna,fa,fasta}") -> DataFrame:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, md5) of files, each read in chunks."""
+    for batch in batches:
+        sums = []
+        for path in batch.column(0).to_pylist():
+            fs, name = file_system(path)
+            digest = hashlib.md5(usedforsecurity=False)
+            with fs.open_input_stream(name, buffer_size=0) as f:
+                while chunk := f.read(CHUNK):
+                    digest.update(chunk)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string())], names=["path", "md5"])
+
+
+def file_inventory(spark: SparkSession, root: str, pattern: str = "*.{fna,fa,fasta}", whole: int = WHOLE) -> DataFrame:
     """(file, genome_id, length, md5) of matching files (A5); ids keep letters and digits, joined by single ``_``.
 
-    A checksum needs a file as one value: beyond MOST_HASHED bytes it is null.
+    Files up to ``whole`` bytes are hashed as values. A larger one is read by one task in chunks of CHUNK bytes, which carries the digest on; it has to
+    lie where Arrow can open it (local or mounted folders, HDFS, S3), and the query fails where it can't. Spark doesn't list empty files.
     """
-    all_files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    small, large = all_files.filter(F.col("length") <= MOST_HASHED), all_files.filter(F.col("length") > MOST_HASHED)
-    files = small.withColumn("md5", F.md5("content")).drop("content").unionByName(large.drop("content").withColumn("md5", F.lit(None).cast("string")))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    small = listed.filter(F.col("length") <= whole).select("path", "length", F.md5("content").alias("md5"))
+    # the content of large files is never a value: only their paths are read here
+    large = listed.filter(F.col("length") > whole).select("path", "length")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = large.select("path").repartition(parts, "path").mapInArrow(_digests, "path string, md5 string")
+    files = small.unionByName(large.join(sums, "path"))
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     ident = F.expr("trim(BOTH '_' FROM regexp_replace(n, '[^A-Za-z0-9]+', '_'))")
     return files.withColumn("n", name).select(F.col("path").alias("file"), ident.alias("genome_id"), "length", "md5")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def wrap(sequence, width: int = 80):
     """Line breaks every ``width`` letters (H4)."""
@@ -41,8 +43,13 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def replace_tags(tags: DataFrame, path: str) -> None:
-    """Replace-all write of the tag table with its time."""
-    tags.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
+    """Replace-all write of the tag table with its time (A26, H23), as a new version: whoever reads meanwhile sees the old table or the new one."""
+    versions.replace(tags.withColumn("updated_at", F.current_timestamp()), path)
+
+
+def read_tags(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the tag table."""
+    return versions.current(spark, path)
 
 
 def locus_view(spark: SparkSession, loci: DataFrame, locus_type: str, name: str) -> None:
@@ -50,6 +57,21 @@ def locus_view(spark: SparkSession, loci: DataFrame, locus_type: str, name: str)
     loci.filter(F.col("locus_type") == locus_type).createOrReplaceTempView(name)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
-    """``new`` rows, and old ones without a new row of their key (A29). The last new row of a key isn't defined: keys in ``new`` are unique."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+def upsert(old: DataFrame, new: DataFrame, key: str = "vec_id", order: list[str] | None = None) -> DataFrame:
+    """``new`` rows, and old ones without a new row of their key (A29). Of new rows with one key, the last by ``order`` counts, or by all other columns.
+
+    Null keys are one key. The result has the columns of ``old``; ``order`` may name others.
+    """
+    rest = [c for c in new.columns if c != key]
+    last = new.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest))).alias("__r")).select(key, "__r.*").select(*old.columns)
+    kept = old.join(new.select(F.col(key).alias("__key")).distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    return last.unionByName(kept)
+
+
+def upsert_table(new: DataFrame, path: str, key: str = "vec_id", order: list[str] | None = None) -> None:
+    """Upserts into a versioned table (A29): readers see the rows before or after, never between. A table that isn't there is made."""
+    try:
+        old = versions.current(new.sparkSession, path)
+    except ValueError:
+        old = new.limit(0)
+    versions.replace(upsert(old, new, key, order), path)

@@ -229,7 +229,7 @@ def test_nearest_with_nulls_and_no_queries(spark):
 
 def test_depths_of_a_long_chain_end_in_an_error(spark):
     nodes = spark.createDataFrame([(i,) for i in range(8)], "node int")
-    edges = spark.createDataFrame([(i + 1, i) for i in range(7)], "child int, parent int")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(7)] + [(i + 2, i) for i in range(6)], "child int, parent int")
     assert {r.node: r.depth for r in graph.depths(nodes, edges).collect()} == {i: i for i in range(8)}
     try:
         graph.depths(nodes, edges, most=3)

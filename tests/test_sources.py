@@ -101,7 +101,7 @@ def test_sinks(spark, genomes, tmp_path):
     sinks.write_tsv(spark.createDataFrame([(1, ["a", "b"])], "x int, t array<string>"), str(tmp_path / "t"))
     assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).first().t == "a,b"
     sinks.replace_tags(spark.createDataFrame([("p", ["a"])], "protein_id string, predicates array<string>"), str(tmp_path / "tags"))
-    assert "updated_at" in spark.read.parquet(str(tmp_path / "tags")).columns
+    assert "updated_at" in sinks.read_tags(spark, str(tmp_path / "tags")).columns
     sinks.locus_view(spark, genomes["loci"], "crispr_array", "arrays_view")
     assert spark.table("arrays_view").count() == 2
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "vec_id int, v string"), spark.createDataFrame([(2, "c")], "vec_id int, v string")
