@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.shared import shared_dir
+from ..operators.shared import file_system, shared_dir
 from . import common
 
 MAGIC = b"IDSZSTD1"
@@ -218,13 +218,6 @@ def frames(docs: DataFrame, path: str, end_id: int, dictionary: bytes, text: str
     return common.map_text(keyed, "n long, frame binary", run, "text", keep=["doc", "key"], limit=SLICE)
 
 
-def file_system(uri: str):
-    """The file system of a path and the path in it, as Arrow sees them: local files, HDFS, S3 and others."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 MANIFEST = "part int, seq int, file string, first_doc long, docs long, tokens long, bytes long"
 
 
