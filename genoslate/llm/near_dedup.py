@@ -98,12 +98,11 @@ def signatures(docs: DataFrame, size: int, trees: int, depth: int, text: str) ->
 
 
 def _paths(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(v, n, sketch, p1..pd): the nodes of each class in each tree, level by level."""
+    """(v, p1..pd): the nodes of each class in each tree, level by level."""
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, trees * depth)
-            sketch = [r.tobytes() for r in sig.astype(np.uint16)]
             at = np.repeat(np.arange(len(sig)), trees)
             node = np.tile(np.arange(1, trees + 1, dtype=np.uint64), len(sig))
             levels = []
@@ -111,27 +110,42 @@ def _paths(classes: DataFrame, trees: int, depth: int) -> DataFrame:
                 node = common.mix64(node * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, d::depth].reshape(-1))
                 levels.append(node.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(sketch, pa.binary()).take(pa.array(at)), *map(pa.array, levels)],
-                names=["v", "sketch", *[f"p{d + 1}" for d in range(depth)]],
+                [batch.column(0).take(pa.array(at)), *map(pa.array, levels)],
+                names=["v", *[f"p{d + 1}" for d in range(depth)]],
             )
 
-    schema = "v long, sketch binary, " + ", ".join(f"p{d + 1} long" for d in range(depth))
+    schema = "v long, " + ", ".join(f"p{d + 1} long" for d in range(depth))
     return classes.select("v", "n", "sig").mapInArrow(run, schema)
 
 
-def _leaves(paths: DataFrame, depth: int, leaf: int, width: int, most: int) -> DataFrame:
-    """(node, v, sketch, m): each class at its leaf in each tree; nodes with one document are left out."""
+def _sketches(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(v, sketch): two bytes of each minwise token of a class."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, trees * depth)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sig.astype(np.uint16)], pa.binary())], names=["v", "sketch"])
+
+    return classes.select("v", "sig").mapInArrow(run, "v long, sketch binary")
+
+
+def _leaves(paths: DataFrame, sketches: DataFrame, depth: int, leaf: int, width: int, most: int) -> DataFrame:
+    """(node, v, sketch, m): each class at its leaf in each tree; nodes with one document are left out.
+
+    Sketches join once the rows of nodes with one document are gone, which are most.
+    """
     out = None
     rest = paths.withColumn("node", F.col("p1"))
     for d in range(1, depth + 1):
         sizes = rest.groupBy(F.col(f"p{d}").alias("node")).agg(F.count("*").alias("m")).filter("m > 1")
         here = rest.drop("node").withColumn("node", F.col(f"p{d}")).join(sizes, "node")
-        small = here.filter(F.col("m") <= (leaf if d < depth else most)).select("node", "v", "sketch", "m")
+        small = here.filter(F.col("m") <= (leaf if d < depth else most)).select("node", "v", "m")
         out = small if out is None else out.unionByName(small)
         rest = common.written(here.filter(F.col("m") > (leaf if d < depth else most)).drop("node"), f"branch-{d}")
         if d < depth:
             rest = rest.drop("m").withColumn("node", F.col(f"p{d + 1}"))
-    rest = rest.select(F.col(f"p{depth}").alias("node"), "v", "sketch", "m")
+    out = out.join(sketches, "v").select("node", "v", "sketch", "m")
+    rest = rest.select(F.col(f"p{depth}").alias("node"), "v", "m").join(sketches, "v").select("node", "v", "sketch", "m")
     level = depth
     while not rest.isEmpty():  # each level has SHRINK of the documents a node at most
         level += 1
@@ -347,7 +361,7 @@ def near_duplicates(
     sets = common.written(signatures(own, shingle, trees, depth, "text"), "sets")
     classes = sets.filter("n > 0").groupBy("n", "fa", "fb").agg(F.min(F.struct("v", "key", "sig")).alias("r"))
     classes = common.written(classes.select("n", "fa", "fb", "r.*"), "set-classes")
-    leaves = _leaves(_paths(classes, trees, depth), depth, leaf, width, node)
+    leaves = _leaves(_paths(classes, trees, depth), _sketches(classes, trees, depth), depth, leaf, width, node)
     hubs = components(_candidates(leaves, width, least, node)).select("v", F.col("root").alias("hub"))
     hubs = hubs.unionByName(hubs.select(F.col("hub").alias("v"), "hub")).distinct()
     hubs = common.written(hubs.join(classes.select("v", "n", "key"), "v").dropDuplicates(["v"]), "hubs")

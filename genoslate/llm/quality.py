@@ -10,7 +10,8 @@ The fit uses a bounded sample (``max_positives``, ``max_unlabelled``, chosen by
 whole text. Labels, language, source and id are no features.
 
 Defined cases: a null or empty text gets the score of an all-zero feature row; equal texts get equal scores; an
-empty table gives an empty table; without any positive label the score is the prior for all.
+empty table gives an empty table; without any positive label the score is 0.5 for all; of several labels of one id the largest counts; other
+columns are not read in training, and in scoring come back as they are, but for ``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rat
 
 def _sample(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> np.ndarray:
     """Feature rows of the documents in the bounded table ``ids``."""
-    chosen = docs.join(F.broadcast(ids), F.col(doc) == F.col("__id"), "left_semi")
+    chosen = docs.select(doc, text).join(F.broadcast(ids), F.col(doc) == F.col("__id"), "left_semi")
 
     def rows(texts: list[bytes]) -> list[pa.Array]:
         return [pa.array([r.tobytes() for r in features(texts)], pa.binary())]
