@@ -7,6 +7,8 @@ runs and alignment, escapes by their runs, UTF-8 by the characters of several by
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,20 +46,28 @@ class Base64:
 
 
 class Pieces:
-    """Units that come in runs: of ``out`` on, a run is either literal, one unit from each of ``at`` on, or all of it comes from one range."""
-
-    def __init__(self, out: list[int], at: list[int], size: list[int], literal: list[bool]):
-        self.out, self.at, self.size, self.literal = np.array(out, np.int64), np.array(at, np.int64), np.array(size, np.int64), np.array(literal, bool)
-
-    def _run(self, unit: int) -> tuple[int, int, int, bool]:
-        k = int(np.searchsorted(self.out, unit, side="right")) - 1
-        return unit - int(self.out[k]), int(self.at[k]), int(self.size[k]), bool(self.literal[k])
+    """Units that come in runs: from ``out`` on, each unit comes from ``step`` units, one after another from ``at`` on, or, where ``step`` is 0, all come
+    from the ``size`` units there."""
+
+    def __init__(self) -> None:
+        self.out, self.at, self.step, self.size = (array("q") for _ in range(4))
+        self.units = 0
+
+    def add(self, at: int, units: int, step: int, size: int) -> None:
+        if not (step and self.out and self.step[-1] == step and self.at[-1] + (self.units - self.out[-1]) * step == at):
+            for held, value in ((self.out, self.units), (self.at, at), (self.step, step), (self.size, size)):
+                held.append(value)
+        self.units += units
+
+    def _unit(self, unit: int) -> Range:
+        k = bisect_right(self.out, unit) - 1
+        if not self.step[k]:
+            return self.at[k], self.at[k] + self.size[k]
+        start = self.at[k] + (unit - self.out[k]) * self.step[k]
+        return start, start + self.step[k]
 
     def span(self, a: int, b: int) -> Range:
-        past, at, _, literal = self._run(a)
-        start = at + past if literal else at
-        past, at, size, literal = self._run(b - 1)
-        return start, at + past + 1 if literal else at + size
+        return self._unit(a)[0], self._unit(b - 1)[1]
 
 
 class Decoded:

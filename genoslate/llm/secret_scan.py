@@ -6,10 +6,11 @@ Bytes in which gzip, zlib, bzip2 or xz data begin, whatever the encoding they ca
 to any depth; bytes that aren't UTF-8 are scanned too, as they are. Base64 is read at all four alignments, as paths or names
 may stand before it, line by line as well as joined over line breaks. A layer is left out only if its text came from the same
 characters before, so equal pieces are found at each place and cycles end; what an equal text holds is worked out once.
-Each character of a layer knows the range of the original text it came from, and so do the secrets found.
+Any range of a layer can be traced to the original text (see ``origins``), and so are the secrets found.
 
-Decompressed layers are held to ``max_layer_chars``; a longer one is reported by a span of kind ``oversize`` over its
-whole piece instead of being scanned in part. Streams that break off or are broken are scanned as far as they go and reported
+Layers are scanned one at a time, so that memory follows the longest text and its layers, not their number. A decompressed layer longer than
+``max_layer_chars`` bytes is read as a stream, in windows of that length which overlap by an eighth, and is also reported by a span of kind
+``oversize`` over its piece: only what is longer than the overlap may be found in parts. Streams that break off or are broken are scanned as far as they go and reported
 by a span of kind ``truncated`` or ``damaged``. A secret of text that is wrapped over lines may be found both joined and as
 far as its line goes.
 
@@ -27,12 +28,11 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, origins
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -61,10 +61,13 @@ HINTS = (r"(?i:password|passwd|secret|token|api_?key)", r"AKIA[A-Z0-9]{16}", r"[
 MAX_LAYER_CHARS = 64 << 20
 SPANS = "spans array<struct<kind: string, start: int, `end`: int, via: string>>"
 
+#: Characters up to which what a layer holds is remembered; bytes that a decompressor gives at once.
+REMEMBERED = 4096
+GIVEN = 1 << 20
+EVERY = (True,) * 5
+
 Range = tuple[int, int]
-#: Start and end of what each character or byte came from.
-Ranges = tuple[np.ndarray, np.ndarray]
-Layer = tuple[str | None, Ranges, str]
+Layer = tuple[str | None, object, str]
 
 
 def base_spans(text: str, hints: tuple[bool, bool, bool] = (True, True, True)) -> list[tuple[str, int, int]]:
@@ -79,64 +82,47 @@ def base_spans(text: str, hints: tuple[bool, bool, bool] = (True, True, True)) -
     return out
 
 
-def _widths(text: str) -> np.ndarray:
-    """UTF-8 bytes of each character; one for a byte that ``surrogateescape`` stands for."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where((c >= 0xDC80) & (c < 0xDD00), 1, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-
-
-def _const(start: int, end: int, n: int) -> Ranges:
-    return np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(end), n)
+def _digest(text: str | bytes) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text, digest_size=16).digest()
 
 
-def _within(where: Ranges | None, inner: Ranges) -> Ranges:
-    """Ranges in the original text for ``inner`` ones in a layer whose characters came from ``where``."""
-    if where is None or not len(inner[0]):
-        return inner
-    (s, e), (a, b) = where, inner
-    if not (s.strides[0] and a.strides[0]):  # one range for all
-        return _const(s[a[0]], e[b[-1] - 1], len(a))
-    return s[a], e[b - 1]
-
-
-def _place(text: str, where: Ranges) -> tuple:
+def _place(text: str, where) -> tuple:
     """What tells a layer at its place from all others."""
-    s, e = where
-    return (text, int(s[0]), int(e[0])) if s.strides[0] == 0 else (text, hashlib.blake2b(s.tobytes() + e.tobytes()).digest())
+    return _digest(text), len(text), *where.span(0, 1), *where.span(len(text) - 1, len(text))
 
 
-def _to_text(raw: bytes, where: Ranges) -> tuple[str, Ranges]:
-    """``raw`` as text and the range of each character; bytes that aren't UTF-8 are kept as surrogates."""
+def _to_text(raw: bytes, where) -> tuple:
+    """``raw`` as text and its origin; bytes that aren't UTF-8 are kept as surrogates."""
     text = raw.decode("utf-8", "surrogateescape")
-    if len(text) == len(raw):
-        return text, where
-    n = _widths(text)
-    last = np.cumsum(n)
-    return text, (where[0][last - n], where[1][last - 1])
+    return text, where if len(text) == len(raw) else origins.within(where, origins.Decoded(text))
 
 
-def _unescape(piece: str, at: int, pattern: re.Pattern, value) -> tuple[bytes, Ranges]:
-    """The bytes that ``piece`` stands for, and the range of each in the layer; ``value``: bytes for a match."""
-    out, starts, ends, last = bytearray(), [], [], 0
+def _unescape(piece: str, at: int, pattern: re.Pattern, value) -> tuple:
+    """The bytes that ``piece`` stands for, and their origin in the layer; ``value``: bytes for a match."""
+    out, held, last = bytearray(), origins.Pieces(), 0
 
     def literal(a: int, b: int) -> None:
-        if a < b:
-            part = piece[a:b]
-            out.extend(part.encode("utf-8", "surrogateescape"))
-            i = np.repeat(np.arange(at + a, at + b), _widths(part))
-            starts.append(i)
-            ends.append(i + 1)
+        part = piece[a:b]
+        out.extend(part.encode("utf-8", "surrogateescape"))
+        if part.isascii():
+            held.add(at + a, b - a, 1, 1)
+        else:
+            for i, c in enumerate(part, at + a):
+                n = len(c.encode("utf-8", "surrogateescape"))
+                held.add(i, n, int(n == 1), 1)
 
     for m in pattern.finditer(piece):
         if (got := value(m)) is None:
             continue
-        literal(last, m.start())
+        if last < m.start():
+            literal(last, m.start())
         out.extend(got)
-        starts.append(np.full(len(got), at + m.start(), np.int64))
-        ends.append(np.full(len(got), at + m.end(), np.int64))
+        size = m.end() - m.start()
+        held.add(at + m.start(), len(got), size if len(got) == 1 else 0, size)
         last = m.end()
-    literal(last, len(piece))
-    return bytes(out), (np.concatenate(starts), np.concatenate(ends))
+    if last < len(piece):
+        literal(last, len(piece))
+    return bytes(out), held
 
 
 def _percent(m: re.Match) -> bytes:
@@ -177,38 +163,50 @@ def _reader(raw: bytes, at: int):
     return None
 
 
-def _member(raw: bytes, at: int, make, limit: int) -> tuple[bytes, int, str]:
-    """What one stream holds, as far as it can be read; where it ends; '', 'truncated' or 'damaged'. Raises OverflowError beyond ``limit``."""
+def _stream(raw: bytes, at: int, make):
+    """What one stream holds, piece by piece, as far as it can be read; returns where it ends, and '', 'truncated' or 'damaged'."""
 
-    def read(steps) -> tuple[bytes, int, str, int]:
-        d, out, size = make(), [], 0
+    def read(steps, skip: int):
+        d = make()
         for a, b in steps:
             data = raw[a:b]
             while True:
                 try:
-                    got = d.decompress(data, limit + 1 - size)
+                    got = d.decompress(data, GIVEN)
                 except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-                    return b"".join(out), a, "damaged", a
-                out.append(got)
-                size += len(got)
-                if size > limit:
-                    raise OverflowError
+                    return a, "damaged"
+                if len(got) > skip:
+                    yield got[skip:]
+                skip = max(0, skip - len(got))
                 if d.eof:
-                    return b"".join(out), b - len(d.unused_data), "", a
+                    return b - len(d.unused_data), ""
                 data = getattr(d, "unconsumed_tail", b"")
                 if not data and (getattr(d, "needs_input", True) or not got):
                     break
-        return b"".join(out), len(raw), "truncated", len(raw)
+        return len(raw), "truncated"
 
     steps = [(a, min(a + CHUNK, len(raw))) for a in range(at, len(raw), CHUNK)]
-    out, end, state, bad = read(steps)
-    if state == "damaged":  # once more, by single bytes where it broke, for all that comes before
-        out, end, state, _ = read([x for x in steps if x[0] < bad] + [(i, i + 1) for i in range(bad, min(bad + CHUNK, len(raw)))])
-    return out, end, state
-
-
-def _expanded(raw: bytes, limit: int) -> Iterator[tuple[bytes | None, int, int, str]]:
-    """(content, start, end, state) of the compressed data in ``raw``, wherever it begins; members of one kind that follow each other are one."""
+    given = 0
+    pieces = read(steps, 0)
+    while True:
+        try:
+            piece = next(pieces)
+        except StopIteration as stop:
+            end, state = stop.value
+            break
+        given += len(piece)
+        yield piece
+    if state != "damaged":
+        return end, state
+    # once more, by single bytes where it broke, for all that comes before
+    return (yield from read([x for x in steps if x[0] < end] + [(i, i + 1) for i in range(end, min(end + CHUNK, len(raw)))], given))
+
+
+def _expanded(raw: bytes, limit: int) -> Iterator[tuple[bytes, int, int, str]]:
+    """(content, start, end, state) of the compressed data in ``raw``, wherever it begins; members of one kind that follow each other are one.
+
+    Content beyond ``limit`` comes in windows that overlap, all but the last with the state ``oversize``.
+    """
     at = 0
     while at < len(raw):
         if at == 0 and _reader(raw, 0):
@@ -221,84 +219,98 @@ def _expanded(raw: bytes, limit: int) -> Iterator[tuple[bytes | None, int, int,
             at = start + 1
             continue
         make, sure = got
-        out, end, state = [], start, ""
-        try:
-            while end < len(raw) and (now := _reader(raw, end)) and now[1] == sure and (end == start or raw[end] == raw[start]):
-                part, stop, state = _member(raw, end, make, limit - sum(map(len, out)))
-                out.append(part)
-                end = stop
-                if state:
+        held, size, end, state, cut = [], 0, start, "", False
+        while end < len(raw) and (now := _reader(raw, end)) and now[1] == sure and (end == start or raw[end] == raw[start]):
+            stream = _stream(raw, end, make)
+            while True:
+                try:
+                    piece = next(stream)
+                except StopIteration as stop:
+                    end, state = stop.value
                     break
-                if raw[start] == 0xFD:  # an xz stream may be padded with zeros
-                    end += len(raw[end:]) - len(raw[end:].lstrip(b"\0")) if raw[end:].lstrip(b"\0").startswith(b"\xfd7zXZ\0") else 0
-        except OverflowError:
-            yield None, start, len(raw), "oversize"
-            at = start + 1
-            continue
-        inner = b"".join(out)
-        if inner:
-            yield inner, start, end, state if sure or (state == "truncated" and start == 0) else ""
+                held.append(piece)
+                size += len(piece)
+                while size > limit:
+                    window = b"".join(held)
+                    yield window[:limit], start, len(raw), "oversize"
+                    cut = True
+                    held = [window[limit - limit // 8 :]]
+                    size = len(held[0])
+            if state:
+                break
+            if raw[start] == 0xFD:  # an xz stream may be padded with zeros
+                end += len(raw[end:]) - len(raw[end:].lstrip(b"\0")) if raw[end:].lstrip(b"\0").startswith(b"\xfd7zXZ\0") else 0
+        if inner := b"".join(held):
+            yield inner, start, len(raw) if cut else end, state if sure or (state == "truncated" and start == 0) else ""
         at = start + 1 if state else max(end, start + 1)
 
 
-def _layers(raw: bytes, where: Ranges, whole: Range, how: str, limit: int) -> Iterator[Layer]:
+def _layers(raw: bytes, where, whole: Range, how: str, limit: int) -> Iterator[Layer]:
     """``raw`` as a layer, and what is compressed in it, to any depth; a piece that can't be read in full is also given as None, by what it is."""
-    todo, seen = [(raw, where, whole, how)], set()
+    yield *_to_text(raw, where), how
+    seen: set[tuple] = set()
+    todo = [(_expanded(raw, limit), len(raw), where, whole, how)]
     while todo:
-        raw, where, whole, how = todo.pop()
-        yield *_to_text(raw, where), how
-        for inner, a, b, state in _expanded(raw, limit):
-            at = whole if (a, b) == (0, len(raw)) else (int(where[0][a]), int(where[1][b - 1]))
-            if state:
-                yield None, _const(*at, 1), state
-            if inner is not None and (inner, at) not in seen:
-                seen.add((inner, at))
-                todo.append((inner, _const(*at, len(inner)), at, f"{how}>compressed"))
+        found, size, where, whole, how = todo[-1]
+        if (got := next(found, None)) is None:
+            todo.pop()
+            continue
+        inner, a, b, state = got
+        at = whole if (a, b) == (0, size) else where.span(a, b)
+        if state:
+            yield None, origins.Whole(*at), state
+        if (key := (_digest(inner), at)) not in seen:
+            seen.add(key)
+            own, deeper = origins.Whole(*at), f"{how}>compressed"
+            yield *_to_text(inner, own), deeper
+            todo.append((_expanded(inner, limit), len(inner), own, at, deeper))
 
 
 def _base64(runs: list[Range], layer: str, end: int, limit: int) -> Iterator[Layer]:
     """The layers of a base64 run at its four alignments; ``runs``: its lines, ``end``: after the padding."""
     body = "".join(layer[a:b] for a, b in runs).replace("-", "+").replace("_", "/")
-    i = np.concatenate([np.arange(a, b) for a, b in runs])
     for skip in range(4):
         n = len(body) - skip
         n -= n % 4 == 1
         raw = base64.b64decode(body[skip : skip + n] + "=" * (-n % 4))
         if raw:
-            bits = 8 * np.arange(len(raw))
-            yield from _layers(raw, (i[skip + bits // 6], i[skip + (bits + 7) // 6] + 1), (int(i[skip]), end), "base64", limit)
+            where = origins.Base64(runs, skip)
+            yield from _layers(raw, where, (where.span(0, 1)[0], end), "base64", limit)
 
 
-def scan(text: str, hints: tuple[bool, ...] = (True,) * 5, limit: int = MAX_LAYER_CHARS) -> list[tuple[str, int, int, str]]:
+def scan(text: str, hints: tuple[bool, ...] = EVERY, limit: int = MAX_LAYER_CHARS) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, via) by start and kind; ``via`` names the layers around a secret, '' for none."""
     found = {s: "" for s in base_spans(text, hints[:3])}
     seen: set[tuple] = set()
     known: dict[str, tuple[list, list]] = {}
-    todo: list[tuple[str, Ranges | None, str]] = [(text, None, "")]
-    while todo:
-        layer, where, via = todo.pop()
-        if where is None:
-            parts = _decoded(layer, hints, limit)
-        else:
-            if layer not in known:
-                known[layer] = base_spans(layer), list(_decoded(layer, (True,) * 5, limit))
-            spans, parts = known[layer]
+    todo: list[tuple[Iterator[Layer], object, str]] = [(_decoded(text, hints, limit), None, "")]
+    while todo:  # a layer's pieces come one by one, each with all that it holds
+        parts, where, via = todo[-1]
+        if (got := next(parts, None)) is None:
+            todo.pop()
+            continue
+        piece, inner, how = got
+        path = f"{via}>{how}" if via else how
+        at = origins.within(where, inner)
+        if piece is None:
+            found.setdefault((how, *at.span(0, 1)), path)
+        elif piece and (place := _place(piece, at)) not in seen:
+            seen.add(place)
+            if len(piece) > REMEMBERED:
+                spans, more = base_spans(piece), _decoded(piece, EVERY, limit)
+            else:
+                if piece not in known:
+                    known[piece] = base_spans(piece), list(_decoded(piece, EVERY, limit))
+                spans, more = known[piece][0], iter(known[piece][1])
             for kind, a, b in spans:
-                found.setdefault((kind, int(where[0][a]), int(where[1][b - 1])), via)
-        for piece, inner, how in parts:
-            path = f"{via}>{how}" if via else how
-            at = _within(where, inner)
-            if piece is None:
-                found.setdefault((how, int(at[0][0]), int(at[1][-1])), path)
-            elif piece and (place := _place(piece, at)) not in seen:
-                seen.add(place)
-                todo.append((piece, at, path))
+                found.setdefault((kind, *at.span(a, b)), path)
+            todo.append((more, at, path))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((*s, via) for s, via in found.items()), key=lambda x: (x[1], order.get(x[0], 9), x[2]))
 
 
 def _decoded(layer: str, hints: tuple[bool, ...], limit: int) -> Iterator[Layer]:
-    """What ``layer`` holds in one encoding more: (text or None, ranges in ``layer``, how)."""
+    """What ``layer`` holds in one encoding more: (text or None, origin in ``layer``, how)."""
     if hints[3] and ("%" in layer or "\\" in layer):
         for m in TOKEN.finditer(layer):
             if "%" in m[0] and PERCENT.search(m[0]):
