@@ -4,7 +4,6 @@ import base64
 import gzip
 import hashlib
 import random
-import resource
 import subprocess
 import sys
 
