@@ -396,21 +396,22 @@ def genome_ids(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.genome_id(path).alias("genome_id"))
 
 
-_TITLE_SQL = "coalesce(text, '')"
-for _p in X.TITLE_CUTS:
-    _ANYWHERE = "" if _p.startswith(("^", "(?i)^")) else ", 'g'"
-    _TITLE_SQL = f"regexp_replace({_TITLE_SQL}, '{_p}', ''{_ANYWHERE})"
-_PHRASE_SQL = "x"
-for _p in X.PHRASE_CUTS:
-    _PHRASE_SQL = f"regexp_replace({_PHRASE_SQL}, '{_p}', '', 'g')"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_LEADING = lambda known: f"coalesce(list_position(list_transform(w, lambda x: list_contains({_LIST(known)}, lower(x))), false) - 1, len(w))"
+_ENDED = ", ".join(f"nullif(instr(substr(spaced, behind), ' {e} '), 0)" for e in X.TITLE_ENDS)
 
 
 @query(
     "clean_titles",
     f"""WITH t AS (SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL SELECT 'd' || doc_id, (CASE doc_id % 6 WHEN 0 THEN 'Crystal structure of the ' WHEN 1 THEN '6abc_A Electron microscopy structure of ' WHEN 2 THEN 'Apo form of ' WHEN 3 THEN 'Model of the ' WHEN 4 THEN 'X-ray crystal structure of a ' ELSE '' END) || text FROM documents),
-c AS (SELECT id, {_TITLE_SQL} AS y FROM t), p AS (SELECT id, CASE WHEN regexp_extract(y, '{X.TITLE_PHRASE}', 1) = '' THEN y ELSE regexp_extract(y, '{X.TITLE_PHRASE}', 1) END AS x FROM c),
-s AS (SELECT id, trim(regexp_replace({_PHRASE_SQL}, '\\s+', ' ', 'g')) AS z FROM p)
-SELECT id, CASE WHEN regexp_matches(z, '[A-Za-z]') THEN upper(left(z, 1)) || substr(z, 2) ELSE '?' END AS title FROM s""",
+w0 AS (SELECT id, regexp_extract_all(coalesce(text, ''), '\\S+') AS w FROM t),
+w1 AS (SELECT id, CASE WHEN len(w) > 0 AND regexp_matches(w[1], '{X.TITLE_CHAIN}') THEN w[2:] ELSE w END AS w FROM w0),
+w2 AS (SELECT id, w[1 + coalesce(list_max(list_transform(range(1, 1 + {_LEADING(X.TITLE_HEAD)}), lambda i: CASE WHEN i > 1 AND lower(w[i]) = 'of' AND list_contains({_LIST(X.TITLE_KINDS)}, lower(w[i - 1])) THEN i ELSE 0 END)), 0):] AS w FROM w1),
+p AS (SELECT id, array_to_string(w[1 + {_LEADING(X.TITLE_SKIPPED)}:], ' ') AS x FROM w2),
+s AS (SELECT id, x, lower(x) || ' ' AS spaced, instr(x || ' ', ' ') AS behind FROM p),
+n AS (SELECT id, left(x, coalesce(least(least({_ENDED}) + behind - 2, nullif(instr(substr(x, 2), ','), 0)), length(x))::INTEGER) AS y FROM s),
+k AS (SELECT id, rtrim(regexp_replace(y, '(?i) (apo|holo)$', '')) AS z FROM n)
+SELECT id, CASE WHEN regexp_matches(z, '[A-Za-z]') THEN upper(left(z, 1)) || substr(z, 2) ELSE '?' END AS title FROM k""",
 )
 def clean_titles(spark, d):
     """Whole texts as structure titles (H8)."""
