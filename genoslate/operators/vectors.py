@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .shared import written
 
 
 def nearest_to_vector(vectors: DataFrame, query: list[float], k: int = 10, threshold: float | None = None, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
@@ -54,51 +55,144 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / (np.sqrt(_dots(m, m))[:, None] + 1e-300)
 
 
-def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
+#: Vectors that clusters form around: so many a block, and no more than this many bytes of them.
+PIVOTS_PER_BLOCK, PIVOT_BYTES = 8, 16 << 20
+#: Angles are worked out to better than this.
+ANGLE_ROUNDING = 1e-6
+#: The cluster of vectors that have no angle to any pivot; it is compared with all.
+APART = -1
+
+
+def _block_neighbours(pdf: pd.DataFrame, k: int, key: str, exclude_self: bool) -> pd.DataFrame:
+    """The k first by score and id of each query of a group, among the group's vectors."""
+    q, x = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    out = [pd.DataFrame({"query": q["id"][:0], key: x["id"][:0], "score": np.zeros(0)})]
+    if not len(q) or not len(x):
+        return out[0]
+    ids, m, all_ids, y = q["id"].to_numpy(), _unit(q["v"]), x["id"].to_numpy(), _unit(x["v"])
+    place = pd.factorize(all_ids, sort=True)[0]
+    for i in range(0, len(ids), AT_ONCE):
+        s = m[i : i + AT_ONCE] @ y.T
+        s[np.isnan(s)] = -np.inf
+        if exclude_self:
+            s[ids[i : i + AT_ONCE, None] == all_ids[None, :]] = -np.inf
+        take = min(k, s.shape[1])
+        cut = -np.partition(-s, take - 1, axis=1)[:, take - 1]
+        a, at = np.nonzero((s >= cut[:, None] - ROUNDING) & (s > -np.inf))
+        score = _dots(m[i : i + AT_ONCE], y, a, at)
+        order = np.lexsort((place[at], -score, a))
+        a, at, score = a[order], at[order], score[order]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < k
+        out.append(pd.DataFrame({"query": ids[i : i + AT_ONCE][a[best]], key: all_ids[at[best]], "score": score[best]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _pivots(vectors: DataFrame, many: int) -> dict[int, np.ndarray]:
+    """Unit vectors by length that others gather around: the ``many`` first by a hash of their ids, within PIVOT_BYTES."""
+    rows = vectors.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(many).select("v", "dim").toPandas()
+    rows = rows[(rows["dim"] * 8).cumsum() <= PIVOT_BYTES]
+    unit = {int(dim): _unit(part["v"]) for dim, part in rows.groupby("dim")}
+    return {dim: m for dim, u in unit.items() if len(m := u[np.isfinite(u).all(axis=1) & (np.abs(u).max(axis=1, initial=0) > 0)])}
+
+
+def _angles(rows: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Angles of each row to each pivot; NaN for rows without a direction."""
+    u = _unit(rows)
+    u[(u == 0).all(axis=1)] = np.nan
+    return np.arccos(np.clip(u @ pivots.T, -1, 1))
+
+
+def _in_clusters(vectors: DataFrame, pivots: dict[int, np.ndarray], kind: str) -> DataFrame:
+    """(id, v, dim, cluster, angle): each vector with the pivot of its length nearest to it, APART without one."""
+
+    def run(frames):
+        for pdf in frames:
+            cluster, angle = np.full(len(pdf), APART), np.zeros(len(pdf))
+            dims = pdf["dim"].to_numpy()
+            for dim in set(dims) & set(pivots):
+                at = np.flatnonzero(dims == dim)
+                far = _angles(pdf["v"].iloc[at], pivots[dim])
+                known = at[~np.isnan(far[:, 0])]
+                far = far[~np.isnan(far[:, 0])]
+                cluster[known], angle[known] = far.argmin(axis=1), far.min(axis=1)
+            yield pdf.assign(cluster=cluster.astype("int32"), angle=angle)
+
+    return vectors.mapInPandas(run, f"id {kind}, v array<double>, dim int, cluster int, angle double")
+
+
+def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True, block_bytes: int | None = None, tried: list | None = None) -> DataFrame:
     """(query, key, score, rank): the exact k nearest of each query row, ties by key.
 
-    Queries and vectors are dealt into blocks of a fixed size, and each pair of blocks is a group of its own: nothing passes through the
-    driver. A group multiplies its blocks, which tells all rows that may be among the k best; their scores are then
+    Where the vectors fill more than one block of ``block_bytes`` (BLOCK_BYTES), they gather around pivots. A query is first compared with its own
+    cluster, which bounds the angle of its k-th neighbour; by the triangle inequality on the sphere it then asks only those clusters whose radius reaches into that
+    angle. Large clusters are cut into blocks, queries are dealt into blocks too, and each pair of blocks is a group of its own. The driver
+    holds the pivots and one row a cluster. A group multiplies its blocks, which tells all rows that may be among the k best; their scores are then
     summed in a fixed order, and the k first by score and key are kept per query. Those are ranked per query.
 
+    ``tried``, if given, gets the number of pairs of queries and vectors that were compared, and that of all, which costs a count each.
+
     Defined cases: rows without a vector, or with a null component, are no queries and no neighbours; vectors of another length aren't
-    compared; no queries give no rows.
+    compared; those of zeros have a score of 0 with all; no queries give no rows.
     """
-    whole = lambda d: d.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim"))
+    block_bytes = block_bytes or BLOCK_BYTES
+    whole = lambda d: d.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
     left, right = whole(queries), whole(vectors)
-    blocks = lambda d: max(1, -(-int(d.agg(F.sum(F.col("dim") * 8)).first()[0] or 0) // BLOCK_BYTES))
+    blocks = lambda d: max(1, -(-int(d.agg(F.sum(F.col("dim") * 8)).first()[0] or 0) // block_bytes))
     rows, columns = blocks(left), blocks(right)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = left.select("id", "v", "dim", F.lit(True).alias("asks"), own(rows).alias("r"), every(columns).alias("c"))
-    dealt = asked.unionByName(right.select("id", "v", "dim", F.lit(False).alias("asks"), every(rows).alias("r"), own(columns).alias("c")))
     kind = dict(vectors.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        out = [pd.DataFrame({"query": q["id"][:0], key: x["id"][:0], "score": np.zeros(0)})]
-        if not len(q) or not len(x):
-            return out[0]
-        ids, m, all_ids, y = q["id"].to_numpy(), _unit(q["v"]), x["id"].to_numpy(), _unit(x["v"])
-        place = pd.factorize(all_ids, sort=True)[0]
-        for i in range(0, len(ids), AT_ONCE):
-            s = m[i : i + AT_ONCE] @ y.T
-            s[np.isnan(s)] = -np.inf
-            if exclude_self:
-                s[ids[i : i + AT_ONCE, None] == all_ids[None, :]] = -np.inf
-            take = min(k, s.shape[1])
-            cut = -np.partition(-s, take - 1, axis=1)[:, take - 1]
-            a, at = np.nonzero((s >= cut[:, None] - ROUNDING) & (s > -np.inf))
-            score = _dots(m[i : i + AT_ONCE], y, a, at)
-            order = np.lexsort((place[at], -score, a))
-            a, at, score = a[order], at[order], score[order]
-            best = np.arange(len(a)) - np.searchsorted(a, a) < k
-            out.append(pd.DataFrame({"query": ids[i : i + AT_ONCE][a[best]], key: all_ids[at[best]], "score": score[best]}))
-        return pd.concat(out, ignore_index=True)
-
-    out = dealt.groupBy("r", "c", "dim").applyInPandas(run, f"query {kind}, `{key}` {kind}, score double")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1 if isinstance(n, Column) else F.lit(n - 1)))
+    shape = f"query {kind}, `{key}` {kind}, score double"
+    neighbours = lambda dealt: dealt.groupBy("cluster", "part", "r", "dim").applyInPandas(lambda pdf: _block_neighbours(pdf, k, key, exclude_self), shape)
     w = W.partitionBy("query").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    pivots = _pivots(right, columns * PIVOTS_PER_BLOCK) if columns > 1 else {}
+    if not pivots:
+        asks = left.select("id", "v", "dim", F.lit(True).alias("asks"), F.lit(0).alias("cluster"), own(rows).alias("r"), every(columns).alias("part"))
+        return ranked(neighbours(asks.unionByName(right.select("id", "v", "dim", F.lit(False).alias("asks"), F.lit(0).alias("cluster"), every(rows).alias("r"), own(columns).alias("part")))))
+
+    # written, as both rounds read them
+    held = written(_in_clusters(right, pivots, kind), "clusters")
+    asking = written(_in_clusters(left, pivots, kind).withColumn("r", own(rows)), "queries")
+    stats = held.groupBy("dim", "cluster").agg(F.max("angle").alias("radius"), F.count("*").alias("n"), F.ceil(F.sum(F.col("dim") * 8) / block_bytes).cast("int").alias("parts")).toPandas()
+    parts = held.sparkSession.createDataFrame([(int(x.dim), int(x.cluster), int(x.parts)) for x in stats.itertuples()], "dim int, cluster int, parts int")
+    placed = held.join(F.broadcast(parts), ["dim", "cluster"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    radius = {int(dim): dict(zip(x["cluster"].astype(int), x["radius"])) for dim, x in stats.groupby("dim")}
+
+    def compare(asks: DataFrame) -> DataFrame:
+        """Neighbours of queries in the clusters they ask (id, v, dim, r, cluster)."""
+        dealt = asks.join(F.broadcast(parts), ["dim", "cluster"]).select("id", "v", "dim", "cluster", "r", every(F.col("parts")).alias("part"), F.lit(True).alias("asks"))
+        # a block goes to those blocks of queries that ask its cluster, and to no others
+        to = asks.groupBy("dim", "cluster").agg(F.collect_set("r").alias("rs"))
+        return neighbours(dealt.unionByName(placed.join(to, ["dim", "cluster"]).select("id", "v", "dim", "cluster", F.explode("rs").alias("r"), "part", F.lit(False).alias("asks"))))
+
+    first = asking.select("id", "v", "dim", "r", "cluster")
+    near = written(compare(first), "near")
+    bound = near.groupBy("query").agg(F.count("*").alias("c"), F.min("score").alias("low")).filter(F.col("c") == k).select(F.col("query").alias("id"), "low")
+
+    def others(frames):
+        for pdf in frames:
+            for dim, part in pdf.groupby("dim"):
+                found = np.array(sorted(radius.get(int(dim), {})))
+                low = part["low"].to_numpy()
+                # without k neighbours yet, any angle will do
+                reach = np.where(np.isnan(low), np.inf, np.arccos(np.clip(low, -1, 1))) + ANGLE_ROUNDING
+                for_angle = found[found != APART]
+                wanted = np.ones((len(part), len(found)), bool)
+                if len(for_angle):
+                    least = _angles(part["v"], pivots[int(dim)][for_angle]) - np.array([radius[int(dim)][c] for c in for_angle])
+                    wanted[:, found != APART] = ~(least > reach[:, None])
+                wanted &= found[None, :] != part["cluster"].to_numpy()[:, None]
+                yield part.drop(columns=["low", "cluster"]).assign(cluster=[found[x].astype("int32") for x in wanted])
+
+    far = asking.join(bound, "id", "left").select("id", "v", "dim", "r", "cluster", "low").mapInPandas(others, f"id {kind}, v array<double>, dim int, r int, cluster array<int>")
+    far = written(far.withColumn("cluster", F.explode("cluster")), "asked")
+    if tried is not None:
+        sizes = held.groupBy("dim", "cluster").agg(F.count("*").alias("n"))
+        compared = first.select("dim", "cluster").unionByName(far.select("dim", "cluster")).join(F.broadcast(sizes), ["dim", "cluster"]).agg(F.sum("n")).first()[0]
+        pairs = asking.groupBy("dim").count().join(held.groupBy("dim").agg(F.count("*").alias("n")), "dim").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+        tried += [compared or 0, pairs or 0]
+    return ranked(near.unionByName(compare(far)))
 
 
 def nearest_to_set(vectors: DataFrame, members: DataFrame, k: int = 10, threshold: float = 0.7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,15 +114,44 @@ def consecutive_runs(df: DataFrame, group: list[str], order: list[str], member:
 
 
 def split_by_rank(df: DataFrame, order: list[str], parts: int = 4, group: list[str] = (), name: str = "part") -> DataFrame:
-    """Equal parts by rank, the rest in the last (E8). Without a group the whole table is ranked by range partitions."""
+    """Equal parts by rank, the rest in the last.
+
+    Without a group, the last row of each part is selected (see ``keys_at_ranks``), and a row's part follows from comparing it with those: the table is neither
+    sorted nor shuffled. Of rows that are equal by ``order``, any may be in the earlier part; only those that a cut goes through are ranked among themselves.
+    """
     if group:
         w = W.partitionBy(*group)
         ranked = df.withColumn("__rn", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w))
-    else:
-        ranked, total = global_rank(df, order, "__rn")
-        ranked = ranked.withColumn("__n", F.lit(total))
-    size = F.greatest(F.floor(F.col("__n") / parts), F.lit(1))
-    return ranked.withColumn(name, F.least(F.floor((F.col("__rn") - 1) / size), F.lit(parts - 1)).cast("int") + 1).drop("__n")
+        size = F.greatest(F.floor(F.col("__n") / parts), F.lit(1))
+        return ranked.withColumn(name, F.least(F.floor((F.col("__rn") - 1) / size), F.lit(parts - 1)).cast("int") + 1).drop("__n", "__rn")
+    total = df.count()
+    size = max(total // parts, 1)
+    ends = [e for e in range(size, size * parts, size) if e < total]
+    cuts = keys_at_ranks(df, order, ends)
+    if not cuts:
+        return df.withColumn(name, F.lit(1))
+    key = F.struct(*order)
+    cut_key = [_key_literal(df, order, c.key) for c in cuts]
+    part = reduce(add, [(key > k).cast("int") for k in cut_key]) + 1
+    split = [(k, c) for k, c in zip(cut_key, cuts) if c.below + c.equal > c.rank]
+    if not split:
+        return df.withColumn(name, part)
+    within = reduce(or_, [key == k for k, _ in split])
+    tied = written(df.filter(within).withColumn("__id", F.monotonically_increasing_id()), "tied")
+    ranked, _ = global_rank(tied, [*order, "__id"], "__rn")
+    # the ranks of ties count from the first tied row: those of smaller tied keys come off
+    before, ahead = F.lit(0), 0
+    for k, equal, below in _distinct(split):
+        before = F.when(key == k, F.lit(below - ahead)).otherwise(before)
+        ahead += equal
+    place = F.col("__rn") + before
+    ranked = ranked.withColumn(name, F.least(F.floor((place - 1) / size), F.lit(parts - 1)).cast("int") + 1)
+    return df.filter(~within).withColumn(name, part).unionByName(ranked.drop("__rn", "__id"))
+
+
+def _distinct(split: list) -> list:
+    """(key literal, rows equal, rows below) of each distinct cut, in order."""
+    return list({c.below: (k, c.equal, c.below) for k, c in split}.values())
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> tuple[DataFrame, int]:
@@ -140,9 +172,98 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> tuple[Da
     return ranged.withColumn(name, F.row_number().over(w) + offset).drop("__p"), total
 
 
-def at_fractions(ranked: DataFrame, total: int, fractions: list[float], rank: str = "__rn") -> DataFrame:
-    """The rows at fixed fractions of the ranks."""
-    return ranked.filter(F.col(rank).isin([min(total, int(total * f) + 1) for f in fractions]))
+@dataclass(frozen=True)
+class RankedKey:
+    """The key at a rank (from 1), the rows below it, and the rows that equal it."""
+
+    rank: int
+    key: Row
+    below: int
+    equal: int
+
+
+#: Keys that cut a table in a round of selection, the rows they are drawn from, and the rows that are sorted in the end.
+CUTS, DRAWN, SORTED_ROWS = 64, 2048, 100_000
+
+
+def _key_literal(df: DataFrame, order: list[str], key: Row) -> Column:
+    types = dict(df.dtypes)
+    return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, key)])
+
+
+def keys_at_ranks(df: DataFrame, order: list[str], ranks: list[int], most: int | None = None) -> list[RankedKey]:
+    """The keys that stand at some ranks (ascending, nulls first), without sorting the table.
+
+    Each round draws some keys, counts the rows at and between them in one pass with partial counts, and goes on with the intervals in which a wanted rank
+    lies; what it goes on with is written. Once no more than ``most`` rows (SORTED_ROWS) are left, their distinct keys are sorted. The draw decides how many rounds it takes, never
+    the result. Ranks outside the table are left out. The driver gets the drawn keys and the keys found.
+    """
+    most = SORTED_ROWS if most is None else most
+    left, found = df.select(*order), []
+    # (number of the interval, rows before it, wanted ranks in it)
+    total = left.count()
+    open_ = [(0, 0, sorted({r for r in ranks if 1 <= r <= total}))] if total else []
+    left, rows = left.withColumn("__at", F.lit(0)), total
+    key = F.struct(*order)
+    while any(wanted for _, _, wanted in open_):
+        if rows <= most:
+            seen = W.partitionBy("__at").orderBy(*order)
+            sums = left.groupBy("__at", *order).agg(F.count("*").alias("__c")).withColumn("__to", F.sum("__c").over(seen))
+            hit = [(sums["__at"] == at) & (F.col("__to") - F.col("__c") + before < r) & (F.col("__to") + before >= r) for at, before, wanted in open_ for r in wanted]
+            start = {at: before for at, before, _ in open_}
+            for row in sums.filter(reduce(or_, hit)).collect():
+                below = start[row["__at"]] + row["__to"] - row["__c"]
+                value = Row(*[row[c] for c in order])
+                found += [RankedKey(r, value, below, row["__c"]) for at, _, wanted in open_ if at == row["__at"] for r in wanted if below < r <= below + row["__c"]]
+            break
+        drawn = left.select("__at", key.alias("k")).orderBy(F.rand(len(found) + rows % 1000)).limit(DRAWN)
+        keys: dict[int, list[Row]] = {}
+        for row in drawn.distinct().orderBy("__at", "k").collect():
+            keys.setdefault(row["__at"], []).append(row["k"])
+        shown = {at: ks[:: -(-len(ks) // max(1, CUTS // len(keys)))] for at, ks in keys.items()}
+        place = F.lit(0)
+        for at, ks in shown.items():
+            cut = [_key_literal(df, order, k) for k in ks]
+            # even places lie between the drawn keys, odd ones at them
+            step = reduce(add, [(key >= c).cast("int") + (key > c).cast("int") for c in cut])
+            place = F.when(F.col("__at") == at, step).otherwise(place)
+        placed = left.withColumn("__to", place)
+        counts: dict[int, dict[int, int]] = {}
+        for row in placed.groupBy("__at", "__to").count().collect():
+            counts.setdefault(row["__at"], {})[row["__to"]] = row["count"]
+        then, rows, kept = [], 0, []
+        for at, before, wanted in open_:
+            for to in sorted(counts.get(at, {})):
+                n = counts[at][to]
+                inside = [r for r in wanted if before < r <= before + n]
+                if inside and to % 2:
+                    found += [RankedKey(r, shown[at][to // 2], before, n) for r in inside]
+                elif inside:
+                    kept.append((F.col("__at") == at) & (F.col("__to") == to))
+                    then.append((len(then), before, inside))
+                    rows += n
+                before += n
+        if not kept:
+            break
+        number = reduce(lambda c, x: F.when(x[1], x[0]).otherwise(c), enumerate(kept), F.lit(None).cast("int"))
+        left = written(placed.withColumn("__n", number).filter(F.col("__n").isNotNull()).select(*order, F.col("__n").alias("__at")), "selected")
+        open_ = then
+    return sorted(found, key=lambda x: x.rank)
+
+
+def at_fractions(df: DataFrame, order: list[str], fractions: list[float]) -> DataFrame:
+    """The rows at fixed fractions of the ranks (E12); of rows that are equal by ``order``, as many as there are such ranks. See ``keys_at_ranks``."""
+    total = df.count()
+    found = keys_at_ranks(df, order, [min(total, int(total * f) + 1) for f in fractions])
+    if not found:
+        return df.limit(0)
+    wanted: dict[int, list[RankedKey]] = {}
+    for x in found:
+        wanted.setdefault(x.below, []).append(x)
+    key = F.struct(*order)
+    picked = [(_key_literal(df, order, xs[0].key), len(xs), xs[0].equal) for xs in wanted.values()]
+    out = [df.filter(reduce(or_, [key == k for k, n, equal in picked if n == equal]))] if any(n == equal for _, n, equal in picked) else []
+    return reduce(DataFrame.unionByName, out + [df.filter(key == k).limit(n) for k, n, equal in picked if n < equal])
 
 
 def first_of_class(df: DataFrame, cls: str, value: str, position: str, most: int = 3) -> DataFrame:
