@@ -133,8 +133,8 @@ def lowered(text: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """The distinct trigrams of a text."""
-    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))))
+    """The distinct trigrams of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def candidates(texts: DataFrame, patterns: DataFrame, group: str, text: str, key: str, pattern: str, number: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, joins, sets, windows
+from ..operators import cards, filters, grams, joins, sets, windows
 from ..operators.shared import shared_dir
 from ..sources import fasta, sinks
 from ..sources import tables as S
@@ -402,3 +402,40 @@ def typed_view(spark, d):
 def loaded_integrity(spark, d):
     """Labels of documents that aren't there (B9, K30's error)."""
     return filters.orphans(table(spark, d, "labels"), table(spark, d, "documents"), "doc_id", "doc_id").agg(F.count("*").alias("n"))
+
+
+# --- an index of trigrams --------------------------------------------------------------------------------------------
+
+
+def _indexed(spark, df, key, column):
+    path = folder(spark, "grams")
+    grams.write_index(df, key, column, path)
+    return grams.read_index(spark, path, dict(df.dtypes)[key])
+
+
+@query("gram_keywords", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'e.g. (c)') OR contains(lower(text), 'onthere')")
+def gram_keywords(spark, d):
+    """Whole texts with any of some keywords, by an index of trigrams."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return grams.search(docs, _indexed(spark, docs, "doc_id", "text"), "doc_id", "text", ["License", "e.g. (C)", "onthere"]).select("doc_id")
+
+
+@query(
+    "gram_share",
+    """SELECT count(*) AS n_texts, count(*) FILTER (WHERE contains(lower(text), 'lic') AND contains(lower(text), 'ice') AND contains(lower(text), 'cen') AND contains(lower(text), 'ens') AND contains(lower(text), 'nse')) AS n_checked,
+count(*) FILTER (WHERE contains(lower(text), 'license')) AS n_found FROM documents""",
+)
+def gram_share(spark, d):
+    """How many texts the index leaves to be checked, and how many of those have the keyword."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = _indexed(spark, docs, "doc_id", "text")
+    kept = grams.narrowed(docs, index, "doc_id", ["license"]).agg(F.count("*").alias("n_checked"), F.count_if(F.lower("text").contains("license")).alias("n_found"))
+    return docs.agg(F.count("*").alias("n_texts")).join(kept, F.lit(True)).select("n_texts", "n_checked", "n_found")
+
+
+@query("gram_annotations", "SELECT p_partkey AS protein_id, p_name AS name, p_type AS accession FROM part WHERE p_name ILIKE '%ed%ring%' AND p_brand = 'Brand#1'")
+def gram_annotations(spark, d):
+    """Annotations by a LIKE pattern on the name, by the index, then by the search itself."""
+    notes = table(spark, d, "part").select(F.col("p_partkey").alias("protein_id"), F.col("p_brand").alias("source"), F.col("p_type").alias("accession"), F.col("p_name").alias("name"))
+    near = grams.narrowed(notes, _indexed(spark, notes, "protein_id", "name"), "protein_id", ["%ed%ring%"])
+    return cards.search_annotations(near, source="Brand#1", name="%ed%ring%").select("protein_id", "record.name", "record.accession")

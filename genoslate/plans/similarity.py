@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import layout, vectors
 from ..sources import tables as S
 from .roles import query, table
 
@@ -55,6 +55,23 @@ def pca_2d(spark, d):
     return vectors.project_2d(table(spark, d, "embeddings"))
 
 
+@query(
+    "neighbour_layout",
+    f"""WITH n AS (SELECT a.vec_id AS q, b.vec_id AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+e AS (SELECT q, v FROM n WHERE rank <= 5 UNION SELECT v, q FROM n WHERE rank <= 5)
+SELECT count(DISTINCT q) AS n_rows, count(*) AS n_edges, 1.0 AS length_x, 1.0 AS length_y, 0.0 AS x_y, 0.0 AS x_degree, 0.0 AS y_degree, true AS settled FROM e""",
+)
+def neighbour_layout(spark, d):
+    """The layout by the neighbour graph (K24), as sums that an eigenvector's have to be: lengths, right angles, and a residual under 0.1."""
+    found, off = layout.spectral_layout(table(spark, d, "embeddings"), 5, 12)
+    dot = lambda p, q, name: F.round(F.abs(F.sum(p * q)), 6).alias(name)
+    x, y, root = F.col("x"), F.col("y"), F.sqrt("degree")
+    return found.agg(
+        F.count("*").alias("n_rows"), F.sum("degree").alias("n_edges"), dot(x, x, "length_x"), dot(y, y, "length_y"), dot(x, y, "x_y"),
+        dot(x, root, "x_degree"), dot(y, root, "y_degree"), F.lit(max(off) < 0.1).alias("settled"),
+    )
+
+
 @query("point_labels", "SELECT vec_id, coalesce(r_name, 'unknown') AS label FROM embeddings LEFT JOIN region ON r_regionkey = label")
 def point_labels(spark, d):
     by = table(spark, d, "region").select(F.col("r_regionkey").alias("label"), F.col("r_name"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genoslate.operators import vectors, windows
+from genoslate.functions import expressions as X
+from genoslate.operators import grams, layout, vectors, windows
 
 
 @pytest.fixture
@@ -84,3 +85,52 @@ def test_no_queries_ask_no_clusters(spark):
     d = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     assert vectors.nearest_per_query(d, d.limit(0), 3, block_bytes=64).count() == 0
     assert vectors.nearest_per_query(d.limit(0), d, 3, block_bytes=64).count() == 0
+
+
+def test_texts_by_trigrams(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abAB c") for _ in range(rng.choice([0, 2, 3, 30, 200]))) for _ in range(300)] + [None, "Straße 100%_x", "STRASSE", "a\\%b"]
+    d = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "id int, t string")
+    grams.write_index(d, "id", "t", str(tmp_path / "index"), buckets=5)
+    index = grams.read_index(spark, str(tmp_path / "index"), "int")
+    for patterns in (["abA"], ["CAB", "bbbb"], ["%ab%ba%"], ["ab"], ["straße"], ["%Stra_e%"], ["zzz", "aaaa"], ["%a\\%b%"]):
+        want = [r.id for r in d.filter(F.exists(F.array(*[X.contains_text(F.col("t"), p) for p in patterns]), lambda x: F.coalesce(x, F.lit(False)))).collect()]
+        got = [r.id for r in grams.search(d, index, "id", "t", patterns, buckets=5).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), patterns
+    checked = grams.candidates(index, ["bbbb", "acaca"], 5).count()
+    assert 0 < checked < 200
+    assert grams.candidates(index, ["ab"], 5) is None and grams.search(d, index, "id", "t", [], 5).count() == 0
+    grams.write_index(d.limit(0), "id", "t", str(tmp_path / "none"), buckets=5)
+    assert grams.search(d, grams.read_index(spark, str(tmp_path / "none"), "int"), "id", "t", ["abc"], 5).count() == 0
+
+
+def test_layout_tells_clusters_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (np.array([1.0, 0, 0] if i % 2 else [0, 1.0, 0]) + 0.05 * rng.normal(size=3)).tolist()) for i in range(40)]
+    d = spark.createDataFrame([*rows, (90, None)], "vec_id long, embedding array<double>")
+    found, off = layout.spectral_layout(d, 4, 20)
+    at = {r.vec_id: (r.x, r.y, r.degree) for r in found.collect()}
+    assert set(at) == set(range(40))
+    odd, even = ([at[i][0] / at[i][2] ** 0.5 for i in range(40) if i % 2 == p] for p in (1, 0))
+    assert max(odd) < min(even) or max(even) < min(odd)
+    # against the eigenvectors of the whole matrix
+    edges = [(r.a, r.b) for r in layout.neighbour_graph(d, 4).collect()]
+    m = np.zeros((40, 40))
+    for a, b in edges:
+        m[a, b] = 1
+    root = np.sqrt(m.sum(1))
+    m /= np.outer(root, root)
+    x, y = np.array([at[i][0] for i in range(40)]), np.array([at[i][1] for i in range(40)])
+    for v, r in ((x, off[0]), (y, off[1])):
+        assert abs(np.linalg.norm(v) - 1) < 1e-9 and abs(v @ root) < 1e-9
+        assert abs(np.linalg.norm(m @ v - (v @ m @ v) * v) - r) < 1e-9
+    assert abs(x @ y) < 1e-9 and off[0] < 1e-6 and (x @ m @ x) > 1 - 1e-6
+
+
+def test_layout_of_few_rows(spark):
+    d = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(2)], "vec_id long, embedding array<double>")
+    found, off = layout.spectral_layout(d, 3, 2)
+    rows = found.orderBy("vec_id").collect()
+    assert abs(rows[0].x + rows[1].x) < 1e-9 and [r.y for r in rows] == [0.0, 0.0] and max(off) < 1e-6
+    found, off = layout.spectral_layout(d.limit(0), 3, 1)
+    assert found.count() == 0 and off == [0.0, 0.0]
