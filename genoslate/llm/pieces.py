@@ -4,12 +4,11 @@ Where no piece of a model holds a white-space marker after another character, it
 word (a run of markers and what follows up to the next marker) to another. So each distinct marked word is segmented
 once and the ids are put back by position:
 
-1. Spark counts marked words; those that make up at least one in ``HEAVY`` of the corpus are at most ``HEAVY``
-   by that very bound. They are segmented in one Spark job, once for the whole corpus, and that table is broadcast: ids, ids as text, and
-   the text that they decode to within a sentence.
-2. A task takes a slice of documents and numbers its distinct words. Those that neither the broadcast table nor the task's own holds
-   are segmented and added to the task's table (of ``OWN_WORDS`` words at most, then it starts anew). Ids, their text and the decoded text of
-   each document are then gathered from the table by the words' numbers. Nothing but word counts is ever shuffled.
+1. Spark counts the marked words of all texts and segments each distinct one, once: the table of words holds its ids and the text that
+   they decode to within a sentence.
+2. Words that make up at least one in ``HEAVY`` of the corpus are at most ``HEAVY`` by that very bound; their rows are broadcast.
+3. All other words of a text are numbered by where they first stand in it. (key of the text, number, word) meets the table by the word, and what comes back
+   is gathered by the key, in order of the numbers, so texts get their words' ids by position. Equal texts share a key.
 
 Defined cases: a null or empty text has no ids; equal rows give equal rows; an empty table gives an empty table;
 very long texts and words are encoded whole; columns named like an output are replaced.
@@ -18,12 +17,10 @@ very long texts and words are encoded whole; columns named like an output are re
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,12 +29,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A word of at least one HEAVY-th of all occurrences goes to the broadcast table.
-HEAVY = 1 << 15
+HEAVY = 1 << 17
 #: Longest word, in characters, that the broadcast table holds: with HEAVY, this bounds its size.
 HEAVY_CHARS = 64
-#: Words, and characters of words, that a task's own table holds.
-OWN_WORDS = 1 << 17
-OWN_CHARS = 4 << 20
+#: What the table tells of a word, and what a text gets back for one of its words.
+CHUNK = "ids array<int>, spelt string"
 MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
 
@@ -102,62 +98,75 @@ def spell(model: str, ids: list[list[int]]) -> list[str]:
     return [x[skip:] for x in sp.decode([before + i for i in ids])] if ids else []
 
 
-def heavy_words(docs: DataFrame, text: str, model: str) -> DataFrame:
-    """(word, ids, spelt) of the marked words that make up 1 / HEAVY of all, or more."""
+def word_table(docs: DataFrame, text: str, model: str) -> DataFrame:
+    """(word, n, ids, spelt) of every distinct marked word of all texts; the row without a word has the number of all occurrences."""
 
     def count(texts: list[bytes], _: pa.RecordBatch) -> dict:
         words, _ = split_words(pa.array(texts, pa.binary()).cast(pa.string()))
         found = words.value_counts()
-        n = found.field("counts").to_numpy(zero_copy_only=False)
-        # what is that frequent overall is so in some slice, so each slice tells only of those
-        some = np.flatnonzero(n * HEAVY >= n.sum())
-        held = [(w, k) for w, k in zip(found.field("values").take(pa.array(some)).to_pylist(), n[some].tolist(), strict=True) if len(w) <= HEAVY_CHARS]
-        return {"word": [w for w, _ in held] + [None], "n": [k for _, k in held] + [int(n.sum())]}
-
-    counts = common.written(
-        common.reduce_text(docs, "word string, n long", count, text).groupBy("word").agg(F.sum("n").alias("n")), "word-counts"
-    )
-    total = counts.filter(F.col("word").isNull()).agg(F.max("n").alias("total"))
-    heavy = counts.filter(F.col("word").isNotNull()).join(F.broadcast(total), F.col("n") * HEAVY >= F.col("total")).select("word")
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            ids = segment(model, pdf["word"].tolist())
-            yield pd.DataFrame({"word": pdf["word"], "ids": ids, "spelt": spell(model, ids)})
-
-    return heavy.mapInPandas(encode, "word string, ids array<int>, spelt string")
-
-
-class Table:
-    """Words known to a task, by number: ids one after another, ids as text, and the decoded text."""
-
-    def __init__(self, model: str, rows: list[tuple[str, list[int], str]]):
-        self.model, self.rows = model, rows
-        self._reset()
-
-    def _reset(self) -> None:
-        self.number: dict[str, int] = {w: i for i, (w, _, _) in enumerate(self.rows)}
-        self.ids = [i for _, i, _ in self.rows]
-        self.spelt = [x for _, _, x in self.rows]
-        self.chars = 0
-
-    def take(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-        """Of each of the distinct ``words``: number of ids, ids one after another, ids as text, decoded text."""
-        if len(self.number) > len(self.rows) + OWN_WORDS or self.chars > OWN_CHARS:
-            self._reset()
-        new = [w for w in words if w not in self.number]
-        if new:
-            ids = segment(self.model, new)
-            self.number.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-            self.ids += ids
-            self.spelt += spell(self.model, ids)
-            self.chars += sum(map(len, new))
-        at = [self.number[w] for w in words]
-        ids = [self.ids[i] for i in at]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        decimal = pc.binary_join(pa.ListArray.from_arrays(_offsets(size), pc.cast(pa.array(flat), pa.string())), ",")
-        return size, flat, decimal, pa.array([self.spelt[i] for i in at], pa.string())
+        n = found.field("counts")
+        return {"word": pa.concat_arrays([found.field("values"), pa.nulls(1, pa.string())]), "n": pa.concat_arrays([n, pa.array([len(words)], pa.int64())])}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            ids = segment(model, [w for w in words if w is not None])
+            spelt = spell(model, ids)
+            if None in words:
+                at = words.index(None)
+                ids.insert(at, None)
+                spelt.insert(at, None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(spelt, pa.string())], names=["word", "n", "ids", "spelt"])
+
+    counts = common.reduce_text(docs, "word string, n long", count, text).groupBy("word").agg(F.sum("n").alias("n"))
+    return common.written(counts.mapInArrow(encode, f"word string, n long, {CHUNK}"), "word-table")
+
+
+def heavy_words(table: DataFrame) -> pa.Table:
+    """(word, ids, spelt) of the words that make up 1 / HEAVY of all occurrences, or more: at most HEAVY rows."""
+    total = table.filter(F.col("word").isNull()).agg(F.max("n").alias("total"))
+    often = table.filter(F.col("word").isNotNull() & (F.length("word") <= HEAVY_CHARS))
+    rows = [(r["word"], r["ids"], r["spelt"]) for r in often.join(F.broadcast(total), F.col("n") * HEAVY >= F.col("total")).select("word", "ids", "spelt").toLocalIterator()]
+    words, ids, spelt = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"word": pa.array(words, pa.string()), "ids": pa.array(ids, pa.list_(pa.int32())), "spelt": pa.array(spelt, pa.string())}).combine_chunks()
+
+
+class Numbered:
+    """The marked words of some texts by their distinct ones, and which of those each text has to ask the table for."""
+
+    def __init__(self, texts: list[bytes], heavy: pa.Array):
+        words, self.counts = split_words(pa.array(texts, pa.binary()).cast(pa.string()))
+        named = words.dictionary_encode()
+        self.words, self.at = named.dictionary, named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.index_in(self.words, value_set=heavy)
+        #: the row of ``heavy`` that each distinct word has, or -1
+        self.held = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), self.counts)
+        rare = np.flatnonzero(self.held[self.at] < 0)
+        first = rare[np.unique(doc[rare] * max(len(self.words), 1) + self.at[rare], return_index=True)[1]]
+        first.sort()
+        #: text and distinct word of each word to be asked for, by where it first stands
+        self.doc, self.asked = doc[first], self.at[first]
+        self.n_asked = np.bincount(self.doc, minlength=len(texts))
+
+
+def rare_chunks(docs: DataFrame, key: str, text: str, table: DataFrame, heavy) -> DataFrame:
+    """(key, chunks) of texts with words that aren't in ``heavy`` (a broadcast): what the table has of them, in order of their first places."""
+
+    def ask(texts: list[bytes], part: pa.RecordBatch) -> dict:
+        # copies within a slice ask once
+        once = {k: i for i, k in enumerate(part.column(0).to_pylist())}
+        found = Numbered([texts[i] for i in once.values()], heavy.value.column("word").combine_chunks())
+        start = np.cumsum(found.n_asked) - found.n_asked
+        return {
+            "key": pa.array(list(once), pa.binary()).take(pa.array(found.doc)),
+            "at": pa.array((np.arange(len(found.doc)) - start[found.doc]).astype(np.int32)),
+            "word": found.words.take(pa.array(found.asked)),
+        }
+
+    asked = common.reduce_text(docs, "key binary, at int, word string", ask, text, keep=[key])
+    told = asked.join(table.select("word", "ids", "spelt"), "word")
+    return told.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("at", "ids", "spelt"))).alias("chunks"))
 
 
 def _offsets(counts: np.ndarray) -> pa.Array:
@@ -178,31 +187,51 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", outputs: tupl
     """
     if crosses_words(model):
         raise ValueError("a piece of this model crosses white space; its words can't be segmented apart")
-    rows = [(r["word"], list(r["ids"]), r["spelt"]) for r in heavy_words(docs, text, model).toLocalIterator()]
-    held = docs.sparkSession.sparkContext.broadcast(rows)
+    key = common.fresh(docs.columns, "__key")
+    chunks = common.fresh([*docs.columns, key], "__chunks")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
+    table = word_table(docs, text, model)
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_words(table))
+    rare = rare_chunks(keyed, key, text, table, heavy).select(F.col("key").alias(key), F.col("chunks").alias(chunks))
     kinds = {"ids": "array<int>", "n_tokens": "long", "ids_text": "string", "decoded": "string"}
-    state: list[Table] = []
-
-    def run(texts: list[bytes]) -> list[pa.Array]:
-        if not state:
-            state.append(Table(model, held.value))
-        words, counts = split_words(pa.array(texts, pa.binary()).cast(pa.string()))
-        named = words.dictionary_encode()
-        at = named.indices.to_numpy(zero_copy_only=False)
-        size, flat, decimal, spelt = state[0].take(named.dictionary.to_pylist())
-        ends = np.concatenate([[0], np.cumsum(size[at])])[np.cumsum(counts)]
-        tokens = np.diff(np.concatenate([[0], ends]))
-        made = {}
+    made = docs.sparkSession.createDataFrame([], ", ".join(f"{k} {kinds[k]}" for k in outputs)).schema
+    names = [c for c in docs.columns if c not in made.names]
+    schema = docs.select(*names).schema
+    for field in made:
+        schema = schema.add(field)
+
+    def gather(texts: list[bytes], told: pa.Array) -> list[pa.Array]:
+        own = heavy.value.combine_chunks()
+        column = lambda name: own.column(name).combine_chunks()
+        found = Numbered(texts, column("word"))
+        if (pc.fill_null(pc.list_value_length(told), 0).to_numpy(zero_copy_only=False) != found.n_asked).any():
+            raise RuntimeError("the texts changed while they were encoded")
+        got = told.flatten()
+        pick = found.held.copy()
+        pick[found.asked] = len(own) + np.arange(len(found.asked))
+        row = pa.array(pick)
+        ids = pa.concat_arrays([column("ids"), pc.struct_field(got, "ids").cast(pa.list_(pa.int32()))]).take(row)
+        spelt = pa.concat_arrays([column("spelt"), pc.struct_field(got, "spelt")]).take(row)
+        size, flat, at, counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten(), found.at, found.counts
+        tokens = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(size[at])])[np.cumsum(counts)]]))
+        joined = lambda values, by: pc.binary_join(pa.ListArray.from_arrays(_offsets(counts), values.take(pa.array(at))), by)
+        out = {}
         if "ids" in outputs:
-            made["ids"] = pa.ListArray.from_arrays(_offsets(tokens), pa.array(_gather(size, flat, at)))
+            out["ids"] = pa.ListArray.from_arrays(_offsets(tokens), pa.array(_gather(size, flat.to_numpy(zero_copy_only=False), at)))
         if "n_tokens" in outputs:
-            made["n_tokens"] = pa.array(tokens)
-        joined = lambda values, by: pc.binary_join(pa.ListArray.from_arrays(_offsets(counts), values.take(pa.array(at))), by)
+            out["n_tokens"] = pa.array(tokens)
         if "ids_text" in outputs:
-            made["ids_text"] = joined(decimal, ",")
+            out["ids_text"] = joined(pc.binary_join(pa.ListArray.from_arrays(_offsets(size), pc.cast(flat, pa.string())), ","), ",")
         if "decoded" in outputs:
             # the library leaves out the marker that it put before the first word
-            made["decoded"] = pc.replace_substring_regex(joined(spelt, ""), "^ ", "")
-        return [made[k] for k in outputs]
+            out["decoded"] = pc.replace_substring_regex(joined(spelt, ""), "^ ", "")
+        return [out[k] for k in outputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, len(names) + 1):
+                arrays = gather(part.column(len(names) + 1).to_pylist(), part.column(len(names)))
+                yield pa.RecordBatch.from_arrays(part.columns[:-2] + arrays, names=names + made.names)
 
-    return common.map_text(docs, ", ".join(f"{k} {kinds[k]}" for k in outputs), run, text)
+    texts = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias(common.fresh([*names, chunks], common.TEXT))
+    return keyed.join(rare, key, "left").select(*names, chunks, texts).mapInArrow(run, schema)

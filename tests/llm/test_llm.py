@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import os
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -472,7 +473,9 @@ def test_op6_hot_source_and_odd(spark, odd):
     assert mixing.mix_to_targets(odd.limit(0), [1.0]).count() == 0
 
 
-def test_op7_equals_library(spark, docs, odd):
+@pytest.mark.parametrize("heavy", [pieces.HEAVY, 50])
+def test_op7_equals_library(spark, docs, odd, heavy, monkeypatch):
+    monkeypatch.setattr(pieces, "HEAVY", heavy)
     sp = pieces.processor(queries.PIECE_MODEL)
     rows = docs[:120] + [(str(r.doc_id), r.text or "") for r in odd.collect()] + [(f"e{k}", t) for k, t in enumerate(["  ", " a", "a ", "▁", "▁▁x", "<s> </s>", "é ﬁ 漢字 🙂", "\n\n", "a▁b"])]
     df = spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string")
@@ -484,16 +487,43 @@ def test_op7_equals_library(spark, docs, odd):
     assert not pieces.crosses_words(queries.PIECE_MODEL)
 
 
+def test_op7_segments_each_distinct_word_once(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "HEAVY", 4)
+    sp = pieces.processor(queries.PIECE_MODEL)
+    texts = ["the the cat", "the  cat▁sat", "the the cat", None, "", "sat the unhappiness the"]
+    df = spark.createDataFrame([(t, b"own", "own") for t in texts], "text string, __key binary, chunks string").repartition(3)
+    table = pieces.word_table(df, "text", queries.PIECE_MODEL)
+    words = Counter(w for t in texts for w in pieces.marked_words(t or ""))
+    rows = {r.word: r for r in table.collect()}
+    assert table.count() == len(rows) == len(words) + 1 and rows[None].n == sum(words.values())
+    assert {w: r.n for w, r in rows.items() if w is not None} == words
+    assert all(list(r.ids) == (sp.encode(w) if w else [sp.piece_to_id("▁")]) for w, r in rows.items() if w is not None)
+    assert pieces.heavy_words(table).column("word").to_pylist() == ["the"]
+    # the other words of a text come back in order of their first places; equal texts share a row
+    held = spark.sparkContext.broadcast(pieces.heavy_words(table))
+    keyed = df.select("text", F.md5(F.coalesce("text", F.lit(""))).cast("binary").alias("k"))
+    got = {r.key.decode(): [list(c.ids) for c in r.chunks] for r in pieces.rare_chunks(keyed, "k", "text", table, held).collect()}
+    want = {}
+    for t in texts:
+        rare = [w for w in dict.fromkeys(pieces.marked_words(t or "")) if w != "the"]
+        if rare:
+            want[hashlib.md5(t.encode()).hexdigest()] = [pieces.segment(queries.PIECE_MODEL, [w])[0] for w in rare]
+    assert got == want
+    out = pieces.encode_decode(df, queries.PIECE_MODEL, outputs=("ids",)).collect()
+    assert sorted((r.text or "", list(r.ids), bytes(r["__key"]), r.chunks) for r in out) == sorted((t or "", sp.encode(t or ""), b"own", "own") for t in texts)
+
+
 def test_op7_random_strings_equal_the_library():
     rng = random.Random(9)
     sp = pieces.processor(queries.PIECE_MODEL)
     alphabet = [" ", " ", "▁", "a", "th", "ing", "é", "漢", "🙂", "\n", "\t", "\u00a0", "\u200b", "0", "Zz", "<unk>", "ﬁ", "\x00", "\u0301"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(4000)]
-    table = pieces.Table(queries.PIECE_MODEL, [])
     words, counts = pieces.split_words(pa.array(texts, pa.string()))
     assert [w for t in texts for w in pieces.marked_words(t)] == words.to_pylist() and counts.tolist() == [len(pieces.marked_words(t)) for t in texts]
     named = words.dictionary_encode()
-    size, flat, _, spelt = table.take(named.dictionary.to_pylist())
+    ids = pieces.segment(queries.PIECE_MODEL, named.dictionary.to_pylist())
+    spelt = pa.array(pieces.spell(queries.PIECE_MODEL, ids))
+    size, flat = np.array([len(x) for x in ids]), np.array([i for x in ids for i in x])
     at, ends = named.indices.to_numpy(), np.cumsum(counts)
     for t, a, b in zip(texts, ends - counts, ends):
         want = sp.encode(t)
