@@ -5,7 +5,7 @@ packets (track, cluster, timestamp, byte range, lacing), tracks and cues; ``pack
 ``track_samples`` joins a track's frames in order. Spark spreads the rows; a task holds one bounded slice of them.
 
 Read: element ids of 1 to 4 bytes and sizes of 1 to 8 bytes, unknown sizes of segments and clusters, SimpleBlock and
-BlockGroup, the four kinds of lacing, default durations, timestamp scales, and cues. Unknown elements, Void and
+BlockGroup, the four kinds of lacing, default durations and those of blocks, timestamp scales, and cues. Unknown elements, Void and
 CRC-32 are skipped.
 
 Defined cases: null or empty media has no packets, tracks or cues and the error ``no EBML header``; for broken bytes
@@ -326,9 +326,14 @@ def _cluster(data: bytes, a: int, b: int, scale: int, cluster_no: int, default_n
             key = bool(flags & 0x80) if i == SIMPLE_BLOCK else key
             kind = flags >> 1 & 3
             frames = lace(data, at + 3, body[1], kind)
-            each = default_ns.get(track) or (duration * scale // len(frames) if duration is not None else None)
+            each = default_ns.get(track)
+            whole = None if duration is None else duration * scale
+            if whole is not None and (not each or whole <= (len(frames) - 1) * each):
+                each = whole // len(frames)
+            # a block's own duration holds: its last frame lasts as long as the others leave
+            last = each if whole is None else whole - (len(frames) - 1) * each
             for n, (start, size) in enumerate(frames):
-                packets.append({"track": track, "cluster": cluster_no, "block": block_no, "frame": n, "timestamp_ns": (base + offset) * scale + n * (each or 0), "duration_ns": each, "start": start, "size": size, "keyframe": key, "lacing": LACING[kind]})
+                packets.append({"track": track, "cluster": cluster_no, "block": block_no, "frame": n, "timestamp_ns": (base + offset) * scale + n * (each or 0), "duration_ns": last if n == len(frames) - 1 else each, "start": start, "size": size, "keyframe": key, "lacing": LACING[kind]})
             block_no += 1
 
 

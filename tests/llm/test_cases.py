@@ -1,5 +1,8 @@
 """Nulls, empty and long values, repeated rows, empty tables and clashing columns, with their exact results."""
 
+import struct
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +30,99 @@ def test_matroska_columns(spark):
     assert matroska.read_samples(matroska.mux_column(df.limit(0))).count() == 0 and matroska.parse_column(matroska.mux_column(df.limit(0))).count() == 0
 
 
+def elements(data, at, end):
+    """(id, body's start, body's end) of the EBML elements in a range, told from the format alone: leading zeros give lengths."""
+    while at < end:
+        n = 9 - data[at].bit_length()
+        ident, at = data[at : at + n].hex(), at + n
+        n = 9 - data[at].bit_length()
+        size, at = int.from_bytes(data[at : at + n], "big") & ((1 << 7 * n) - 1), at + n
+        yield ident, at, at + size
+        at += size
+    assert at == end
+
+
+def frames(data, at, end):
+    """(lacing, time within the cluster, frame) of a block's frames."""
+    assert data[at] == 0x81
+    time, kind, at = int.from_bytes(data[at + 1 : at + 3], "big", signed=True), data[at + 3] >> 1 & 3, at + 4
+    if kind == 0:
+        return [("none", time, data[at:end])]
+    n, at, sizes = data[at] + 1, at + 1, []
+    if kind == 1:
+        for _ in range(n - 1):
+            size = 0
+            while data[at] == 255:
+                size, at = size + 255, at + 1
+            sizes.append(size + data[at])
+            at += 1
+    elif kind == 3:
+        for i in range(n - 1):
+            w = 9 - data[at].bit_length()
+            v = int.from_bytes(data[at : at + w], "big") - (1 << 7 * w)
+            sizes.append(sizes[-1] + v - ((1 << 7 * w - 1) - 1) if i else v)
+            at += w
+    else:
+        sizes = [(end - at) // n] * (n - 1)
+    sizes.append(end - at - sum(sizes))
+    out = []
+    for size in sizes:
+        out.append((("", "xiph", "fixed", "ebml")[kind], time, data[at : at + size]))
+        at += size
+    return out
+
+
+def plain_feature(media):
+    """The samples of a file with one track, and the feature, by a reader of its own."""
+    header, segment = elements(media, 0, len(media))
+    assert header[0] == "1a45dfa3" and segment[0] == "18538067"
+    got, cues, clusters, starts = [], [], 0, set()
+    number = lambda a, b: int.from_bytes(media[a:b], "big")
+    for ident, a, b in elements(media, *segment[1:]):
+        if ident == "1654ae6b":
+            ((_, x, y),) = elements(media, a, b)
+            entry = {i: (p, q) for i, p, q in elements(media, x, y)}
+            audio = {i: (p, q) for i, p, q in elements(media, *entry["e1"])}
+            codec, each_ns, bits = media[slice(*entry["86"])].decode(), number(*entry["23e383"]), number(*audio["6264"])
+            rate = int(struct.unpack(">d", media[slice(*audio["b5"])])[0])
+        elif ident == "1f43b675":
+            starts.add(a - segment[1] - 4 - next(n for n in range(1, 9) if (b - a) < (1 << 7 * n) - 1))
+            clusters += 1
+            for i, p, q in elements(media, a, b):
+                if i == "e7":
+                    base = number(p, q)
+                blocks = [(p, q)] if i == "a3" else [(r, s) for j, r, s in elements(media, p, q) if j == "a1"] if i == "a0" else []
+                whole = [number(r, s) for j, r, s in elements(media, p, q) if j == "9b"] if i == "a0" else []
+                for r, s in blocks:
+                    found = frames(media, r, s)
+                    for k, (kind, time, body) in enumerate(found):
+                        end = whole[0] * 10**6 if whole else len(found) * each_ns
+                        got.append((kind, (base + time) * 10**6 + k * each_ns, each_ns if k < len(found) - 1 else end - k * each_ns, body))
+        elif ident == "1c53bb6b":
+            for _, p, q in elements(media, a, b):
+                point = {i: (r, s) for i, r, s in elements(media, p, q)}
+                cues.append(number(*{i: (r, s) for i, r, s in elements(media, *point["b7"])}["f1"]))
+    assert set(cues) == starts and len(cues) == clusters
+    body = b"".join(x for *_, x in got)
+    v = [x - 128 for x in body]
+    kinds = Counter(k for k, *_ in got)
+    feature = {
+        "tracks": 1, "codec": codec, "rate": rate, "bits": bits, "clusters": clusters, "packets": len(got), **{k: kinds[k] for k in ("none", "xiph", "fixed", "ebml")}, "cues": len(cues),
+        "end_ms": max(t + d for _, t, d, _ in got) // 10**6, "sum": sum(v), "energy": sum(x * x for x in v), "crossings": sum((x < 0) != (y < 0) for x, y in zip(v, v[1:])), "error": "",
+    }
+    return body, ";".join(f"{k}={x}" for k, x in feature.items())
+
+
+def test_media_are_what_another_reader_finds(spark, docs):  # noqa: F811
+    rng = np.random.default_rng(6)
+    bodies = [t.encode() + bytes(-len(t.encode()) % 64 or (0 if t else 64)) for _, t in docs[:150]] + [rng.integers(0, 256, n, np.uint8).tobytes() for n in (64, 512, 513, 4096, 5120, 40_000, 300_032)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, payload binary")
+    rows = {r.id: r for r in matroska.read_samples(matroska.mux_column(df)).collect()}
+    for i, body in enumerate(bodies):
+        assert (bytes(rows[i].samples), rows[i].feature) == plain_feature(bytes(rows[i].media)), i
+        assert bytes(rows[i].samples) == body
+
+
 def test_secrets_of_awkward_rows(spark, odd):  # noqa: F811
     more = spark.createDataFrame([(20, "password=abcdef"), (21, "password=abcdef"), (22, "x" * 300_000 + " secret: 123456"), (None, "token=abcdefg")], "doc_id long, text string")
     clash = odd.select("doc_id", "text").unionByName(more).withColumns({"spans": F.lit("s"), "__text": F.lit("t")})
