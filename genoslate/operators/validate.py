@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -65,10 +64,10 @@ def error_scan(annotations: DataFrame, genes: DataFrame, arrays: DataFrame, prob
     over = pairs.select(F.col("l_protein_id").alias("protein_id"), F.col("r_locus_id").cast("string").alias("locus"))
     over = over.join(annotations.select("protein_id", text.alias("said")), "protein_id", "left").withColumn("said", F.coalesce("said", F.lit("unannotated")))
     two = over.select(F.lit("overlaps_array").alias("kind"), "protein_id", F.concat_ws(": ", "locus", "said").alias("detail"))
-    out = one.unionByName(two).distinct()
-    if limit is None:
-        return out
-    return out.withColumn("__r", F.row_number().over(W.partitionBy("kind").orderBy("protein_id", "detail"))).filter(F.col("__r") <= limit).drop("__r")
+    if limit is not None:
+        # the first of each kind are chosen apart, each by the partitions' own first rows
+        one, two = (x.distinct().orderBy("protein_id", "detail").limit(limit) for x in (one, two))
+    return one.unionByName(two).distinct()
 
 
 def reliability_warnings(proteins: DataFrame, annotations: DataFrame, bins: DataFrame) -> DataFrame:

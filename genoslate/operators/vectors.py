@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -203,15 +206,32 @@ def nearest_to_set(vectors: DataFrame, members: DataFrame, k: int = 10, threshol
     return best.filter(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
 
-def similar_pairs_lsh(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", tables: int = 8, width: float = 0.5, seed: int = 7) -> DataFrame:
-    """(a, b, score): pairs with a cosine of at least ``threshold``, by random projections of unit vectors (K4). Approximate."""
+def meet_chance(ratio: float) -> float:
+    """How likely two points share a bucket of a random projection, ``ratio`` being the bucket's width over the deviation of their difference on it."""
+    normal = NormalDist()
+    return 1 - 2 * normal.cdf(-ratio) - math.sqrt(2 / math.pi) / ratio * (1 - math.exp(-ratio * ratio / 2))
+
+
+def similar_pairs_lsh(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", recall: float = 0.99, ratio: float = 1.0, seed: int = 7) -> DataFrame:
+    """(a, b, score): pairs with a cosine of at least ``threshold``, by random projections of unit vectors (K4). Approximate.
+
+    A pair at the threshold is found with a chance of ``recall``, a nearer one with a larger one: buckets are ``ratio`` deviations of such a pair wide, and the
+    number of tables follows. So buckets narrow as the threshold rises. Null and zero vectors are in no pair; all others have one length.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    v = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
+    known = vectors.filter(F.exists(vector, lambda x: x != 0))
+    one = known.select(F.size(vector).alias("n")).first()
+    if one is None:
+        return vectors.limit(0).select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("score"))
+    # the optimizer may ask for a vector before it has asked whether there is one
+    v = known.select(key, array_to_vector(F.coalesce(F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), one["n"]))).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="unit").transform(v).select(key, "unit")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
-    far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    # distances this small are rounding
+    far = max(math.sqrt(max(0.0, 2 - 2 * threshold)), 1e-6) * (1 + 1e-9)
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - meet_chance(ratio)))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=ratio * far / math.sqrt(one["n"]), numHashTables=tables, seed=seed).fit(unit)
     pairs = model.approxSimilarityJoin(unit, unit, far, "d").filter(F.col(f"datasetA.{key}") < F.col(f"datasetB.{key}"))
     return pairs.select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
 

@@ -244,6 +244,8 @@ def test_error_scan_asks_for_indicators(spark, genomes):
     out = validate.error_scan(a, genomes["proteins"], genomes["loci"], problems).collect()
     assert sorted((r.protein_id, r.detail) for r in out if r.kind == "problem_domain") == [("p1", "Cas12f1-like_TNB: tnpB protein"), ("p4", "Cas12f1-like_TNB: IS605 family")]
     assert sorted(r.protein_id for r in out if r.kind == "overlaps_array") == ["p01", "p07"]
+    few = validate.error_scan(a, genomes["proteins"], genomes["loci"], problems, limit=1).collect()
+    assert sorted((r.kind, r.protein_id) for r in few) == [("overlaps_array", "p01"), ("problem_domain", "p1")]
 
 
 def test_arrays_count_csx_and_need_an_effector(spark):

@@ -134,3 +134,33 @@ def test_layout_of_few_rows(spark):
     assert abs(rows[0].x + rows[1].x) < 1e-9 and [r.y for r in rows] == [0.0, 0.0] and max(off) < 1e-6
     found, off = layout.spectral_layout(d.limit(0), 3, 1)
     assert found.count() == 0 and off == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_pairs_by_projections_keep_their_recall(spark, threshold):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    # a partner of each row somewhat over the threshold, where pairs are hardest to find
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = threshold + 0.002
+    all_ = np.concatenate([base, (c * base + np.sqrt(1 - c * c) * off) * 3])
+    rows = [(i, v.tolist()) for i, v in enumerate(all_)] + [(900, None), (901, [0.0] * 32), (902, [0.0] * 32)]
+    unit = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(cos >= threshold, 1)), strict=True)}
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    got = {(r.a, r.b): r.score for r in vectors.similar_pairs_lsh(df, threshold).collect()}
+    assert len(want) >= 300 and set(got) <= want and len(got) >= 0.97 * len(want)
+    assert all(abs(s - cos[p]) < 1e-9 for p, s in got.items())
+    assert vectors.similar_pairs_lsh(df.filter("vec_id >= 900"), threshold).count() == 0
+
+
+def test_buckets_meet_as_often_as_said():
+    x = np.random.default_rng(4).normal(size=200_000)
+    place = np.random.default_rng(5).random(200_000)
+    for ratio in (0.3, 1.0, 4.0):
+        met = np.floor(place) == np.floor(place + x / ratio)
+        assert abs(met.mean() - vectors.meet_chance(ratio)) < 0.005
