@@ -10,8 +10,8 @@ Every byte that a string of ``width`` bytes covers, which also starts anywhere e
 3. Dictionary: other repeats are between different phrases of the same trigger. Their texts are fetched once per
    distinct phrase and dealt out by trigger to tasks of bounded bytes. A task sorts the suffixes of its phrases by their first ``width``
    bytes (a suffix array by prefix doubling, eight bytes first); windows of one rank are equal, and how often a window occurs is the sum
-   of what the parse says of its phrases. A trigger whose phrases exceed ``group_bytes`` is split over tasks, and its windows are counted
-   by 128-bit names over all of them.
+   of what the parse says of its phrases. Under a trigger whose phrases exceed ``group_bytes``, groups are narrowed by more and more bytes
+   around the trigger until they fit; parts of phrases that repeat whole are settled on the way, by a grouping (see ``narrow``).
 4. The verdicts on phrases go back to where they stand, and the texts lose the covered bytes.
 
 The order of suffixes is that of a task's triggers. It isn't merged into one order of the corpus, nor is the parse sorted: equal windows share
@@ -24,10 +24,11 @@ named like an output are replaced, all others come back as they are.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, repeats, suffix_tree
@@ -55,44 +56,72 @@ def suffix_ranks(raw: np.ndarray, width: int) -> np.ndarray:
     return suffix_tree.cut_at(suffix_tree.levels(first, width, step), width, step)
 
 
-def window_names(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit digest of the ``width`` bytes from each position on."""
-    held = raw.tobytes()
-    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(held[i : i + width]) for i in at.tolist()), ">u8").reshape(-1, 2).astype(np.uint64)
-    return names[:, 0].copy(), names[:, 1].copy()
-
-
 def _leaves(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Sorts the suffixes of one task's phrases; see ``repeats.settle`` for the rows."""
-    pdf = pdf.drop_duplicates(["trigger", "phrase"])  # equal rows bring a phrase twice
+    """Sorts the suffixes of one task's phrases; the maximal ranges of windows that repeat."""
+    pdf = pdf.drop_duplicates(["trigger", "phrase", "from"])  # equal rows bring a phrase twice
     n = pdf["n"].to_numpy(np.int64)
     raw = np.frombuffer(b"".join(pdf["body"]), np.uint8)
     start = np.cumsum(n - 1 + width) - (n - 1 + width)
     row = np.repeat(np.arange(len(pdf)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = start[row] + j
-    kind = suffix_ranks(raw, width)[at]
+    kind = suffix_ranks(raw, width)[start[row] + j]
     members = np.bincount(kind, minlength=1)[kind]
     once = pdf["copies"].to_numpy() == 1
-    split = pdf["group"].isna().to_numpy()
-    trigger, phrase = pdf["trigger"].to_numpy(), pdf["phrase"].to_numpy()
-    # repeats within the task, as maximal ranges of windows
     hit = (members > 1) & once[row]
     apart = row[1:] != row[:-1]
     edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | apart]))
     last = np.flatnonzero(hit & np.concatenate([~hit[1:] | apart, [True]]))
-    done = pd.DataFrame({"trigger": trigger[row[edge]], "phrase": phrase[row[edge]], "from": j[edge], "to": j[last] + 1})
-    # of split triggers, the windows that other tasks may hold too: one row a name, with its window if it stands alone
-    asked = np.flatnonzero(split[row])
-    asked = asked[np.unique(kind[asked], return_index=True)[1]]
-    a, b = window_names(raw, at[asked], width)
-    alone = (members[asked] == 1) & once[row[asked]]
-    named = pd.DataFrame({"trigger": trigger[row[asked]], "phrase": pd.array(phrase[row[asked]], "Int64"), "from": j[asked], "to": j[asked] + 1, "a": pd.array(a.view(np.int64), "Int64"), "b": pd.array(b.view(np.int64), "Int64"), "copies": np.where(alone, 1, 2)})
-    named.loc[~alone, "phrase"] = pd.NA
-    out = pd.concat([done, named], ignore_index=True)
-    for c in ("phrase", "a", "b", "copies"):
-        out[c] = out[c].astype("Int64")
-    return out.assign(first=pd.array([pd.NA] * len(out), "Int64"))[["trigger", "phrase", "from", "to", "a", "b", "copies", "first"]]
+    at = pdf["from"].to_numpy(np.int64)[row]
+    return pd.DataFrame({"trigger": pdf["trigger"].to_numpy()[row[edge]], "phrase": pdf["phrase"].to_numpy()[row[edge]], "from": at[edge] + j[edge], "to": at[last] + j[last] + 1})
+
+
+RANGE = "trigger long, phrase long, from int, to int"
+_PHRASE = ["trigger", "phrase", "copies", "n", "from", "body"]
+
+
+def _part(rows: DataFrame, spans: Column, width: int) -> DataFrame:
+    """What ``rows`` hold of the windows at each of ``spans`` (an array of places a..b-1)."""
+    each = rows.select(*_PHRASE, "head", F.explode(spans).alias("span")).select(*_PHRASE, "head", "span.*")
+    far, near = F.least("head", F.col("b") - 1), F.greatest(F.col("head") - F.col("n") + 1, "a")
+    each = each.withColumns({"far": far, "count": far - near + 1}).filter("count > 0")
+    skip = F.col("head") - F.col("far")
+    body = F.col("body").substr(skip + 1, F.col("count") - 1 + width)
+    return each.select("trigger", "phrase", "copies", F.col("count").alias("n"), (F.col("from") + skip).alias("from"), body.alias("body"), F.col("far").alias("head"), "a", "b")
+
+
+def narrow(phrases: DataFrame, width: int, gram: int, group_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of the ``phrases`` under triggers that don't fit a group: tables of the parts to sort, with their ``group``, and of the ranges that repeat.
+
+    A window's place is the number of its bytes before the trigger; equal windows have equal places. A part is what a
+    phrase holds of the windows at the places a..b-1, and its core the bytes that all windows at these places cover, so
+    parts with a window in common have equal cores. Equal parts repeat whole: a grouping by their bytes settles them, and one goes on
+    for all. Then a core with a single part is done, one whose parts fit ``group_bytes`` is a group, and under the
+    others the places are halved, by which cores grow. At a single place a part is its core, so that ends.
+    """
+    sort, settled = [], []
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    spans = F.array(span(F.lit(0), F.lit(width - gram + 1)))
+    rows = phrases.withColumn("from", F.lit(0))
+    while True:
+        parts = _part(rows, spans, width)
+        same = ["trigger", "a", "b", "head", "n", "body"]
+        kinds = parts.groupBy(*same).agg(F.sum("copies").alias("copies"), F.min(F.struct("phrase", "from")).alias("one"))
+        kinds = common.written(kinds.select(*same, "copies", "one.*"), "parts")
+        again = kinds.filter("copies > 1").select(*same)
+        whole = parts.filter("copies = 1").join(again.hint("shuffle_hash"), same, "left_semi")
+        settled.append(common.written(whole.select("trigger", "phrase", "from", (F.col("from") + F.col("n")).alias("to")), "equal-parts"))
+        core = F.col("body").substr(F.col("head") - F.col("a") + 1, width + 1 + F.col("a") - F.col("b"))
+        cored = kinds.withColumn("core", core)
+        key = ["trigger", "a", "b", "core"]
+        cores = cored.groupBy(*key).agg(F.count("*").alias("variants"), F.sum(F.octet_length("body").cast("long")).alias("bytes")).filter("variants > 1")
+        cores = common.written(cores.select(*key, (F.col("bytes") <= group_bytes).alias("fits")), "cores")
+        held = common.written(cored.join(cores.hint("shuffle_hash"), key).withColumn("group", F.xxhash64(*key)).drop("core"), "narrowed")
+        sort.append(held.filter("fits").select(*_PHRASE, "group"))
+        rows = held.filter("NOT fits")
+        if rows.isEmpty():
+            return sort, settled
+        half = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        spans = F.array(span(F.col("a"), half), span(half, F.col("b")))
 
 
 def remove_repeats(
@@ -105,17 +134,24 @@ def remove_repeats(
     dictionary = repeats.several(kinds, F.lit(True))
     held = dictionary.groupBy("trigger").agg(F.sum(F.col("n") + F.lit(width - 1)).alias("bytes"))
     held = common.written(held, "trigger-bytes")
-    total = held.agg(F.sum("bytes")).first()[0] or 0
-    large = held.filter(F.col("bytes") > group_bytes).select("trigger", F.lit(True).alias("large"))
+    fits = F.col("bytes") <= group_bytes
+    total = held.filter(fits).agg(F.sum("bytes")).first()[0] or 0
+    large = held.filter(~fits).select("trigger", F.lit(True).alias("large"))
     group = F.when(F.col("large").isNull(), F.col("trigger"))
     grouped = dictionary.join(large, "trigger", "left").withColumn("group", group).drop("large")
-    cut = lambda raw, rows: [{"body": raw[r["lo"] : r["lo"] + r["n"] - 1 + width]} for r in rows]
-    bodies = repeats.contexts(docs, grouped, cut, text, doc, "body binary")
-    leaves = repeats.dealt(bodies, total, task_bytes).groupBy("part").applyInPandas(lambda pdf: _leaves(pdf, width), repeats.LEAF)
-    leaves = common.written(leaves, "suffix-order")
-    verdict = repeats.settle(leaves, F.col("n_all") > 1).unionByName(
-        kinds.filter("copies > 1").select("trigger", "phrase", F.lit(0).alias("from"), F.col("n").alias("to"))
-    )
+    cut = lambda raw, rows: [{"body": raw[r["lo"] : r["lo"] + r["n"] - 1 + width], "head": r["off"]} for r in rows]
+    bodies = repeats.contexts(docs, grouped, cut, text, doc, "body binary, head int")
+    settled = [kinds.filter("copies > 1").select("trigger", "phrase", F.lit(0).alias("from"), F.col("n").alias("to"))]
+    sort = []
+    if not large.isEmpty():
+        bodies = common.written(bodies, "phrase-bytes")
+        sort, equal = narrow(bodies.filter("group IS NULL").dropDuplicates(["trigger", "phrase"]), width, gram, group_bytes)
+        total += sum(t.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0 for t in sort)
+        settled += equal
+    bodies = bodies.filter("group IS NOT NULL").withColumn("from", F.lit(0)).select(*_PHRASE, "group")
+    bodies = functools.reduce(DataFrame.unionByName, sort, bodies)
+    leaves = repeats.dealt(bodies, total, task_bytes).groupBy("part").applyInPandas(lambda pdf: _leaves(pdf, width), RANGE)
+    verdict = functools.reduce(DataFrame.unionByName, settled, common.written(leaves, "suffix-order"))
     ranges = repeats.places(shared, verdict, width)
     joined, held = repeats.covered(docs, ranges, text, doc)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from genoslate.llm import embedding_dedup, line_dedup, matroska, mixing, near_dedup, pieces, quality, queries, secret_scan, substring_dedup, suffix_dedup, suffix_tree
+from genoslate.llm import common, embedding_dedup, line_dedup, matroska, mixing, near_dedup, pieces, quality, queries, secret_scan, substring_dedup, suffix_dedup, suffix_tree
 from genoslate.llm import components as C
 
 D = "/root/testdata/sf0.001"
@@ -208,6 +208,40 @@ def test_op10_against_brute_force(spark, docs, odd, group):
         assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_op10_large_trigger_without_a_row_a_window(spark, monkeypatch, group):
+    rng = np.random.default_rng(17)
+    letters = lambda k: "".join(chr(c) for c in rng.integers(97, 123, k))
+    passage = letters(340)
+    ends = rng.integers(0, 60, (400, 2)).tolist()
+    rows = [(i, letters(150) + passage[a : len(passage) - b] + letters(150)) for i, (a, b) in enumerate(ends)]
+    rows += [(400, passage), (401, letters(90) + passage[100:320] * 2), (402, None)]
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(b[p : p + 200] for _, b in raw for p in range(len(b) - 199))
+    want = []
+    for i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 199):
+            if count[b[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        want.append((i, int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    made, written = {}, common.written
+
+    def counted(df, label):
+        out = written(df, label)
+        made.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, 200, group_bytes=group, task_bytes=20_000)
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in out.collect()) == want
+    kinds = made.pop("dictionary")[0].agg(F.count("*"), F.sum("n")).first()
+    largest = {k: max(t.count() for t in v) for k, v in made.items() if k not in ("shared-triggers", "shared-phrases", "phrase-kinds")}
+    assert kinds[1] > 20 * kinds[0]  # windows and phrases
+    assert max(largest.values()) < 4 * kinds[0], largest
+
+
 def test_op3_layers(spark, odd):
     secret = "password = hunter2abc"
     inner = base64.b64encode(secret.encode()).decode()
